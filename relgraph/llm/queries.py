@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.llm import decontam, licenses, lines, mixing, quality, sharding, toxicity, warc
+from relgraph.llm import decontam, licenses, lines, mixing, ngram_join, quality, sharding, toxicity, warc
 from relgraph.llm.quality import STOP_WORDS
 
 
@@ -17,6 +17,10 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -56,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_warc, op4_quality, op5_decontamination, op6_licenses, op7_sharding, op8_toxicity, op9_line_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_warc, op4_quality, op5_decontamination, op6_licenses, op7_sharding, op8_toxicity, op9_line_dedup, op10_mixing)}
 
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -66,6 +70,16 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 def oracle_sql() -> dict[str, str]:
     stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
     return {
+        "op1_ngram_join": rf"""
+            WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+            g AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS gram
+                  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)),
+            n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+            c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+            l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * m >= 90 * (p.n + q.n - m)),
+            r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+            SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, k.component_id
+            FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) k ON k.a = d.doc_id""",
         "op3_warc": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
             d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -76,8 +90,8 @@ def oracle_sql() -> dict[str, str]:
             FROM f""",
         "op4_quality": rf"""
             WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-            w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-                         list_filter(string_split(text, chr(10)), x -> trim(x, {_BLANK}) <> '') AS lines FROM t),
+            w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                         list_filter(string_split(text, chr(10)), lambda x: trim(x, {_BLANK}) <> '') AS lines FROM t),
             n AS (SELECT *, len(words) AS n_words FROM w),
             g AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS gram
                   FROM (SELECT doc_id, words, unnest(range(1, n_words - 6)) AS i FROM n WHERE n_words >= 8)),
@@ -87,8 +101,8 @@ def oracle_sql() -> dict[str, str]:
                          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
                          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
                          len(lines) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
-                         len(list_filter(words, x -> lower(x) IN ({stops}))) AS n_stop,
-                         coalesce(list_max(list_transform(words, x -> length(x))), 0) AS longest
+                         len(list_filter(words, lambda x: lower(x) IN ({stops}))) AS n_stop,
+                         coalesce(list_max(list_transform(words, lambda x: length(x))), 0) AS longest
                   FROM n LEFT JOIN v USING (doc_id)),
             b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
             SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
