@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.llm import decontam, licenses, lines, mixing, ngram_join, quality, sharding, toxicity, warc
+from relgraph.llm import decontam, licenses, lines, lm, mixing, ngram_join, quality, sharding, toxicity, warc
 from relgraph.llm.quality import STOP_WORDS
 
 
@@ -21,6 +21,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"), remainder(10) == 0)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -60,7 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op3_warc, op4_quality, op5_decontamination, op6_licenses, op7_sharding, op8_toxicity, op9_line_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_warc, op4_quality, op5_decontamination, op6_licenses, op7_sharding, op8_toxicity, op9_line_dedup, op10_mixing)}
 
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
