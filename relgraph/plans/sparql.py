@@ -1,0 +1,168 @@
+"""SELECT over basic graph patterns, compiled to joins over a triples DataFrame.
+
+Supported: PREFIX, SELECT [DISTINCT] variables and COUNT(?x | *) AS, predicate lists with
+``;``, object lists with ``,``, ``a``, IRIs, prefixed names, string, number and boolean
+literals, FILTER with a comparison of a variable and a literal, GROUP BY, ORDER BY, LIMIT.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from relgraph.functions.terms import RDF_TYPE
+
+_TOKEN = re.compile(r'\s*(?:#[^\n]*\n\s*)*(<[^>]*>|"(?:[^"\\]|\\.)*"(?:\^\^\S+)?|\?\w+|[\w-]*:[\w.-]*|[<>!]=|[=<>]|-?\d+(?:\.\d+)?|\w+|[{}().;,*])')
+
+
+@dataclass
+class Query:
+    select: list[tuple[str, str]] = field(default_factory=list)  # (kind: var | count, name or "*"), alias last
+    aliases: list[str] = field(default_factory=list)
+    distinct: bool = False
+    patterns: list[tuple[str, str, str]] = field(default_factory=list)
+    filters: list[tuple[str, str, str]] = field(default_factory=list)
+    group: list[str] = field(default_factory=list)
+    order: list[tuple[str, bool]] = field(default_factory=list)
+    limit: int | None = None
+
+
+def parse(text: str) -> Query:
+    """The query's parts; a SyntaxError says what was expected."""
+    tokens, at = [], 0
+    text = text.strip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise SyntaxError(f"SPARQL: {text[at : at + 20]!r}")
+        tokens.append(m[1])
+        at = m.end()
+    q, prefixes, i = Query(), {}, 0
+
+    def term(t: str) -> str:
+        if t == "a":
+            return RDF_TYPE
+        if t.startswith("<"):
+            return t[1:-1]
+        if t.startswith('"'):
+            return "'" + re.sub(r"\\(.)", r"\1", re.match(r'"((?:[^"\\]|\\.)*)"', t)[1])
+        if t.startswith("?"):
+            return t
+        if ":" in t:
+            head, _, tail = t.partition(":")
+            return RDF_TYPE if t == "rdf:type" else prefixes.get(head, f"{head}:") + tail
+        return "'" + t
+
+    while tokens[i].upper() == "PREFIX":
+        prefixes[tokens[i + 1][:-1]] = tokens[i + 2][1:-1]
+        i += 3
+    if tokens[i].upper() != "SELECT":
+        raise SyntaxError(f"SPARQL: SELECT expected, not {tokens[i]}")
+    i += 1
+    if tokens[i].upper() == "DISTINCT":
+        q.distinct, i = True, i + 1
+    while tokens[i].upper() not in ("WHERE", "{"):
+        if tokens[i] == "(" and tokens[i + 1].upper() == "COUNT":
+            q.select.append(("count", tokens[i + 3]))
+            q.aliases.append(tokens[i + 6][1:])
+            i += 8
+        else:
+            q.select.append(("var", tokens[i]))
+            q.aliases.append(tokens[i][1:])
+            i += 1
+    i += tokens[i].upper() == "WHERE"
+    i += 1
+    while tokens[i] != "}":
+        if tokens[i] == ".":
+            i += 1
+            continue
+        if tokens[i].upper() == "FILTER":
+            left, op, right = tokens[i + 2 : i + 5]
+            q.filters.append((left, op, term(right)))
+            i += 6
+            continue
+        s = term(tokens[i])
+        i += 1
+        while True:
+            p = term(tokens[i])
+            i += 1
+            while True:
+                q.patterns.append((s, p, term(tokens[i])))
+                i += 1
+                if tokens[i] != ",":
+                    break
+                i += 1
+            if tokens[i] != ";":
+                break
+            i += 1
+            if tokens[i] in (".", "}"):
+                break
+    i += 1
+    while i < len(tokens):
+        word = tokens[i].upper()
+        if word in ("GROUP", "ORDER"):
+            i += 2
+            while i < len(tokens) and (tokens[i].startswith("?") or tokens[i].upper() in ("ASC", "DESC", "(", ")")):
+                if tokens[i].startswith("?"):
+                    down = i > 1 and tokens[i - 1] == "(" and tokens[i - 2].upper() == "DESC"
+                    (q.group if word == "GROUP" else q.order).append(tokens[i] if word == "GROUP" else (tokens[i], not down))
+                i += 1
+        elif word == "LIMIT":
+            q.limit, i = int(tokens[i + 1]), i + 2
+        else:
+            raise SyntaxError(f"SPARQL: {tokens[i]}")
+    return q
+
+
+def predicates(q: Query) -> set[str] | None:
+    """The predicates that can match, for pruning; None if one is a variable."""
+    found = {p for _, p, _ in q.patterns}
+    return None if any(p.startswith("?") for p in found) else found
+
+
+def evaluate(graph: DataFrame, q: Query | str) -> DataFrame:
+    """Bindings over ``graph``, a set of triples. Patterns are joined in an order that always
+    shares a variable with what came before, if the query is connected."""
+    q = parse(q) if isinstance(q, str) else q
+    left = list(q.patterns)
+    out: DataFrame | None = None
+    while left:
+        bound = set(out.columns) if out is not None else set()
+        nxt = next((p for p in left if bound & {x[1:] for x in p if x.startswith("?")}), left[0])
+        left.remove(nxt)
+        t, columns, seen = graph, [], {}
+        for name, x in zip("spo", nxt):
+            if x.startswith("?"):
+                if x in seen:
+                    t = t.where(F.col(name) == F.col(seen[x]))
+                else:
+                    seen[x] = name
+                    columns.append(F.col(name).alias(x[1:]))
+            else:
+                t = t.where(F.col(name) == x.removeprefix("'"))
+                if name == "o":
+                    t = t.where(F.col("o_kind") == ("literal" if x.startswith("'") else "iri"))
+        t = t.select(*columns)
+        if out is None:
+            out = t
+        else:
+            shared = [c for c in t.columns if c in out.columns]
+            if not shared:
+                raise ValueError("the patterns do not hang together; a cross product is not built")
+            out = out.join(t, shared)
+    for v, op, value in q.filters:
+        x, y = F.col(v[1:]), value.removeprefix("'")
+        number = re.fullmatch(r"-?\d+(\.\d+)?", y)
+        x, y = (x.try_cast("double"), F.lit(float(y))) if number else (x, F.lit(y))
+        out = out.where({"=": x == y, "!=": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op])
+    counts = [F.count("*" if n == "*" else n[1:]).alias(a) for (k, n), a in zip(q.select, q.aliases) if k == "count"]
+    if counts:
+        out = out.groupBy(*(g[1:] for g in q.group)).agg(*counts)
+    out = out.select(*q.aliases)
+    out = out.distinct() if q.distinct else out
+    if q.order:
+        out = out.orderBy(*(F.col(v[1:]).asc() if up else F.col(v[1:]).desc() for v, up in q.order))
+    return out.limit(q.limit) if q.limit is not None else out
