@@ -58,7 +58,8 @@ def numbered(df: DataFrame, order: list[str], name: str, by: list[str], within:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` reaches.
+    """(node, root): the smallest node that each node of ``edges`` reaches, for all nodes
+    but those that are their own root.
 
     Alternating star contraction: each pass hangs a node's larger (then smaller)
     neighbours on its smallest one. A node of huge degree is only ever the key of a
