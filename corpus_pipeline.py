@@ -37,7 +37,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole times, and once more where a
     hash of its doc_id is below the rest."""
-    mixed = mixing.mix(docs)["documents"].groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("taken") / F.col("size")).alias("_times"))
+    mixed = mixing.mix(docs)["documents"].groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.try_divide("taken", "size")).alias("_times"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("_times") + chance).cast("int")
     rows = docs.join(mixed.where("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_id"))).where(copies > 0)
