@@ -72,9 +72,15 @@ def parse_ddl(text: str) -> dict[str, Table]:
     """Tables with inline and ALTER keys, single or composite."""
     text, tables = without_data(text), {}
     for m in re.finditer(rf"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?({_QUALIFIED})\s*\(", text):
-        depth, end = 1, m.end()
+        depth, end, quote = 1, m.end(), ""
         while depth and end < len(text):
-            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            c = text[end]
+            if quote:
+                quote = "" if c == quote else quote
+            elif c in "'\"":
+                quote = c
+            else:
+                depth += {"(": 1, ")": -1}.get(c, 0)
             end += 1
         t = tables[_plain(m[1])] = Table(_plain(m[1]))
         for part in split_top(text[m.end() : end - 1]):

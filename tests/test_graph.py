@@ -40,7 +40,8 @@ def test_template_with_null_is_null(spark):
 
 
 def test_triples_are_a_set_without_nulls(spark, tables):
-    rows = {(r.s, r.p, r.o) for r in (t := M.triples(spark, tables, MAPPING)).collect()}
+    t = M.triples(spark, tables, MAPPING)
+    rows = {(r.s, r.p, r.o) for r in t.collect()}
     assert t.count() == len(rows) and all(None not in r for r in rows)
     assert (":p/1", ":worksAt", ":org/1") in rows and not any(r[2] == ":org/9" for r in rows)
     assert (":p/2", "rdf:type", ":Member") in rows and (":p/3", ":age", "31") in rows
