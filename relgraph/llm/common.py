@@ -28,6 +28,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
 
 
+def packed(df: DataFrame, rows: int, per_task: int = 10_000) -> DataFrame:
+    """``df``, of about ``rows`` rows, in no more tasks than these need."""
+    return df.coalesce(max(12, -(-rows // per_task)))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage is cut and a
     lost executor costs no more than its running tasks."""
@@ -66,16 +71,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     grouped minimum, which Spark combines before the shuffle.
     """
     now = stored(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("v <> u").distinct(), "edges")
-    last = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
-        now = stored(small.where("v <> u").distinct(), "edges")
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
-        if seen == last:
-            break
-        last = seen
-    return now.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("node"), "root")
+        now = stored(packed(small.where("v <> u").distinct(), now.count(), 100_000), "edges")
+    return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each v hangs on one u only and none hangs on a v: then all u are roots."""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    per = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return not per.agg(F.max((F.col("below") + F.col("above") > 1) & (F.col("below") > 0))).first()[0]
