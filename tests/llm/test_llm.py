@@ -80,6 +80,44 @@ def test_ngram_join_in_rounds(spark, monkeypatch):
     assert set(whole.values()) == {0}
 
 
+@pytest.mark.parametrize("rows", [1024, 5])
+def test_ngram_join_of_a_crowd_in_blocks(spark, monkeypatch, rows):
+    """Near copies of one text, many of them just apart: after one round the rest is compared in blocks."""
+    for name, value in (("PAIRS_PER_ROW", 0), ("LEAST_PAIRS", 0), ("BLOCK_ROWS", rows)):
+        monkeypatch.setattr(ngram_join, name, value)
+    met = []
+    monkeypatch.setattr(ngram_join, "crowded", lambda *a, own=ngram_join.crowded: met.append(1) or own(*a))
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(60):
+        own = list(base)
+        for j in rng.sample(range(120), rng.choice([1, 2, 2, 3])):
+            own[j] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(own[: rng.choice([120, 120, 100, 60])])
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in texts.items()}
+    root = dict(zip(sets, sets))
+    for _ in range(8):
+        for a in sets:
+            for b in sets:
+                m = len(sets[a] & sets[b])
+                if 100 * m >= 90 * (len(sets[a]) + len(sets[b]) - m):
+                    root[a] = root[b] = min(root[a], root[b])
+    got = ngram_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == root
+    assert met and 1 < len(set(root.values())) < 60
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(5)
+    for n, m, both in ((10, 12, 9), (1000, 1050, 990), (3000, 5000, 2500), (40, 900, 40), (0, 3, 0)):
+        h = np.sort(rng.integers(0, 2**63, n + m - both, dtype=np.uint64))
+        order = rng.permutation(len(h))
+        x, y = np.sort(h[order[:n]]), np.sort(h[order[n - both :]])
+        far, real = ngram_join.apart(ngram_join.sketch(x), ngram_join.sketch(y)), n + m - 2 * both
+        assert far <= real and (far >= real - (n + m) // 4 or max(n, m) > 2 * min(n, m))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51), (7, 7)], "a long, b long")
     assert {r.node: r.root for r in common.components(edges).collect()} == {i: 0 for i in range(1, 21)} | {51: 50}
