@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -153,6 +154,24 @@ def test_attention_sees_no_future_and_windows_score_once():
     assert abs(p.sum() - 1) < 1e-3
 
 
+def test_attention_learns_from_all_training_ids_and_no_others(spark):
+    n, learn = np.array([1, 700, 32, 33, 5]), np.array([True, True, False, True, True])
+    begins = np.cumsum(n) - n
+    place, real = lm.cut(begins, n, learn)
+    assert sorted(place[real].tolist()) == [i for a, m, x in zip(begins, n, learn) if x for i in range(a, a + m)]
+    # All places of a window, padded ones too, are of one text.
+    assert all(len(set(np.searchsorted(begins, row, "right"))) == 1 for row in place)
+
+    def weights(tail, held_text):
+        rows = [(1, "a b"), (2, held_text), (3, "x y " * 200 + tail)]
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(lm.TOKENIZER, "rb"))}
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        return lm.fitted(lm.encoded(docs, F.col("doc_id") == 2, spark.sparkContext.broadcast(ranks)), len(ranks)).weights
+
+    one = weights("x y", "some other words")
+    assert np.array_equal(one, weights("x y", "no word of these " * 9)) and np.isfinite(one).all()
+
+
 def test_warc_round_trip_and_order(spark):
     page = "<p>é" * 40
     rows = [(3, "http://b.com/x", page), (1, "https://www.a.com/", page), (2, None, page), (4, "http://a.com/\r\nX: y", "tiny"), (5, "u", "tiny"), (6, "http://a.com/?q", None), (6, "http://a.com/?q", None), (None, "http://a.com", page)]
