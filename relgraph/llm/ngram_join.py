@@ -16,9 +16,13 @@ link when ``den * |intersection| >= num * |union|``.
 5. All pairs of a shingle's classes are only formed while their number is in proportion to
    the prefix rows. Beyond it each shingle's class with the fewest rarer shingles, the nearest
    to a group's middle, is compared with the others, and classes found connected are not
-   compared again. Links that this leaves out join classes that other links connect already.
+   compared again. Links that this leaves out join classes that other links connect already:
+   the links found give the components, not the number of links.
    Once such a round no longer halves the open pairs, what is left does mostly not link: it is
    dealt into blocks, whose sketches are compared in numpy, and only pairs that pass are rows.
+6. Where links are to be counted, each component's classes are dealt into blocks, each two
+   blocks' sets meet in a task of their own, and counts by class are all that leaves it. That
+   work grows with the square of a component's classes, as its links may.
 
 Defined cases: a text without words (null, empty) has an empty set and links with nothing;
 a shorter text is one shingle; rows without doc_id have a set but no links and no component;
@@ -48,7 +52,7 @@ PAIRS_PER_ROW, LEAST_PAIRS = 16, 10_000
 SKETCH_BITS = (6, 20)
 #: The table of documents in pairs has 2 ** 15 bits at least and 2 ** 27 (16 MB) at most.
 SLOT_BITS = (15, 27)
-#: Classes, and bytes of sketches, of a block.
+#: Classes, and bytes of sketches or sets, of a block.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 
 
@@ -61,6 +65,13 @@ def _sets(texts: pa.Array, k: int):
             yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own
 
 
+def name(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    if not len(s):
+        return 0, 0
+    return int(W.mix(s).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(W.mix(s + np.uint64(1))))
+
+
 def frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """Shingle counts over all documents by the low bits of the hash."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -132,8 +143,9 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             n, h1, h2, prefix, ranges = [], [], [], [], []
             for s in _sets(b.column("text"), k):
                 n.append(len(s))
-                h1.append(int(W.mix(s).sum(dtype=np.uint64)) if len(s) else 0)
-                h2.append(int(np.bitwise_xor.reduce(W.mix(s + np.uint64(1)))) if len(s) else 0)
+                one, two = name(s)
+                h1.append(one)
+                h2.append(two)
                 p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 prefix.append(s[np.lexsort((s, often[s & mask]))[:p]])
                 ranges.append(sketch(s))
@@ -215,16 +227,12 @@ def _slot(slots: int) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(slots).cast("long"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that link. Sets are made anew, where the texts are read, for the
-    documents in pairs; these are told by a bit per hash of doc_id in a table of bounded size,
-    so that no text is shuffled."""
-    pairs = stored(pairs, "pairs")
-    n = pairs.count()
-    if not n:
-        return pairs
-    slots = 1 << int(np.clip(np.ceil(np.log2(32 * n)), *SLOT_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select((_slot(slots) + 1).alias("slot"))
+def made_sets(ids: DataFrame, n: int, docs: DataFrame, k: int) -> DataFrame:
+    """(id, set) of the documents in ``ids``, about ``n``, and of some others. Sets are made
+    anew, where the texts are read; the documents are told by a bit per hash of doc_id in a
+    table of bounded size, so that no text is shuffled."""
+    slots = 1 << int(np.clip(np.ceil(np.log2(16 * n)), *SLOT_BITS))
+    ids = ids.select((_slot(slots) + 1).alias("slot"))
     rows = ids.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
     table = np.zeros((slots >> 15, 4096), np.uint8)
     for r in rows:
@@ -240,7 +248,16 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
                 yield pa.RecordBatch.from_arrays([x.column("id"), pa.array([s.tobytes() for s in _sets(x.column("text"), k)], pa.binary())], ["id", "set"])
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("slot", _slot(slots))
-    made = stored(texts.mapInArrow(sets, "id long, set binary"), "sets")
+    return stored(texts.mapInArrow(sets, "id long, set binary"), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that link."""
+    pairs = stored(pairs, "pairs")
+    n = pairs.count()
+    if not n:
+        return pairs
+    made = made_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), 2 * n, docs, k)
     if made.groupBy("id").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] > 1:  # repeated rows
         made = made.dropDuplicates(["id", "set"])
     wide = pairs.join(made.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(made.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
@@ -261,9 +278,52 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     return packed(packed(wide, n, 200).mapInArrow(check, "a long, b long").distinct(), n)
 
 
+def link_counts(named: DataFrame, roots: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, n_links): with how many other classes each class of ``roots`` links, exactly."""
+    nodes = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "nodes")
+    n = nodes.count()
+    if not n:
+        return docs.sparkSession.createDataFrame([], "node long, n_links long")
+
+    def names(batches):
+        for b in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("set")]
+            h = np.array([name(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(s) for s in sets], pa.int64()), b.column("set")], ["id", "h1", "h2", "n", "set"])
+
+    key = ["id", "h1", "h2", "n"]
+    made = made_sets(nodes.select(F.col("node").alias("id")), n, docs, k).mapInArrow(names, "id long, h1 long, h2 long, n long, set binary")
+    made = made.join(named.select(*key), key, "left_semi").dropDuplicates(key)
+    made = stored(made.join(nodes.select(F.col("node").alias("id"), "root"), "id").select("root", "id", "set"), "class-sets")
+    sizes = made.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("set")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = made.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("root", "i", "j", "own", "id", "set")
+
+    def count(t: pa.Table) -> pa.Table:
+        ids, block = t.column("id").to_numpy(), t.column("own").to_numpy()
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set").combine_chunks()]
+        n = np.array([len(s) for s in sets])
+        at = np.cumsum(n) - n
+        every, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        found = [np.zeros((0, 2), np.int64)]
+        for x in np.flatnonzero(block == i):
+            has = np.zeros(len(every), np.int64)
+            has[flat[at[x] : at[x] + n[x]]] = 1
+            same = np.add.reduceat(has[flat], at)
+            y = np.flatnonzero((block == j) & (ids != ids[x]) & (den * same >= num * (n + n[x] - same)))
+            found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
+        # A number's sets are all of one block: no other task sees these pairs.
+        node, many = np.unique(np.unique(np.concatenate(found), axis=0), return_counts=True)
+        return pa.table({"node": node, "n_links": many})
+
+    return own.groupBy("root", "i", "j").applyInArrow(count, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
 def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``documents`` (doc_id, n_shingles, class_id), ``links`` (a, b) between classes as
-    found, and ``roots`` (node, root) of the classes that have links."""
+    """``documents`` (doc_id, n_shingles, class_id), ``named`` classes (id, h1, h2, n, ...) and
+    ``roots`` (node, root) of the classes that have links and are not their own root."""
     sets = stored(prefixes(docs, k, num, den), "prefixes")
     named = sets.where("doc_id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     rows = named.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -309,16 +369,17 @@ def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[
     key = ["h1", "h2", "n"]
     documents = sets.drop("prefix", "sketch").join(named.select(*key, F.col("id").alias("class_id")), key, "left")
     documents = documents.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
-    if links is None:
-        links = docs.sparkSession.createDataFrame([], "a long, b long")
-    return documents, links, roots
-
-
-def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, n_links): a row per document; n_links
-    counts the links found between its class and others."""
-    documents, links, roots = linked(docs, k, num, den)
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    extra = ends.join(roots, "node", "left")
-    out = documents.join(extra, documents["class_id"] == extra["node"], "left")
-    return out.select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return documents, named, roots
+
+
+def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, count: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id): a row per document. With ``count`` also
+    n_links, the number of other classes that its class links with."""
+    documents, named, roots = linked(docs, k, num, den)
+    out = documents.join(roots, documents["class_id"] == roots["node"], "left")
+    out = out.select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    if not count:
+        return out
+    ends = link_counts(named, roots, docs, k, num, den)
+    out = out.join(ends, out["class_id"] == ends["node"], "left").drop("node")
+    return out.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))

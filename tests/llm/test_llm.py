@@ -109,6 +109,19 @@ def test_ngram_join_of_a_crowd_in_blocks(spark, monkeypatch, rows):
     assert met and 1 < len(set(root.values())) < 60
 
 
+@pytest.mark.parametrize("rows", [1024, 5])
+def test_ngram_join_counts_all_links_of_a_crowd(spark, monkeypatch, rows):
+    for key, value in (("PAIRS_PER_ROW", 0), ("LEAST_PAIRS", 0), ("BLOCK_ROWS", rows)):
+        monkeypatch.setattr(ngram_join, key, value)
+    base = [f"w{i}" for i in range(100)]
+    texts = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(30)]  # a clique
+    texts += [(40, texts[3][1]), (41, " ".join([*base[:9], *"abcdefg", *base[16:]])), (42, "alone"), (None, texts[4][1])]
+    sets = {i: set(t.split()) for i, t in texts if i not in (40, None)}
+    links = {a: sum(a != b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    got = {r.doc_id: r.n_links for r in ngram_join.join(spark.createDataFrame(texts, "doc_id long, text string"), 1, 90, 100, count=True).collect()}
+    assert got == links | {40: links[3], None: 0} and links[0] >= 29 and links[42] == 0
+
+
 def test_sketches_bound_differences():
     rng = np.random.default_rng(5)
     for n, m, both in ((10, 12, 9), (1000, 1050, 990), (3000, 5000, 2500), (40, 900, 40), (0, 3, 0)):
