@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgraph.llm import decontam, mixing, ngram_join, sharding, toxicity
-from relgraph.llm.common import stored
+from relgraph.llm.common import numbered, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +22,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group linked by 5-word shingles at 0.8; rows without
-    doc_id stay."""
-    kept = ngram_join.join(docs, k=5, num=80, den=100).where("doc_id = component_id").select("doc_id")
-    own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    doc_id stay. Rows of one doc_id and different texts are told apart: the number of
+    (doc_id, text) stands for them; of equal ones the row with the smallest other columns stays."""
+    own = docs.where("doc_id is not null")
+    repeated = bool(own.groupBy("doc_id").count().where("count > 1").head(1))
+    rows = _told_apart(own) if repeated else own.withColumn("_row", F.col("doc_id"))
+    texts = rows.select(F.col("_row").alias("doc_id"), "text")
+    kept = ngram_join.join(texts, k=5, num=80, den=100).where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
+    own = rows.join(kept, "_row", "left_semi")
+    if repeated:
+        own = own.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_first")).select("_first.*")
+    return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with _row: the number of (doc_id, text) in the order of doc_id and a digest."""
+    docs = docs.withColumn("_digest", F.coalesce(F.sha2("text", 256), F.lit("")))
+    key = ["doc_id", "_digest"]
+    each = docs.select(*key).distinct().repartitionByRange(*key).withColumns({"_part": F.spark_partition_id(), "_one": F.lit(1).cast("long")})
+    numbers = numbered(stored(each, "rows"), ["_part", *key], "_row", [], "_one").select(*key, "_row")
+    return stored(docs.join(numbers, key).drop("_digest"), "told-apart")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

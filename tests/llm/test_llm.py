@@ -325,6 +325,17 @@ def test_targets_share_what_is_over(spark):
     assert t["a"] == 30 and t[None] == 270 and t["b"] == pytest.approx(800)
 
 
+def test_near_copies_are_told_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = a.replace("a59", "z")
+    # 1 has texts of its own and one that is a near copy of 5's; 7 has equal rows; 0 copies one text of 9.
+    rows = [(1, b, "s"), (1, c, "s"), (5, near, "s"), (1, a, "s"), (7, d, "s"), (7, d, "s"), (9, d.upper(), "s"), (9, "other words", "t"), (None, a, "s"), (None, a, "s")]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
+    assert got == Counter([(1, a), (1, b), (1, c), (7, d), (9, "other words"), (None, a), (None, a)])
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline
 
