@@ -1,9 +1,17 @@
-"""A mapping as R2RML Turtle."""
+"""A mapping as R2RML Turtle.
+
+A class by discriminator value is a column of the map's query, null for other values, and
+the placeholders of a query's tables are written as their names.
+"""
 
 from __future__ import annotations
 
-from relgraph.plans.mapping import Literal, Mapping, Reference, Template
+import re
+
+from relgraph.plans.mapping import Literal, Mapping, Reference, Template, TriplesMap
 
+#: The column that holds the class by discriminator value.
+CLASS = "class_by_value"
 PREFIXES = {"rr": "http://www.w3.org/ns/r2rml#", "xsd": "http://www.w3.org/2001/XMLSchema#", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"}
 
 
@@ -11,15 +19,33 @@ def _text(s: str) -> str:
     return '"' + s.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
 
 
+def _value(v: object) -> str:
+    return str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+
+
+def _query(m: TriplesMap) -> str:
+    """The query of a map's rows; empty for a plain table."""
+    table = re.sub(r"\{(\w+)\}", r"\1", m.table) if " " in m.table.strip() else m.table
+    source = f"({table})" if " " in table.strip() else table
+    if m.dispatch:
+        # Of equal values the last one counts, as in materialize.
+        cases = " ".join(f"WHEN {m.dispatch.column} = {_value(v)} THEN {_value(c)}" for v, c in reversed(m.dispatch.classes))
+        source = f"(SELECT t.*, CASE {cases} END AS {CLASS} FROM {source} AS t)"
+    if m.where:
+        return f"SELECT * FROM {source} AS w WHERE {m.where}"
+    return source[1:-1] if source.startswith("(") else ""
+
+
 def to_turtle(mapping: Mapping, base: str = "urn:map:") -> str:
     lines = [f"@prefix {p}: <{iri}> ." for p, iri in PREFIXES.items()]
     for m in mapping.maps:
-        query = " " in m.table.strip() or m.where
-        source = m.table if " " in m.table.strip() else f"SELECT * FROM {m.table}"
-        table = f"rr:sqlQuery {_text(f'SELECT * FROM ({source}) WHERE {m.where}' if m.where else source)}" if query else f"rr:tableName {_text(m.table)}"
+        query = _query(m)
+        table = f"rr:sqlQuery {_text(query)}" if query else f"rr:tableName {_text(m.table)}"
         body = [f"<{base}{m.name}> a rr:TriplesMap", f"  rr:logicalTable [ {table} ]"]
         classes = "".join(f" ; rr:class <{c}>" for c in m.classes)
         body.append(f"  rr:subjectMap [ rr:template {_text(m.subject)}{classes} ]")
+        if m.dispatch:
+            body.append(f"  rr:predicateObjectMap [ rr:predicate rdf:type ; rr:objectMap [ rr:column {_text(CLASS)} ; rr:termType rr:IRI ] ]")
         for p, o in m.objects:
             if isinstance(o, Literal):
                 x = f"rr:column {_text(o.column)}" + (" ; rr:termType rr:IRI" if o.iri else f" ; rr:datatype {o.datatype}" if o.datatype else "")

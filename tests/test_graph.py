@@ -126,6 +126,19 @@ def test_turtle_names_every_map():
     assert text.count("rr:TriplesMap ;") == 2 and 'rr:template ":p/{id}"' in text and "rr:joinCondition" in text
 
 
+def test_turtle_has_classes_by_value_and_plain_table_names(spark, tables):
+    import re
+
+    query = Mapping((TriplesMap("q", "SELECT id, kind FROM {person} WHERE age > 0", ":q/{id}", where="id > 1"), MAPPING.maps[1]))
+    text = to_turtle(query)
+    one, two = re.findall(r'rr:sqlQuery "(.*)" \]', text)
+    assert "{person}" not in text and 'rr:predicate rdf:type ; rr:objectMap [ rr:column "class_by_value" ; rr:termType rr:IRI ]' in text
+    tables["person"].createOrReplaceTempView("person")
+    assert [r.id for r in spark.sql(one).collect()] == [3, 3]
+    assert {(r.id, r.class_by_value) for r in spark.sql(two).collect()} == {(1, ":Chair"), (2, ":Member"), (3, None), (None, ":Chair")}
+    assert to_turtle(MAPPING).count('rr:tableName "org"') == 1
+
+
 def test_stream_of_events(spark, tmp_path):
     from relgraph.streaming.incremental import event_triples
 
