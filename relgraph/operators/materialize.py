@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgraph.functions.terms import PLAIN, RDF_TYPE, datatype, placeholders, template
+from relgraph.llm.common import stored
 from relgraph.plans.mapping import Literal, Mapping, Reference, Template, TriplesMap
 
 SCHEMA = "s string, p string, o string, o_kind string, o_datatype string"
@@ -88,16 +89,17 @@ def triples(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapping,
 
 
 def closure(spark: SparkSession, edges: list[tuple[str, str]] | DataFrame) -> DataFrame:
-    """(child, ancestor, depth): the transitive closure, cycles included once."""
+    """(child, ancestor, depth): the transitive closure, cycles included once. Each round
+    joins the pairs to themselves, which doubles the depth, until no pair is new."""
     df = edges if isinstance(edges, DataFrame) else spark.createDataFrame(edges or [("", "")], "child string, parent string").where("child <> ''")
-    return spark.sql(
-        """WITH RECURSIVE up(child, ancestor, depth) AS (
-               SELECT child, parent, 1 FROM {e}
-               UNION ALL
-               SELECT up.child, e.parent, depth + 1 FROM up JOIN {e} AS e ON e.child = up.ancestor WHERE depth < 50 AND e.parent <> up.child)
-           SELECT child, ancestor, min(depth) AS depth FROM up GROUP BY child, ancestor""",
-        e=df,
-    )
+    up = stored(df.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "closure")
+    before, n = 0, up.count()
+    while n > before:
+        more = up.select("child", F.col("ancestor").alias("_mid"), F.col("depth").alias("_d")).join(up.select(F.col("child").alias("_mid"), "ancestor", "depth"), "_mid")
+        more = more.where("child <> ancestor").select("child", "ancestor", (F.col("_d") + F.col("depth")).alias("depth"))
+        up = stored(up.unionByName(more).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")), "closure")
+        before, n = n, up.count()
+    return up
 
 
 def entailed(spark: SparkSession, graph: DataFrame, mapping: Mapping) -> DataFrame:

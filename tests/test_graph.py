@@ -60,6 +60,14 @@ def test_entailment_inverses_axioms_and_cyclic_classes(spark, tables):
     assert (":p/1", "rdf:type", ":Agent") in rows
 
 
+def test_closure_has_no_deepest_level(spark):
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(70)] + [("x", "y"), ("y", "z"), ("z", "x"), ("l", "l")]
+    got = {(r.child, r.ancestor): r.depth for r in M.closure(spark, edges).collect()}
+    want = {(f"c{i}", f"c{j}"): j - i for i in range(71) for j in range(i + 1, 71)}
+    ring = {("x", "y"): 1, ("y", "z"): 1, ("z", "x"): 1, ("x", "z"): 2, ("y", "x"): 2, ("z", "y"): 2, ("l", "l"): 1}
+    assert got == want | ring and M.closure(spark, []).count() == 0
+
+
 def test_sparql_joins_filters_and_counts(spark, tables):
     g = M.triples(spark, tables, MAPPING)
     ask = lambda q: sorted(map(tuple, sparql.evaluate(g, q).collect()))
