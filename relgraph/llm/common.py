@@ -62,22 +62,37 @@ def numbered(df: DataFrame, order: list[str], name: str, by: list[str], within:
     return local.join(sums, [*by, bucket]).withColumn(name, F.col("_before") + F.col("_local")).drop("_before", "_local")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: int, most: int = 10_000) -> DataFrame:
+    """``rows``, ``n`` at most, with the columns of ``table`` (one row a key). Keys of more
+    than n / ``most`` rows, which are fewer than ``most``, meet ``table`` by broadcast, so
+    that no task holds all rows of one; the others meet by shuffle."""
+    least = max(1_000, n // most)
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_many")).where(F.col("_many") > least).select(*keys) if n > least else None
+    found = hot.collect() if hot is not None else []
+    if not found:
+        return rows.join(table, keys)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
+    few = F.broadcast(table.join(hot, keys, "left_semi"))
+    return rows.join(few, keys).unionByName(rows.join(hot, keys, "left_anti").join(table, keys))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` reaches, for all nodes
     but those that are their own root.
 
     Alternating star contraction: each pass hangs a node's larger (then smaller)
-    neighbours on its smallest one. A node of huge degree is only ever the key of a
-    grouped minimum, which Spark combines before the shuffle.
+    neighbours on its smallest one. Minima are combined before the shuffle, and a node of
+    huge degree meets its minimum by broadcast.
     """
     now = stored(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("v <> u").distinct(), "edges")
     while not _stars(now):
+        n = now.count()
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        large = looked_up(both.where("u > v"), low, ["v"], n).select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
-        now = stored(packed(small.where("v <> u").distinct(), now.count(), 100_000), "edges")
+        small = looked_up(large, low, ["v"], n).select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
+        now = stored(packed(small.where("v <> u").distinct(), n, 100_000), "edges")
     return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 

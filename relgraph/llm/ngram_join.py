@@ -13,13 +13,13 @@ link when ``den * |intersection| >= num * |union|``.
    hash range, then bound the difference (suffix filter) before any set is sent; what is left
    is intersected, once per pair.
    The smaller set meets the larger one by its front rows only, which are about half.
-5. All pairs of a shingle's classes are only formed while their number is in proportion to
-   the prefix rows. Beyond it each shingle's class with the fewest rarer shingles, the nearest
-   to a group's middle, is compared with the others, and classes found connected are not
-   compared again. Links that this leaves out join classes that other links connect already:
-   the links found give the components, not the number of links.
-   Once such a round no longer halves the open pairs, what is left does mostly not link: it is
-   dealt into blocks, whose sketches are compared in numpy, and only pairs that pass are rows.
+5. No round forms all pairs of a shingle's classes. In each, the class with the fewest rarer
+   shingles, the nearest to a group's middle, is compared with the shingle's other classes and
+   is done there; classes found connected are not compared again. Links that this leaves out
+   join classes that other links connect already: the links found give the components, not the
+   number of links. Once a round no longer halves the pairs that are open, what is left does
+   mostly not link: it is dealt into blocks, where pairs are formed and filtered in numpy, and
+   only those that pass are rows.
 6. Where links are to be counted, each component's classes are dealt into blocks, each two
    blocks' sets meet in a task of their own, and counts by class are all that leaves it. That
    work grows with the square of a component's classes, as its links may.
@@ -40,20 +40,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.llm import words as W
-from relgraph.llm.common import components, packed, stored
+from relgraph.llm.common import components, looked_up, packed, stored
 
 #: Words per bucket of the frequency table, and its least and most bits (64 MB of counts).
 WORDS_PER_BUCKET = 64
 BITS = (16, 24)
 PARTS = 64
-#: All pairs of shingles' classes are formed while they are at most so many per prefix row.
-PAIRS_PER_ROW, LEAST_PAIRS = 16, 10_000
 #: A sketch has two to four bits a shingle; the logarithm of their least and most number.
 SKETCH_BITS = (6, 20)
 #: The table of documents in pairs has 2 ** 15 bits at least and 2 ** 27 (16 MB) at most.
 SLOT_BITS = (15, 27)
 #: Classes, and bytes of sketches or sets, of a block.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
+#: Pairs, or words of sketches, that a task looks at together.
+PAIRS = 1 << 18
 
 
 def _sets(texts: pa.Array, k: int):
@@ -167,7 +167,7 @@ def _room(nx, px, ny, py, num: int, den: int) -> Column:
     return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (F.least(nx - px, ny - py) >= _need(nx + ny, num, den))
 
 
-def near(pairs: DataFrame, most: int, sets: DataFrame, num: int, den: int) -> DataFrame:
+def near(pairs: DataFrame, most: int, marks: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) of ``pairs``, ``most`` at most, whose sketches leave room for a link
     (suffix filter)."""
 
@@ -177,50 +177,71 @@ def near(pairs: DataFrame, most: int, sets: DataFrame, num: int, den: int) -> Da
             keep = [apart(x, y) <= allowed(nx, ny, num, den) for nx, x, ny, y in rows]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # One row for each text of a doc_id: repeated rows have equal names.
-    own = sets.where("doc_id is not null and n > 0").groupBy("doc_id", "h1", "h2", "n").agg(F.first("sketch").alias("sketch"))
-    x = own.select(F.col("doc_id").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x"))
-    y = own.select(F.col("doc_id").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y"))
+    x = marks.select(F.col("id").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x"))
+    y = marks.select(F.col("id").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y"))
     wide = pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "x", "ny", "y")
     return packed(wide, most).mapInArrow(check, "a long, b long")
 
 
-def crowded(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``entries`` (token, id, n, pos, front, c, sketch) with a common token and
-    different c that pass all filters. A token's entries are dealt into blocks, and each two
-    blocks meet in a task of their own."""
+def crowded(entries: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``entries`` (token, id, n, pos, front, c) with a common token and
+    different c that pass all filters. A token with many entries is dealt into blocks, and each
+    two blocks meet in a task of their own; tokens of one block meet in buckets."""
+    entries = stored(entries.join(marks, ["id", "n"]), "marked")
+    n, size = entries.agg(F.count("*"), F.sum(F.octet_length("sketch"))).first()
+    buckets = max(12, -(-n // BLOCK_ROWS), -(-(size or 0) // BLOCK_BYTES))
     sizes = entries.groupBy("token").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("sketch")) / BLOCK_BYTES)).cast("int").alias("blocks"))
     own = entries.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("id", "n"), "blocks").cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    own = own.withColumn("place", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("token"), F.lit(buckets))).otherwise(F.col("token"))).drop("blocks", "other")
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, n, pos, c, block, front = (t.column(x).to_numpy() for x in ("id", "n", "pos", "c", "own", "front"))
-        marks = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sketch").combine_chunks()]
-        size = np.array([len(x) for x in marks])
-        sizes = np.unique(size)
-        rows = {k: np.flatnonzero(size == k) for k in sizes}
-        matrix = {k: np.stack([marks[r] for r in rows[k]]) for k in sizes}
+        t = t.sort_by("token")
+        token, ids, n, pos, c, block, front = (t.column(x).to_numpy() for x in ("token", "id", "n", "pos", "c", "own", "front"))
+        begin, end = np.searchsorted(token, token, "left"), np.searchsorted(token, token, "right")
         two = t.column("i")[0].as_py() != t.column("j")[0].as_py()
         found = [np.zeros((0, 2), np.int64)]
-        for kx in sizes:
-            for ky in sizes[sizes >= kx]:
-                y, small = rows[ky], folded(matrix[ky], kx)
-                for at, x in enumerate(rows[kx]):
-                    if not front[x]:
-                        continue
-                    need = -(-num * (n[x] + n[y]) // (num + den))
-                    ok = (n[x] <= n[y]) & (ids[x] != ids[y]) & (c[x] != c[y]) & (den * n[x] >= num * n[y]) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
-                    if two:
-                        ok &= block[x] != block[y]
-                    ok = np.flatnonzero(ok)
-                    far = np.bitwise_count(matrix[kx][at] ^ small[ok]).sum(1, dtype=np.int64)
-                    ok = ok[far <= n[x] + n[y[ok]] - 2 * need[ok]]
-                    found.append(np.stack([np.minimum(ids[x], ids[y[ok]]), np.maximum(ids[x], ids[y[ok]])], 1))
-        a, b = np.unique(np.concatenate(found), axis=0).T
+        for at in _some(np.flatnonzero(front), (end - begin)[front], PAIRS):
+            many = (end - begin)[at]
+            x = np.repeat(at, many)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + begin[x]
+            ok = (n[x] <= n[y]) & (ids[x] != ids[y]) & (c[x] != c[y]) & (den * n[x] >= num * n[y]) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= -(-num * (n[x] + n[y]) // (num + den)))
+            if two:
+                ok &= block[x] != block[y]
+            found.append(np.stack([x[ok], y[ok]], 1))
+        x, y = np.concatenate(found).T
+        # A pair is looked at once, whatever it has in common here.
+        key = np.stack([ids[x], n[x], ids[y], n[y]], 1)
+        once = np.unique(key, axis=0, return_index=True)[1]
+        x, y = x[once], y[once]
+        room = n[x] + n[y] - 2 * -(-num * (n[x] + n[y]) // (num + den))
+        near = _apart(t.column("sketch").combine_chunks(), x, y) <= room
+        a, b = np.minimum(ids[x], ids[y])[near], np.maximum(ids[x], ids[y])[near]
         return pa.table({"a": a, "b": b})
 
-    return own.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return own.groupBy("place", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _some(at: np.ndarray, cost: np.ndarray, most: int):
+    """``at`` in pieces whose ``cost`` is about ``most``."""
+    piece = np.cumsum(cost) // most
+    return np.split(at, np.flatnonzero(np.diff(piece)) + 1)
+
+
+def _apart(sketches: pa.Array, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """As ``apart`` for the rows x and y of ``sketches``."""
+    marks = [np.frombuffer(s.as_buffer(), np.uint64) for s in sketches]
+    size = np.array([len(m) for m in marks], np.int64)
+    out = np.zeros(len(x), np.int64)
+    both = np.stack([size[x], size[y]], 1)
+    for kx, ky in np.unique(both, axis=0):
+        k = min(kx, ky)
+        rows = np.flatnonzero((both == (kx, ky)).all(1))
+        for some in _some(rows, np.full(len(rows), k), PAIRS):
+            left, right = (folded(np.stack([marks[i] for i in z[some]]), k) for z in (x, y))
+            out[some] = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+    return out
 
 
 def _slot(slots: int) -> Column:
@@ -331,44 +352,38 @@ def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[
     rows = rows.withColumn("front", F.col("n") - F.col("pos") >= _need(2 * F.col("n"), num, den))
     met = rows.groupBy("token").agg(F.count("*").alias("m"), F.max("front").alias("any")).where("m > 1 and any").select("token")
     entries = stored(rows.join(met, "token").select("token", "id", "n", "pos", "front"), "entries")
-    links = None
+    marks = stored(named.select("id", "n", "sketch").join(entries.select("id").distinct(), "id", "left_semi"), "marks")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    limit = max(PAIRS_PER_ROW * entries.count(), LEAST_PAIRS)
     before = None
     while True:
-        e = entries.join(roots, entries["id"] == roots["node"], "left").select("token", "id", "n", "pos", "front", F.coalesce("root", "id").alias("c"))
-        e = stored(e, "open") if links is not None else e
-        per = e.groupBy("token", "c").agg(F.count("*").alias("m"), F.count_if("front").alias("k")).groupBy("token").agg((F.sum("m") * F.sum("k") - F.sum(F.col("m") * F.col("k"))).alias("pairs"))
-        open_tokens = per.where("pairs > 0")
-        total = open_tokens.agg(F.sum("pairs")).first()[0] or 0
+        e = entries.withColumn("c", F.col("id")) if before is None else stored(entries.join(roots, entries["id"] == roots["node"], "left").select("token", "id", "n", "pos", "front", F.coalesce("root", "id").alias("c")), "open")
+        per = e.groupBy("token", "c").agg(F.count("*").alias("m"), F.count_if("front").alias("k"))
+        per = per.groupBy("token").agg((F.sum("m") * F.sum("k") - F.sum(F.col("m") * F.col("k"))).alias("pairs"), F.sum("m").alias("m")).where("pairs > 0")
+        per = stored(per, "open-tokens")
+        total, rows_left = per.agg(F.sum("pairs"), F.sum("m")).first()
         if not total:
             break
-        e = e.join(open_tokens.select("token"), "token") if links is not None else e
-        if total > limit and before is not None and 2 * total > before:
-            marks = named.select("id", "n", "sketch").join(e.select("id").distinct(), "id", "left_semi")
-            found = verified(crowded(e.join(marks, ["id", "n"]), num, den), docs, k, num, den)
-            links = stored(links.unionByName(found), "links")
-            roots = components(links)
+        e = e.join(per.select("token"), "token")
+        if before is not None and 2 * total > before:
+            found = verified(crowded(e, marks, num, den), docs, k, num, den)
+            roots = components(stored(links.unionByName(found), "links"))
             break
         before = total
-        x = e.select("token", F.col("id").alias("a"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"), "front")
-        if total <= limit:
-            y = e.select("token", F.col("id").alias("b"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"))
-            pairs = x.where("front").join(y, "token").where((F.col("nx") <= F.col("ny")) & (F.col("a") != F.col("b")) & (F.col("cx") != F.col("cy")))
-        else:
-            low = e.where("front").groupBy("token").agg(F.min(F.struct("pos", "n", "id", "c")).alias("low"))
-            y = low.select("token", F.col("low.id").alias("b"), F.col("low.n").alias("ny"), F.col("low.pos").alias("py"), F.col("low.c").alias("cy"))
-            pairs = x.join(y, "token").where((F.col("a") != F.col("b")) & (F.col("cx") != F.col("cy")))
-            entries = stored(e.join(low.select("token", F.col("low.id").alias("_low")), "token").where("id <> _low").select("token", "id", "n", "pos", "front"), "entries")
-        pairs = pairs.where(_room(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = verified(near(pairs, int(min(total, limit)), sets, num, den), docs, k, num, den)
-        links = stored(found if links is None else links.unionByName(found), "links")
-        roots = components(links)
-        if total <= limit:
-            break
+        low = e.where("front").groupBy("token").agg(F.min(F.struct("pos", "n", "id", "c")).alias("low"))
+        e = e.join(low, "token").where(F.col("id") != F.col("low.id"))
+        entries = stored(e.select("token", "id", "n", "pos", "front", "c", "low"), "entries")
+        pairs = entries.where((F.col("c") != F.col("low.c")) & _room(F.col("n"), F.col("pos"), F.col("low.n"), F.col("low.pos"), num, den))
+        pairs = pairs.select(F.least("id", "low.id").alias("a"), F.greatest("id", "low.id").alias("b")).distinct()
+        found = stored(verified(near(pairs, rows_left, marks, num, den), docs, k, num, den), "found")
+        if not found.isEmpty():
+            links = stored(links.unionByName(found), "links")
+            roots = components(links)
     key = ["h1", "h2", "n"]
-    documents = sets.drop("prefix", "sketch").join(named.select(*key, F.col("id").alias("class_id")), key, "left")
-    documents = documents.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    own = sets.select("doc_id", *key)
+    known = looked_up(own.where("doc_id is not null and n > 0"), named.select(*key, F.col("id").alias("class_id")), key, own.count())
+    documents = known.unionByName(own.where("doc_id is null or n = 0").withColumn("class_id", F.col("doc_id")))
+    documents = documents.select("doc_id", F.col("n").alias("n_shingles"), "class_id")
     return documents, named, roots
 
 

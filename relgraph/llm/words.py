@@ -28,7 +28,7 @@ _VALUE = _random.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.cumprod(np.full(256, _BASE, np.uint64))
 #: Bytes of text that are looked at together; one longer text stands alone.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
