@@ -14,50 +14,63 @@ from relgraph.llm import decontam, mixing, ngram_join, sharding, toxicity
 from relgraph.llm.common import numbered, stored
 
 
+def _bare(docs: DataFrame) -> DataFrame:
+    """doc_id, text, source and all columns as one, so that none clashes with an operator's."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", "source", F.struct(*rest).alias("_rest"))
+
+
+def _whole(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows with the columns of ``docs`` again."""
+    return rows.select("doc_id", "text", "_rest.*").select(*docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _whole(toxicity.score(_bare(docs), model).where("predicted = 0"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group linked by 5-word shingles at 0.8; rows without
-    doc_id stay. Rows of one doc_id and different texts are told apart: the number of
-    (doc_id, text) stands for them; of equal ones the row with the smallest other columns stays."""
-    own = docs.where("doc_id is not null")
-    repeated = bool(own.groupBy("doc_id").count().where("count > 1").head(1))
-    rows = _told_apart(own) if repeated else own.withColumn("_row", F.col("doc_id"))
-    texts = rows.select(F.col("_row").alias("doc_id"), "text")
-    kept = ngram_join.join(texts, k=5, num=80, den=100).where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
-    own = rows.join(kept, "_row", "left_semi")
-    if repeated:
-        own = own.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_first")).select("_first.*")
-    return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The smallest doc_id of each group linked by 5-word shingles at 0.8. Rows of one doc_id
+    and different texts are documents of their own, and so are rows without doc_id, which come
+    last: the number of (doc_id, text) stands for them. Of equal ones the row with the smallest
+    other columns stays. Texts without words are nobody's copy, but equal rows are."""
+    bare = _bare(docs)
+    one = bare.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    rows = bare.withColumn("_row", F.col("doc_id")) if one else _told_apart(bare)
+    kept = ngram_join.join(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100)
+    kept = kept.where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
+    rows = rows.join(kept, "_row", "left_semi")
+    if not one:
+        rows = rows.groupBy("_row").agg(F.min(F.struct("doc_id", "text", "source", "_rest")).alias("_first")).select("_first.*")
+    return _whole(rows, docs)
 
 
 def _told_apart(docs: DataFrame) -> DataFrame:
     """``docs`` with _row: the number of (doc_id, text) in the order of doc_id and a digest."""
-    docs = docs.withColumn("_digest", F.coalesce(F.sha2("text", 256), F.lit("")))
-    key = ["doc_id", "_digest"]
+    docs = docs.withColumns({"_none": F.col("doc_id").isNull(), "_doc": F.coalesce("doc_id", F.lit(0)), "_digest": F.coalesce(F.sha2("text", 256), F.lit(""))})
+    key = ["_none", "_doc", "_digest"]
     each = docs.select(*key).distinct().repartitionByRange(*key).withColumns({"_part": F.spark_partition_id(), "_one": F.lit(1).cast("long")})
     numbers = numbered(stored(each, "rows"), ["_part", *key], "_row", [], "_one").select(*key, "_row")
-    return stored(docs.join(numbers, key).drop("_digest"), "told-apart")
+    return stored(docs.join(numbers, key).drop(*key), "told-apart")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    found = decontam.decontaminate(_bare(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _whole(found.where(F.size("leaks") == 0), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole times, and once more where a
-    hash of its doc_id is below the rest."""
-    mixed = mixing.mix(docs)["documents"].groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.try_divide("taken", "size")).alias("_times"))
+    hash of its doc_id is below the rest. A text without words is taken no time."""
+    bare = _bare(docs)
+    mixed = mixing.mix(bare)["documents"].groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.try_divide("taken", "size")).alias("_times"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("_times") + chance).cast("int")
-    rows = docs.join(mixed.where("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_id"))).where(copies > 0)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    rows = bare.join(mixed.where("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_id"))).where(copies > 0)
+    return _whole(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))), docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
