@@ -5,7 +5,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Spark hand Python ``rows`` rows at a time at most, unless the session asks for
+    less: whole texts are long, and a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
 
@@ -62,6 +74,31 @@ def numbered(df: DataFrame, order: list[str], name: str, by: list[str], within:
     return local.join(sums, [*by, bucket]).withColumn(name, F.col("_before") + F.col("_local")).drop("_before", "_local")
 
 
+def total_of(rows: DataFrame, add: Callable, size: int, kind=np.float64, parts: int = 16) -> np.ndarray:
+    """The sum of the arrays of ``size`` numbers that ``add`` yields for each task's batches
+    (mapInArrow). Arrays travel compressed and in parts, and are summed in two levels, so that
+    no task holds those of all."""
+    wide = -(-size // parts)
+    schema = "part int, data binary"
+
+    def made(at: list[int], arrays: list[np.ndarray]) -> list:
+        return [pa.array(at, pa.int32()), pa.array([zlib.compress(x.astype(kind).tobytes(), 1) for x in arrays], pa.binary())]
+
+    def each(batches):
+        for total in add(batches):
+            yield pa.RecordBatch.from_arrays(made(list(range(parts)), [total[k * wide : (k + 1) * wide] for k in range(parts)]), ["part", "data"])
+
+    def summed(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), kind).astype(np.float64) for x in t.column("data"))
+        return pa.Table.from_arrays(made([t.column("part")[0].as_py()], [total]), ["part", "data"])
+
+    some = rows.mapInArrow(each, schema).groupBy("part", (F.spark_partition_id() % 64).alias("_some")).applyInArrow(summed, schema)
+    total = np.zeros(size)
+    for r in some.groupBy("part").applyInArrow(summed, schema).collect():
+        total[r.part * wide : (r.part + 1) * wide] = np.frombuffer(zlib.decompress(r.data), kind)
+    return total
+
+
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: int, most: int = 10_000) -> DataFrame:
     """``rows``, ``n`` at most, with the columns of ``table`` (one row a key). Keys of more
     than n / ``most`` rows, which are fewer than ``most``, meet ``table`` by broadcast, so

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.llm import words as W
+from relgraph.llm.common import small_batches
 
 ENTRY = 64
 BLOCK = 32
@@ -223,6 +224,7 @@ class Index:
 
 def decontaminate(docs: DataFrame, items: DataFrame, least: float = LEAST, question: float = QUESTION, answer: float = ANSWER, max_items: int = MAX_ITEMS) -> DataFrame:
     """``docs`` with leaks: array of (item_id, score, question, answer), by item_id."""
+    small_batches(docs.sparkSession)
     items = items.select("item_id", "text").where("item_id is not null and text is not null")
     shards = max(1, -(-items.count() // max_items))
     shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relgraph.llm.common import stored
+from relgraph.llm.common import small_batches, stored
 from relgraph.llm.words import SPACES, mix
 
 LEAST = 10
@@ -152,6 +152,7 @@ def probed(lines: DataFrame, index: DataFrame, shards: int, per_task: int = PER_
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, per_shard: int = PER_SHARD, per_task: int = PER_TASK) -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept_text."""
+    small_batches(docs.sparkSession)
     lines = stored(document_lines(docs, least), "lines")
     index, shards = line_index(lines, per_shard)
     drop = probed(lines, index, shards, per_task).withColumnRenamed("doc_id", "_doc")

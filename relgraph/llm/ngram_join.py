@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.llm import words as W
-from relgraph.llm.common import components, looked_up, packed, stored
+from relgraph.llm.common import components, looked_up, packed, small_batches, stored
 
 #: Words per bucket of the frequency table, and its least and most bits (64 MB of counts).
 WORDS_PER_BUCKET = 64
@@ -140,18 +140,18 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         often = counts.value
         mask = np.uint64(len(often) - 1)
         for b in batches:
-            n, h1, h2, prefix, ranges = [], [], [], [], []
-            for s in _sets(b.column("text"), k):
-                n.append(len(s))
-                one, two = name(s)
-                h1.append(one)
-                h2.append(two)
-                p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
-                prefix.append(s[np.lexsort((s, often[s & mask]))[:p]])
-                ranges.append(sketch(s))
-            at = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
-            flat = np.concatenate([*prefix, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(ranges, pa.binary())], ["doc_id", "n", "h1", "h2", "prefix", "sketch"])
+            for lo, hi in W.slices(b.column("text")):
+                n, names, prefix, ranges = [], [], [], []
+                for s in _sets(b.column("text").slice(lo, hi - lo), k):
+                    n.append(len(s))
+                    names.append(name(s))
+                    p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
+                    prefix.append(s[np.lexsort((s, often[s & mask]))[:p]])
+                    ranges.append(sketch(s))
+                at = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
+                flat = np.concatenate([*prefix, np.zeros(0, np.uint64)]).view(np.int64)
+                h = np.array(names, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(ranges, pa.binary())], ["doc_id", "n", "h1", "h2", "prefix", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, n long, h1 long, h2 long, prefix array<long>, sketch binary")
 
@@ -345,6 +345,7 @@ def link_counts(named: DataFrame, roots: DataFrame, docs: DataFrame, k: int, num
 def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``documents`` (doc_id, n_shingles, class_id), ``named`` classes (id, h1, h2, n, ...) and
     ``roots`` (node, root) of the classes that have links and are not their own root."""
+    small_batches(docs.sparkSession)
     sets = stored(prefixes(docs, k, num, den), "prefixes")
     named = sets.where("doc_id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     rows = named.select("id", "n", F.posexplode("prefix").alias("pos", "token"))

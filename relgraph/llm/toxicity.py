@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.llm import words as W
+from relgraph.llm.common import small_batches
 
 #: Kinds of group names that may stand for one another.
 IDENTITY = (
@@ -109,6 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample:
     """Learn from the ``sample`` labelled rows whose doc_id hashes lowest. ``learn`` is a
     condition on doc_id. The features are the ``n_features`` with the highest
     log-likelihood ratio between toxic and other rows, counted by Spark."""
+    small_batches(docs.sparkSession)
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     rows = rows if learn is None else rows.where(learn)
     rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y"))
