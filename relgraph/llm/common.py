@@ -45,6 +45,12 @@ def packed(df: DataFrame, rows: int, per_task: int = 10_000) -> DataFrame:
     return df.coalesce(max(12, -(-rows // per_task)))
 
 
+def freed(spark: SparkSession) -> None:
+    """Spark deletes shuffle files after the driver's JVM has collected what refers to them;
+    long jobs ask for that between rounds, lest all rounds' files lie on disk."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage is cut and a
     lost executor costs no more than its running tasks."""

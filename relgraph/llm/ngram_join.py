@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.llm import words as W
-from relgraph.llm.common import components, looked_up, packed, small_batches, stored
+from relgraph.llm.common import components, freed, looked_up, packed, small_batches, stored
 
 #: Words per bucket of the frequency table, and its least and most bits (64 MB of counts).
 WORDS_PER_BUCKET = 64
@@ -348,17 +348,21 @@ def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[
     small_batches(docs.sparkSession)
     sets = stored(prefixes(docs, k, num, den), "prefixes")
     named = sets.where("doc_id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    rows = named.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    named = stored(named, "classes")
+    rows = named.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     # The smaller of two linked sets has their first shared shingle this far in front.
-    rows = rows.withColumn("front", F.col("n") - F.col("pos") >= _need(2 * F.col("n"), num, den))
-    met = rows.groupBy("token").agg(F.count("*").alias("m"), F.max("front").alias("any")).where("m > 1 and any").select("token")
-    entries = stored(rows.join(met, "token").select("token", "id", "n", "pos", "front"), "entries")
+    front = (F.col("n") - F.col("pos") >= _need(2 * F.col("n"), num, den)).alias("front")
+    met = rows.groupBy("token").agg(F.count("*").alias("m"), F.max(front).alias("any")).where("m > 1 and any").select("token")
+    entries = stored(rows.join(met, "token"), "entries").select("token", "id", "n", "pos", front)
     marks = stored(named.select("id", "n", "sketch").join(entries.select("id").distinct(), "id", "left_semi"), "marks")
+    freed(docs.sparkSession)
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     before = None
     while True:
-        e = entries.withColumn("c", F.col("id")) if before is None else stored(entries.join(roots, entries["id"] == roots["node"], "left").select("token", "id", "n", "pos", "front", F.coalesce("root", "id").alias("c")), "open")
+        e = entries.withColumn("c", F.col("id"))
+        if before is not None:
+            e = stored(entries.join(roots, entries["id"] == roots["node"], "left").select("token", "id", "n", "pos", "front", F.coalesce("root", "id").alias("c")), "open")
         per = e.groupBy("token", "c").agg(F.count("*").alias("m"), F.count_if("front").alias("k"))
         per = per.groupBy("token").agg((F.sum("m") * F.sum("k") - F.sum(F.col("m") * F.col("k"))).alias("pairs"), F.sum("m").alias("m")).where("pairs > 0")
         per = stored(per, "open-tokens")
@@ -373,13 +377,14 @@ def linked(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> tuple[
         before = total
         low = e.where("front").groupBy("token").agg(F.min(F.struct("pos", "n", "id", "c")).alias("low"))
         e = e.join(low, "token").where(F.col("id") != F.col("low.id"))
-        entries = stored(e.select("token", "id", "n", "pos", "front", "c", "low"), "entries")
-        pairs = entries.where((F.col("c") != F.col("low.c")) & _room(F.col("n"), F.col("pos"), F.col("low.n"), F.col("low.pos"), num, den))
+        pairs = e.where((F.col("c") != F.col("low.c")) & _room(F.col("n"), F.col("pos"), F.col("low.n"), F.col("low.pos"), num, den))
         pairs = pairs.select(F.least("id", "low.id").alias("a"), F.greatest("id", "low.id").alias("b")).distinct()
         found = stored(verified(near(pairs, rows_left, marks, num, den), docs, k, num, den), "found")
         if not found.isEmpty():
             links = stored(links.unionByName(found), "links")
             roots = components(links)
+        entries = e.select("token", "id", "n", "pos", "front")
+        freed(docs.sparkSession)
     key = ["h1", "h2", "n"]
     own = sets.select("doc_id", *key)
     known = looked_up(own.where("doc_id is not null and n > 0"), named.select(*key, F.col("id").alias("class_id")), key, own.count())
