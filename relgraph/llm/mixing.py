@@ -3,14 +3,18 @@
 Slot i of the schedule is the point frac(i * golden ratio); the interval of the
 cumulative weights that it falls into names its source. Any run of slots then holds each
 source nearly in proportion, with no counters that tasks would have to share. Slots are
-ranked per source; a source's shuffled documents, laid end to end, are cut into blocks of
-``block`` tokens, and the slot of rank r takes block r mod (number of blocks).
+ranked per source. A source's shuffled documents, laid end to end again and again, are a
+stream of words, of which the slot of rank r takes those from r * ``block`` on: ``block`` of
+them, but no word beyond the source's target. A source whose slots end before its target, as
+one smaller than a block may, gets the slots that it lacks behind the others. So each source
+gives its target, to the word.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is a
 source of its own, last in order; an empty table gives an empty result; rows with the
-same doc_id are separate pieces (they are told apart by nothing else, and equal rows take
-equal shares); null ids are ids of their own. Sizes, targets and taken words of sources
-without words are 0. Columns of the input are not read beyond doc_id, text and source.
+same doc_id, or without one, are separate pieces (equal rows take equal shares). Sizes,
+targets and taken words of sources without words are 0. Columns of the input are not read
+beyond doc_id, text and source. The sources themselves, a catalog, are ordered and held by
+the driver.
 """
 
 from __future__ import annotations
@@ -50,27 +54,25 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> dict[str, DataFrame]:
-    """``sources``: targets; ``schedule``: (slot, source_no, rank, pass, block); ``pieces``:
-    (doc_id, source_no, block, start, tokens), the part of a document in a block;
-    ``documents``: (doc_id, size, source, source_size, target, taken)."""
+    """``sources``: targets; ``schedule``: (slot, source_no, rank, start, tokens), the words of
+    its source's stream that a slot takes; ``pieces``: (doc_id, source_no, start, size), a
+    document's place in the stream; ``documents``: (doc_id, size, source, source_size, target,
+    taken)."""
     sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     # Sources as numbered intervals of the cumulative targets; empty ones have none.
     w = Window.orderBy(F.col("source").isNull(), "source")
-    sources = stored(by_source.select("*", (F.row_number().over(w) - 1).alias("source_no"), F.sum("target").over(w).alias("upto")), "targets")
+    sources = stored(by_source.select("*", (F.row_number().over(w) - 1).alias("source_no"), F.sum("target").over(w).alias("upto"), F.round("target").cast("long").alias("_words")), "targets")
     total = sources.agg(F.sum("target")).first()[0] or 0.0
     n_slots = math.ceil(total / block)
-    keys = [F.col("source").eqNullSafe(F.col("_s"))]
-    keyed = sized.join(F.broadcast(sources.select(F.col("source").alias("_s"), "source_no", "source_size", "target")) if sources.count() <= 100_000 else sources.select(F.col("source").alias("_s"), "source_no", "source_size", "target"), keys).drop("_s")
+    few = sources.count() <= 100_000
+    named = sources.select(F.col("source").alias("_s"), "source_no", "source_size", "target")
+    keyed = sized.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
     # Shuffled order of a source's documents: by a hash of doc_id, in buckets of about RUN.
-    n_docs = keyed.count()
-    buckets = max(1, n_docs // RUN)
+    buckets = max(64, keyed.count() // RUN)
     keyed = keyed.withColumn("_h", F.xxhash64("doc_id", F.lit(17))).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 33), F.lit(buckets)))
-    laid = numbered(keyed.where("size > 0"), ["_b", "_h", "doc_id", "size"], "start", ["source_no"], "size")
-    k = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
-    lo, hi = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    pieces = laid.select("doc_id", "source_no", "start", "size", k.alias("block")).select("doc_id", "source_no", "block", lo.alias("start"), (hi - lo).alias("tokens"))
+    laid = numbered(keyed, ["_b", "_h", "doc_id", "size"], "start", ["source_no"], "size")
 
     # The schedule. Slots are dealt by number; the interval search is a range of a small sorted list.
     spark = docs.sparkSession
@@ -86,17 +88,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK)
         return pa.array(np.minimum(np.searchsorted(np.array(ends), u.to_numpy(zero_copy_only=False), "right"), len(ends) - 1).astype(np.int64))
 
     slots = slots.withColumn("source_no", interval("_u")).withColumn("_b", F.floor(F.col("slot") / RUN)).withColumn("_one", F.lit(1).cast("long"))
-    ranked = numbered(slots, ["_b", "slot"], "rank", ["source_no"], "_one")
-    blocks = sources.where("source_size > 0").select("source_no", F.ceil(F.col("source_size") / block).alias("n_blocks"))
-    placed = ranked.join(F.broadcast(blocks) if len(ends) <= 100_000 else blocks, "source_no")
-    n = F.col("n_blocks")
-    schedule = placed.where(F.col("rank") < n * most).select("slot", "source_no", "rank", F.floor(F.col("rank") / n).alias("pass"), (F.col("rank") % n).alias("block"))
-
-    times = schedule.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    took = pieces.join(times, ["source_no", "block"]).groupBy("doc_id", "source_no").agg(F.sum(F.col("tokens") * F.col("times")).alias("_taken"))
-    copies = Window.partitionBy("doc_id", "source_no")
-    per = keyed.select("doc_id", "source_no", "source", "size", "source_size", "target").withColumn("_all", F.sum("size").over(copies))
-    out = per.join(took.select(F.col("doc_id").alias("_d"), F.col("source_no").alias("_n"), "_taken"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("source_no") == F.col("_n")), "left")
-    share = F.when(F.col("_all") == F.col("size"), F.col("_taken")).otherwise(F.floor(F.col("_taken") * F.col("size") / F.col("_all")))
-    documents = out.select("doc_id", "size", "source", "source_size", F.col("target").cast("double"), F.coalesce(share, F.lit(0)).cast("long").alias("taken"))
-    return {"sources": sources, "schedule": schedule, "pieces": pieces, "documents": documents}
+    ranked = stored(numbered(slots, ["_b", "slot"], "rank", ["source_no"], "_one").select("slot", "source_no", "rank"), "slots")
+    # Slots that sources lack, behind the others in order of rank.
+    had = sources.where("_words > 0").join(ranked.groupBy(F.col("source_no").alias("_n")).agg(F.count("*").alias("_had")), F.col("source_no") == F.col("_n"), "left")
+    lacked = had.withColumns({"_from": F.coalesce("_had", F.lit(0).cast("long")), "_to": F.ceil(F.col("_words") / block)}).where("_from < _to")
+    lacked = lacked.withColumn("rank", F.explode(F.expr("sequence(_from, _to - 1)")))
+    lacked = lacked.select((F.lit(n_slots) + F.row_number().over(Window.orderBy("rank", "source_no")) - 1).alias("slot"), "source_no", "rank") if n_slots else ranked
+    words = sources.select("source_no", "_words")
+    every = ranked.unionByName(lacked) if n_slots else ranked
+    schedule = every.join(F.broadcast(words) if few else words, "source_no").withColumn("start", F.col("rank") * block)
+    schedule = schedule.where("start < _words").select("slot", "source_no", "rank", "start", F.least(F.lit(block), F.col("_words") - F.col("start")).alias("tokens"))
+
+    # What the slots of a source take is its stream up to their last word: whole times and a rest.
+    took = schedule.groupBy(F.col("source_no").alias("_n")).agg(F.sum("tokens").alias("_took"))
+    out = laid.join(F.broadcast(took) if few else took, F.col("source_no") == F.col("_n"), "left")
+    times, rest = F.floor(F.col("_took") / F.col("source_size")), F.col("_took") % F.col("source_size")
+    taken = times * F.col("size") + F.least(F.greatest(rest - F.col("start"), F.lit(0)), F.col("size"))
+    documents = out.select("doc_id", "size", "source", "source_size", F.col("target").cast("double"), F.coalesce(F.when(F.col("size") > 0, taken), F.lit(0)).cast("long").alias("taken"))
+    return {"sources": sources.drop("_words"), "schedule": schedule, "pieces": laid.where("size > 0").select("doc_id", "source_no", "start", "size"), "documents": documents}
