@@ -1,16 +1,17 @@
-"""Line deduplication: documents probe sharded minimal perfect hashes of repeated lines.
+"""Line deduplication: documents' lines probe sharded minimal perfect hashes of repeated lines.
 
 A line's key is the line stripped of ASCII white space, A-Z lower-cased. Keys of at least
 ``least`` code points that two documents hold are kept by the smallest doc_id only. The
 128-bit hashes of such keys are dealt to shards of about ``per_shard`` keys. A shard is a
 minimal perfect hash over its keys with arrays of fingerprints, counts and keepers in its
-order, and lines are sent to the shard that would hold them and look there; a shard that
-many lines look at is given to as many tasks as these need.
+order. Hashes of lines go to the shard that would hold them and look there, not shards to
+documents: the index grows with the corpus, and each task's lines need all of it. A shard
+that many lines look at is given to as many tasks as these need.
 
 Defined cases: a null or empty text is one empty line; rows with equal doc_id are one
 document (they may keep a line each); rows without doc_id are no document, neither count
 nor lose lines; an empty table gives an empty result. Documents' other columns pass
-through; n_lines, n_dropped and kept_text replace columns so named.
+through, whatever their names; n_lines, n_dropped and kept_text replace columns so named.
 """
 
 from __future__ import annotations
@@ -44,9 +45,10 @@ def line_hash(line: str, least: int) -> bytes | None:
 
 
 class PerfectHash:
-    """A minimal perfect hash of distinct 64-bit keys: at each level the keys that fall
-    alone into a slot stay there, the others go on to the next. A key's number is the
-    count of taken slots before its own."""
+    """A minimal perfect hash of distinct pairs of 64-bit keys: at each level the keys that
+    fall alone into a slot stay there, the others go on to the next. A key's number is the
+    count of taken slots before its own. Each level hashes both halves anew, so that no two
+    keys meet on every level."""
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
@@ -55,24 +57,26 @@ class PerfectHash:
         self.ranks = [np.cumsum(b) - 1 for b in levels]
 
     @classmethod
-    def of(cls, keys: np.ndarray, room: float = 1.7) -> PerfectHash:
+    def of(cls, h1: np.ndarray, h2: np.ndarray, room: float = 1.7) -> PerfectHash:
         levels = []
-        while len(keys):
-            at = cls._slot(keys, len(levels), size := int(len(keys) * room) + 1)
+        while len(h1):
+            at = cls._slot(h1, h2, len(levels), size := int(len(h1) * room) + 1)
             alone = np.bincount(at, minlength=size) == 1
             levels.append(alone)
-            keys = keys[~alone[at]]
+            more = ~alone[at]
+            h1, h2 = h1[more], h2[more]
         return cls(levels)
 
     @staticmethod
-    def _slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 & (2**64 - 1))) % np.uint64(size)).astype(np.int64)
+    def _slot(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> np.ndarray:
+        salt = np.uint64(level * 0x9E3779B97F4A7C15 & (2**64 - 1))
+        return (mix(mix(h1 + salt) + h2) % np.uint64(size)).astype(np.int64)
 
-    def number(self, keys: np.ndarray) -> np.ndarray:
+    def number(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Of each key; anything, or -1, for keys that were not there."""
-        out, todo = np.full(len(keys), -1), np.arange(len(keys))
+        out, todo = np.full(len(h1), -1), np.arange(len(h1))
         for k, taken in enumerate(self.levels):
-            at = self._slot(keys[todo], k, len(taken))
+            at = self._slot(h1[todo], h2[todo], k, len(taken))
             here = taken[at]
             out[todo[here]] = self.before[k] + self.ranks[k][at[here]]
             todo = todo[~here]
@@ -118,8 +122,8 @@ def line_index(lines: DataFrame, per_shard: int = PER_SHARD) -> tuple[DataFrame,
 
     def build(table: pa.Table) -> pa.Table:
         h1, h2 = (table.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
-        perfect = PerfectHash.of(h1)
-        to = np.argsort(perfect.number(h1))
+        perfect = PerfectHash.of(h1, h2)
+        to = np.argsort(perfect.number(h1, h2))
         blobs = [np.ascontiguousarray(x[to]).tobytes() for x in (h2, table.column("n").to_numpy(), table.column("keeper").to_numpy())]
         return pa.table([[table.column("shard")[0].as_py()], [perfect.dump()], *([x] for x in blobs)], pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("hash", "prints", "counts", "keepers"))]))
 
@@ -140,7 +144,7 @@ def probed(lines: DataFrame, index: DataFrame, shards: int, per_task: int = PER_
             return none
         blob = {c: right.column(c)[0].as_py() for c in ("hash", "prints", "counts", "keepers")}
         h1, h2, doc = (left.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
-        at = PerfectHash.load(blob["hash"]).number(h1.view(np.uint64))
+        at = PerfectHash.load(blob["hash"]).number(h1.view(np.uint64), h2.view(np.uint64))
         prints, keepers = np.frombuffer(blob["prints"], np.int64), np.frombuffer(blob["keepers"], np.int64)
         counts = np.frombuffer(blob["counts"], np.int64)
         hit = (at >= 0) & (prints[at] == h2) & (counts[at] > 1) & (keepers[at] != doc)
@@ -167,5 +171,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, per_shard: int = PER_SHARD,
             out.append({"n_lines": len(own), "n_dropped": len(own) - len(kept), "kept_text": "\n".join(kept)})
         return pa.array(out, pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_text", pa.string())]))
 
-    wide = docs.join(drop, docs["doc_id"] == drop["_doc"], "left").withColumn("_kept", keep("text", "drop"))
-    return wide.withColumns({c: F.col(f"_kept.{c}") for c in ("n_lines", "n_dropped", "kept_text")}).drop("_kept", "drop", "_doc")
+    new = ["n_lines", "n_dropped", "kept_text"]
+    own = docs.select("doc_id", "text", F.struct("*").alias("_row")).join(drop, F.col("doc_id") == F.col("_doc"), "left")
+    own = own.select(F.struct("_row").alias("_row"), keep("text", "drop").alias("_kept"))
+    return own.select(*(F.col("_row")["_row"][c].alias(c) for c in docs.columns if c not in new), *(F.col("_kept")[c].alias(c) for c in new))
