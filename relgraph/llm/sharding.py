@@ -3,9 +3,11 @@
 Arrivals are appended as they come, each task writing small files of its own and shuffling
 nothing. Compaction groups files of similar size (a tier spans a factor of ``spread``) up to
 the target size and rewrites each group as one file, until no tier holds ``fan_in`` files.
-A version is a folder of manifest rows, written aside and renamed into place: the rename
-fails if someone else made that version, and readers only see whole versions. Files of older
-versions stay until ``vacuum``.
+A version is a small file that names a folder of manifest rows, written before. The file is
+made by exclusive creation, which fails if someone else made that version: of two writers one
+commits and the other raises ``Conflict``; readers only see whole versions. Files of older
+versions stay until ``vacuum``. The driver holds a version's paths, as Spark's own file
+listing does.
 
 Defined cases: an empty table has a version without files; null ids, null or huge texts and
 repeated rows are rows like any other (a row larger than the target makes a larger file);
@@ -14,12 +16,15 @@ all columns are kept, except one named ``shard``, which the reader adds.
 
 from __future__ import annotations
 
+import contextlib
+import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relgraph.llm.common import new_path
+from relgraph.llm.common import new_path, numbered, stored
 
 TARGET = 16 << 20
 ARRIVAL_ROWS = 1_000
@@ -48,25 +53,53 @@ class Shards:
         fs, p = self._path(f"{self.root}/manifest")
         if not fs.exists(p):
             return 0
-        return max((int(n[1:]) for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("v")), default=0)
+        names = (s.getPath().getName() for s in fs.listStatus(p) if s.isFile())
+        return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """(path, bytes, rows, level) of a version's files."""
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{version:09d}")
+        folder = self.spark.read.text(f"{self.root}/manifest/v{version:09d}").first().value
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{folder}")
 
     def commit(self, rows: DataFrame, base: int) -> int:
         """Make ``rows`` version base + 1, or raise Conflict."""
-        fs, to = self._path(f"{self.root}/manifest/v{base + 1:09d}")
-        aside = new_path(self.spark, "manifest")
-        rows.select("path", "bytes", "rows", "level").coalesce(max(1, rows.rdd.getNumPartitions() // 8)).write.parquet(aside)
-        fs.mkdirs(to.getParent())
-        if fs.exists(to) or not fs.rename(self._path(aside)[1], to):
+        folder = f"rows-{uuid.uuid4().hex}"
+        rows.select("path", "bytes", "rows", "level").coalesce(max(1, rows.rdd.getNumPartitions() // 8)).write.parquet(f"{self.root}/manifest/{folder}")
+        if not self._created(f"{self.root}/manifest/v{base + 1:09d}", folder):
             raise Conflict(f"version {base + 1} of {self.root} exists")
         return base + 1
 
+    def _created(self, path: str, text: str) -> bool:
+        """Whether the file ``path`` was not there and now is, with ``text``, at once."""
+        fs, p = self._path(path)
+        if fs.getScheme() == "file":  # its create() looks first and makes then: a link does both
+            to = p.toUri().getPath()
+            aside = f"{to}-{uuid.uuid4().hex}"
+            with open(aside, "w") as f:
+                f.write(text)
+            try:
+                os.link(aside, to)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                with contextlib.suppress(OSError):
+                    os.unlink(aside)
+        if fs.exists(p):
+            return False
+        try:
+            out = fs.create(p, False)
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
     def _listed(self, path: str, level: int) -> DataFrame:
         """Manifest rows of the files just written; no column of theirs is read."""
         fs, p = self._path(path)
@@ -84,15 +117,19 @@ class Shards:
         return self.commit(old.unionByName(self._listed(path, 0)), base)
 
     def plan(self, target: int, fan_in: int, spread: int) -> DataFrame:
-        """(path, merge) of the files to rewrite together. Files of at least half the
-        target are finished; the others meet those of their tier, in order of size."""
+        """(path, merge) of the files to rewrite together, ``PER_PASS`` of them at most. Files
+        of at least half the target are finished; the others meet those of their tier, in
+        order of size."""
         m = self.manifest().where(F.col("bytes") * 2 < target)
         tier = F.floor(F.log(F.col("bytes").cast("double") + 1) / F.log(F.lit(float(spread))))
-        order = Window.partitionBy("tier").orderBy("bytes", "path")
-        upto = F.sum("bytes").over(order)
-        runs = m.withColumn("tier", tier).withColumn("upto", upto - F.col("bytes")).withColumn("n", F.count("*").over(Window.partitionBy("tier"))).where(F.col("n") >= fan_in)
+        m = m.select("path", "bytes", tier.alias("tier"))
+        m = m.join(F.broadcast(m.groupBy("tier").count().where(F.col("count") >= fan_in).select("tier")), "tier")  # a few tiers
+        order = ["tier", "bytes", "path"]
+        m = stored(m.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "tiers")
+        runs = numbered(m, ["_part", "bytes", "path"], "upto", ["tier"], "bytes")
         runs = runs.withColumn("merge", F.concat_ws("-", "tier", F.floor(F.col("upto") / target).cast("string")))
-        return runs.withColumn("k", F.count("*").over(Window.partitionBy("merge"))).where("k > 1").select("path", "merge").orderBy("merge", "path").limit(PER_PASS)
+        many = runs.groupBy("merge").count().where("count > 1").select("merge")
+        return runs.join(many, "merge").select("path", "merge").orderBy("merge", "path").limit(PER_PASS)
 
     def compact(self, target: int = TARGET, fan_in: int = FAN_IN, spread: int = SPREAD) -> int:
         """Merge until no tier has ``fan_in`` unfinished files; the newest version's number."""
