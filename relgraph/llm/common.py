@@ -105,18 +105,18 @@ def total_of(rows: DataFrame, add: Callable, size: int, kind=np.float64, parts:
     return total
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: int, most: int = 10_000) -> DataFrame:
-    """``rows``, ``n`` at most, with the columns of ``table`` (one row a key). Keys of more
-    than n / ``most`` rows, which are fewer than ``most``, meet ``table`` by broadcast, so
-    that no task holds all rows of one; the others meet by shuffle."""
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n: int, how: str = "inner", most: int = 10_000) -> DataFrame:
+    """``rows``, ``n`` at most, with the columns of ``table`` (one row a key; inner or left).
+    Keys of more than n / ``most`` rows, which are fewer than ``most``, meet ``table`` by
+    broadcast, so that no task holds all rows of one; the others meet by shuffle."""
     least = max(1_000, n // most)
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("_many")).where(F.col("_many") > least).select(*keys) if n > least else None
+    hot = rows.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_many")).where(F.col("_many") > least).select(*keys) if n > least else None
     found = hot.collect() if hot is not None else []
     if not found:
-        return rows.join(table, keys)
+        return rows.join(table, keys, how)
     hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
     few = F.broadcast(table.join(hot, keys, "left_semi"))
-    return rows.join(few, keys).unionByName(rows.join(hot, keys, "left_anti").join(table, keys))
+    return rows.join(hot, keys, "left_semi").join(few, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(table, keys, how))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -3,11 +3,12 @@
 Records are Spark strings, and archives are what Spark's text writer makes of them with
 the record end as line separator: commits, retries and any file system are Spark's. Of
 records with equal payloads of ``least`` bytes or more, the smallest page_id is a response
-and the others revisit it. Reading goes the other way: whole archives as binary files,
+and the others revisit it; payloads that many pages share meet it by broadcast, so that no task
+gets all pages of one. Reading goes the other way: whole archives as binary files,
 parsed by the lengths that the records state.
 
 The index is an external merge. Each archive's captures, sorted by URL key, time and
-page_id, are a run; runs are cut at common splitters (from a bounded sample of keys), and
+page_id, are a run; runs are cut at common splitters (from a sample of 8 keys a range, and 20,000), and
 each range merges its k slices with a tree of losers. Ranges in order hold all captures in
 order. A URL key with many captures is cut inside its history, as splitters are whole keys.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.llm.common import new_path, stored
+from relgraph.llm.common import looked_up, new_path, stored
 
 END = "\r\n\r\n"
 LEAST = 100
@@ -51,7 +52,8 @@ def with_records(pages: DataFrame, least: int = LEAST, start: str = "2024-01-01
     p = pages.select("page_id", "url", html.alias("html"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
     p = p.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("long")})
     firsts = p.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select(F.col("digest").alias("_d"), "keeper")
-    p = p.join(firsts, (F.col("digest") == F.col("_d")) & (F.col("size") >= least), "left")
+    p = p.withColumn("_d", F.when(F.col("size") >= least, F.col("digest")))
+    p = looked_up(p, firsts, ["_d"], pages.count(), "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
 
     def line(name: str, value: Column) -> Column:
@@ -194,7 +196,7 @@ def index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     n = captures.count()
     ranges = max(1, -(-n // range_rows))
     key = ["urlkey", "time", "page_id", "file", "offset"]
-    sample = captures.select(*key).orderBy(F.xxhash64(*key)).limit(SPLITTER_SAMPLE).collect() if ranges > 1 else []
+    sample = captures.select(*key).orderBy(F.xxhash64(*key)).limit(max(SPLITTER_SAMPLE, 8 * ranges)).collect() if ranges > 1 else []
     keys = sorted(sort_key(r.asDict()) for r in sample)
     splitters = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
 
