@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from relgraph.llm import words as W
 from relgraph.llm.common import small_batches
 
-#: Kinds of group names that may stand for one another.
+#: Kinds of group names that may stand for one another, in English, German, French and Spanish.
 IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -37,8 +37,27 @@ IDENTITY = (
     ("gay", "lesbian", "bisexual", "transgender", "straight", "queer"),
     ("black", "white", "asian", "latino", "african", "european"),
     ("immigrant", "refugee", "native", "foreigner"),
+    ("immigrants", "refugees", "natives", "foreigners"),
     ("deaf", "blind", "disabled"),
     ("old", "young"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("schwule", "lesben", "transsexuelle"),
+    ("ausländer", "flüchtlinge", "einwanderer", "einheimische"),
+    ("behinderte", "blinde", "gehörlose"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("homosexuels", "lesbiennes", "transsexuels"),
+    ("étrangers", "réfugiés", "immigrés", "autochtones"),
+    ("handicapés", "aveugles", "sourds"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("homosexuales", "lesbianas", "transexuales"),
+    ("extranjeros", "refugiados", "inmigrantes", "nativos"),
+    ("discapacitados", "ciegos", "sordos"),
 )
 THRESHOLD = 0.7
 SAMPLE = 20_000
@@ -101,7 +120,7 @@ def swaps(text: str, identity=IDENTITY) -> list[tuple[str, str]]:
     found = []
     for sentence in re.split(r"(?<=[.!?])\s+|\n", text or ""):
         low = sentence.lower()
-        for t in sorted(set(re.findall(r"[a-z]+", low)) & others.keys()):
+        for t in sorted(set(re.findall(r"\w+", low)) & others.keys()):
             found += [(low, re.sub(rf"\b{t}\b", o, low)) for o in others[t] if o != t]
     return found
 
