@@ -63,6 +63,19 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def apart(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own`` and all others as one, so that none clashes with an operator's."""
+    rest = [c for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*rest) if rest else F.lit(0)).alias("_row"))
+
+
+def together(rows: DataFrame, docs: DataFrame, own: tuple, new: list[str]) -> DataFrame:
+    """``rows`` of ``apart(docs, *own)`` with the columns of ``docs`` again, and ``new`` ones,
+    which replace those of their names."""
+    old = [F.col(c) if c in own else F.col("_row")[c].alias(c) for c in docs.columns if c not in new]
+    return rows.select(*old, *new)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

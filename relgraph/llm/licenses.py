@@ -1,6 +1,6 @@
 """License scans: ordered signature rules behind a keyword prefilter, without user functions.
 
-A text is lower-cased and its words joined by single spaces. A text without any of the
+A text's A-Z are lower-cased and its words joined by single spaces. A text without any of the
 ``GATE`` stems has no detection; in the others, only rules whose keyword occurs are matched.
 A detection is the interval of words' characters that a rule matches. Detections are swept
 by start, longer ones first, earlier rules first among equals: one that lies inside an
@@ -15,9 +15,13 @@ dropped nor merged; other columns pass through, results replace columns so named
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relgraph.llm.common import apart, together
+
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Every rule's keyword contains one of these.
@@ -268,13 +272,13 @@ def rules() -> list[tuple[str, float, str, str]]:
 
 def normalized(text: Column) -> Column:
     """Lower-cased words between single spaces, one space in front and behind."""
-    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR, " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), SEPARATOR, " ")), F.lit(" "))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, n_detections
     and score (the highest confidence of a detection)."""
-    d = docs.withColumn("_norm", normalized(F.col("text")))
+    d = apart(docs, "text").withColumn("_norm", normalized(F.col("text")))
     norm = F.col("_norm")
     gate = F.lit(False)
     for stem in GATE:
@@ -327,7 +331,7 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.array_sort(F.array_distinct(F.transform("_base", lambda p: p["label"])))
     d = d.withColumn("_base_labels", F.coalesce(base, F.array().cast("array<string>")))
     labels = F.array_sort(F.array_union("_base_labels", F.coalesce(F.col("_kept.labels"), F.array().cast("array<string>"))))
-    return d.withColumns(
+    d = d.withColumns(
         {
             "n_words": F.when(F.length(norm) <= 2, 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) - 1).cast("long"),
             "n_base": F.coalesce(F.size("_base"), F.lit(0)).cast("long"),
@@ -338,4 +342,5 @@ def scan(docs: DataFrame) -> DataFrame:
             "n_detections": F.coalesce(F.col("_kept.n"), F.lit(0).cast("long")),
             "score": F.coalesce(F.col("_kept.score"), F.lit(0.0)),
         }
-    ).drop("_norm", "_gated", "_rules", "_found", "_kept", "_words", "_base", "_base_labels")
+    )
+    return together(d, docs, ("text",), ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "n_detections", "score"])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relgraph.llm.common import SPACE
+from relgraph.llm.common import SPACE, apart, together
 
 #: Frequent function words of the four languages of the corpus (English, French, German, Spanish).
 STOP_WORDS = (
@@ -98,8 +98,9 @@ def ratios() -> dict[str, Column]:
 
 def quality(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` with measures, base_failed, failed (names of the rules that do not hold) and kept."""
-    d = measured(docs).withColumns(ratios())
+    d = measured(apart(docs, "text")).withColumns(ratios())
     broken = [F.when((F.col(m) < lo if lo is not None else F.lit(False)) | (F.col(m) > hi if hi is not None else F.lit(False)), F.lit(m)) for m, lo, hi in rules]
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     d = d.withColumn("base_failed", base).withColumn("failed", F.array_compact(F.array(*broken)))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    return together(d, docs, ("text",), [c for c in d.columns if c not in ("text", "_row")])

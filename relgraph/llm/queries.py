@@ -31,7 +31,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return quality.quality(table(spark, sf_dir, "documents")).select("doc_id", *measures, "base_failed", "kept")
+    return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *measures, "base_failed", "kept")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", *columns)
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *columns)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
