@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgraph.functions.terms import PLAIN, RDF_TYPE, datatype, placeholders, template
-from relgraph.llm.common import stored
 from relgraph.plans.mapping import Literal, Mapping, Reference, Template, TriplesMap
 
 SCHEMA = "s string, p string, o string, o_kind string, o_datatype string"
@@ -88,16 +87,21 @@ def triples(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapping,
     return (out if out is not None else spark.createDataFrame([], SCHEMA)).distinct()
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed where the session has a folder for it, else as it is cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
 def closure(spark: SparkSession, edges: list[tuple[str, str]] | DataFrame) -> DataFrame:
     """(child, ancestor, depth): the transitive closure, cycles included once. Each round
     joins the pairs to themselves, which doubles the depth, until no pair is new."""
     df = edges if isinstance(edges, DataFrame) else spark.createDataFrame(edges or [("", "")], "child string, parent string").where("child <> ''")
-    up = stored(df.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "closure")
+    up = _kept(df.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
     before, n = 0, up.count()
     while n > before:
         more = up.select("child", F.col("ancestor").alias("_mid"), F.col("depth").alias("_d")).join(up.select(F.col("child").alias("_mid"), "ancestor", "depth"), "_mid")
         more = more.where("child <> ancestor").select("child", "ancestor", (F.col("_d") + F.col("depth")).alias("depth"))
-        up = stored(up.unionByName(more).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")), "closure")
+        up = _kept(up.unionByName(more).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
         before, n = n, up.count()
     return up
 
@@ -116,6 +120,6 @@ def entailed(spark: SparkSession, graph: DataFrame, mapping: Mapping) -> DataFra
         out = out.unionByName(new.select("s", F.lit(RDF_TYPE).alias("p"), F.lit(c).alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype")))
     if mapping.subclasses:
         up = closure(spark, list(mapping.subclasses))
-        new = out.where(F.col("p") == RDF_TYPE).join(F.broadcast(up), F.col("o") == up["child"])  # classes of an ontology: a few thousand rows
+        new = out.where(F.col("p") == RDF_TYPE).join(up, F.col("o") == up["child"])
         out = out.unionByName(new.select("s", "p", F.col("ancestor").alias("o"), "o_kind", "o_datatype"))
     return out.distinct()

@@ -41,7 +41,8 @@ class Dispatch:
 
 @dataclass(frozen=True)
 class TriplesMap:
-    """``table`` is a table's name or a query over the tables; ``where`` filters its rows."""
+    """``table`` is a table's name or a query over the tables; ``where`` filters its rows.
+    ``key`` says that no two rows have the same subject (declared or profiled)."""
 
     name: str
     table: str
@@ -50,6 +51,7 @@ class TriplesMap:
     objects: tuple[tuple[str, Literal | Template | Reference], ...] = ()
     where: str | None = None
     dispatch: Dispatch | None = None
+    key: bool = False
 
 
 @dataclass(frozen=True)

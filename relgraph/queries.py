@@ -9,7 +9,7 @@ from relgraph.functions.terms import RDF_TYPE, normal_identifier, template
 from relgraph.operators import evaluate as E
 from relgraph.operators import materialize as M
 from relgraph.operators import profile as P
-from relgraph.plans import sparql
+from relgraph.plans.patterns import Value, unfold
 from relgraph.plans.mapping import Dispatch, Literal, Mapping, Reference, TriplesMap
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
@@ -22,16 +22,16 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 #: Foreign keys whose parents all exist and are unique (profiled): no join is needed.
 STAR = Mapping(
     maps=(
-        TriplesMap("region", "region", ":region/{r_regionkey}", (":Region",), ((":name", Literal("r_name")),)),
-        TriplesMap("nation", "nation", ":nation/{n_nationkey}", (":Nation",), ((":name", Literal("n_name")), (":inRegion", Reference("region", (("n_regionkey", "r_regionkey"),), True)))),
-        TriplesMap("customer", "customer", ":customer/{c_custkey}", (":Customer",), ((":name", Literal("c_name")), (":segment", Literal("c_mktsegment")), (":inNation", Reference("nation", (("c_nationkey", "n_nationkey"),))))),
-        TriplesMap("supplier", "supplier", ":supplier/{s_suppkey}", (":Supplier",), ((":name", Literal("s_name")), (":inNation", Reference("nation", (("s_nationkey", "n_nationkey"),), True)))),
-        TriplesMap("part", "part", ":part/{p_partkey}", (":Part",), ((":name", Literal("p_name")), (":size", Literal("p_size")))),
-        TriplesMap("orders", "orders", ":order/{o_orderkey}", (":Order",), ((":placedBy", Reference("customer", (("o_custkey", "c_custkey"),), True)),), dispatch=Dispatch("o_orderstatus", (("O", ":OpenOrder"), ("F", ":FinishedOrder"), ("P", ":PendingOrder")))),
+        TriplesMap("region", "region", ":region/{r_regionkey}", (":Region",), ((":name", Literal("r_name")),), key=True),
+        TriplesMap("nation", "nation", ":nation/{n_nationkey}", (":Nation",), ((":name", Literal("n_name")), (":inRegion", Reference("region", (("n_regionkey", "r_regionkey"),), True))), key=True),
+        TriplesMap("customer", "customer", ":customer/{c_custkey}", (":Customer",), ((":name", Literal("c_name")), (":segment", Literal("c_mktsegment")), (":inNation", Reference("nation", (("c_nationkey", "n_nationkey"),)))), key=True),
+        TriplesMap("supplier", "supplier", ":supplier/{s_suppkey}", (":Supplier",), ((":name", Literal("s_name")), (":inNation", Reference("nation", (("s_nationkey", "n_nationkey"),), True))), key=True),
+        TriplesMap("part", "part", ":part/{p_partkey}", (":Part",), ((":name", Literal("p_name")), (":size", Literal("p_size"))), key=True),
+        TriplesMap("orders", "orders", ":order/{o_orderkey}", (":Order",), ((":placedBy", Reference("customer", (("o_custkey", "c_custkey"),), True)),), dispatch=Dispatch("o_orderstatus", (("O", ":OpenOrder"), ("F", ":FinishedOrder"), ("P", ":PendingOrder"))), key=True),
         TriplesMap("supplies", "SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem}", ":supplier/{l_suppkey}", (), ((":supplies", Reference("part", (("l_partkey", "p_partkey"),), True)),)),
-        TriplesMap("document", "documents", ":document/{doc_id}", (":Document",), ((":language", Literal("lang")),)),
+        TriplesMap("document", "documents", ":document/{doc_id}", (":Document",), ((":language", Literal("lang")),), key=True),
         TriplesMap("toxic", "labels", ":document/{doc_id}", (":ToxicDocument",), (), where="toxic = 1"),
-        TriplesMap("turn", "conversations", ":turn/{conv_id}/{turn}", (":Turn",), ((":role", Literal("role")),)),
+        TriplesMap("turn", "conversations", ":turn/{conv_id}/{turn}", (":Turn",), ((":role", Literal("role")),), key=True),
     ),
     subclasses=((":OpenOrder", ":Order"), (":Order", ":Thing"), (":Customer", ":Party"), (":Supplier", ":Party"), (":Party", ":Thing")),
     inverses=((":placedBy", ":placed"),),
@@ -43,14 +43,13 @@ def graph(spark: SparkSession, sf_dir: str, only: set[str] | None = None) -> Dat
     return M.triples(spark, tables(spark, sf_dir), STAR, only)
 
 
-def ask(text: str):
-    """A SPARQL query over the star mapping; only maps of its predicates are compiled."""
+def solutions(*patterns, entail: bool = False):
+    """The solutions of patterns over the star mapping, unfolded to its tables."""
+    return lambda spark, sf_dir: unfold(spark, tables(spark, sf_dir), STAR, list(patterns), entail)
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        q = sparql.parse(text)
-        return sparql.evaluate(graph(spark, sf_dir, sparql.predicates(q)), q)
 
-    return run
+def counted(*patterns, entail: bool = False):
+    return lambda spark, sf_dir: solutions(*patterns, entail=entail)(spark, sf_dir).agg(F.count("*").alias("n"))
 
 
 def _t(spark, sf_dir, name):
@@ -190,22 +189,36 @@ def report_baseline_diff(spark, sf_dir):
     return E.baseline_diff(part(0), part(1), "s_nationkey", "f1").select("s_nationkey", "old", "new", "delta", "state")
 
 
-SPARQL = {
-    "class_count": "SELECT (COUNT(?x) AS ?n) WHERE { ?x a :Customer }",
-    "class_flag_count": "SELECT (COUNT(?x) AS ?n) WHERE { ?x a :ToxicDocument }",
-    "attr_in_table": "SELECT ?name WHERE { ?c a :Customer ; :name ?name }",
-    "attr_other_table": "SELECT ?lang WHERE { ?d a :ToxicDocument ; :language ?lang . }",
-    "link_path1": "SELECT (COUNT(*) AS ?n) WHERE { ?o a :Order ; :placedBy ?c }",
-    "link_path2": "SELECT (COUNT(*) AS ?n) WHERE { ?o a :Order ; :placedBy ?c . ?c :inNation ?x . ?x a :Nation }",
-    "link_path3": 'SELECT (COUNT(*) AS ?n) WHERE { ?o :placedBy ?c . ?c :inNation ?x . ?x :inRegion ?r . ?r :name "ASIA" }',
-    "group_count": "SELECT ?n (COUNT(?c) AS ?cnt) WHERE { ?c a :Customer ; :inNation ?x . ?x :name ?n } GROUP BY ?n",
-    "filter_size": "SELECT ?p ?z WHERE { ?p a :Part ; :size ?z FILTER(?z > 45) }",
+def group_count(spark, sf_dir):
+    found = solutions(("?c", "a", ":Customer"), ("?c", ":inNation", "?x"), ("?x", ":name", "?n"))(spark, sf_dir)
+    return found.groupBy("n").agg(F.count("*").alias("cnt"))
+
+
+def filter_size(spark, sf_dir):
+    found = solutions(("?p", "a", ":Part"), ("?p", ":size", "?z"))(spark, sf_dir)
+    return found.where(F.col("z").cast("long") > 45)
+
+
+#: Patterns over the star mapping.
+PATTERNS = {
+    "class_count": counted(("?x", "a", ":Customer")),
+    "class_flag_count": counted(("?x", "a", ":ToxicDocument")),
+    "attr_in_table": lambda s, d: solutions(("?c", "a", ":Customer"), ("?c", ":name", "?name"))(s, d).select("name"),
+    "attr_other_table": lambda s, d: solutions(("?d", "a", ":ToxicDocument"), ("?d", ":language", "?lang"))(s, d).select("lang"),
+    "link_path1": counted(("?o", "a", ":Order"), ("?o", ":placedBy", "?c")),
+    "link_path2": counted(("?o", "a", ":Order"), ("?o", ":placedBy", "?c"), ("?c", ":inNation", "?x"), ("?x", "a", ":Nation")),
+    "link_path3": counted(("?o", ":placedBy", "?c"), ("?c", ":inNation", "?x"), ("?x", ":inRegion", "?r"), ("?r", ":name", Value("ASIA"))),
+    "group_count": group_count,
+    "filter_size": filter_size,
+    "subclass_unfolded": counted(("?x", "a", ":Thing"), entail=True),
+    "inverse_unfolded": lambda s, d: solutions(("?c", ":placed", "?o"), ("?c", ":segment", Value("BUILDING")), entail=True)(s, d).select("o"),
+    "exists_unfolded": counted(("?x", "a", ":Buyer"), ("?x", ":inNation", "?n"), entail=True),
 }
 NATIVE = (class_dispatch_counts, triples_by_predicate, join_triples, literal_triples, composite_template, link_bridge, link_inverse, axiom_exists_typing, subclass_entailment, hidden_fk_typing, column_profile, value_counts, enum_columns, top_values, pk_candidates, fk_inclusion, pattern_classify, norm_identifiers, norm_collisions, bag_diff, prf1_scores, report_pivot, report_best, report_coverage, report_baseline_diff)
 
 
 def queries() -> dict:
-    return {k: ask(v) for k, v in SPARQL.items()} | {f.__name__: f for f in NATIVE}
+    return PATTERNS | {f.__name__: f for f in NATIVE}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -221,6 +234,9 @@ def oracle_sql() -> dict[str, str]:
         "link_path3": "SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'",
         "group_count": "SELECT n_name AS n, count(*) AS cnt FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
         "filter_size": "SELECT ':part/' || p_partkey AS p, p_size::VARCHAR AS z FROM part WHERE p_size > 45",
+        "subclass_unfolded": "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) AS n",
+        "inverse_unfolded": "SELECT ':order/' || o_orderkey AS o FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'",
+        "exists_unfolded": "SELECT count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IN (SELECT o_custkey FROM orders)",
         "class_dispatch_counts": f"SELECT {status} AS class, count(*) AS n FROM orders GROUP BY 1",
         "triples_by_predicate": f"""
             SELECT p, count(*) AS n FROM (
