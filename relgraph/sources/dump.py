@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relgraph.functions.terms import normal_identifier
+
 _NAME = r'(?:"(?:[^"]|"")*"|[\w$]+)'
 _QUALIFIED = rf"(?:{_NAME}\.)?{_NAME}"
 #: SQL type → Spark type. Others are strings.
@@ -122,32 +124,148 @@ def catalog(spark: SparkSession, tables: dict[str, Table]) -> DataFrame:
     return spark.createDataFrame(rows, "table string, column string, is_pk boolean, fk_table string, fk_column string")
 
 
+def qualified(name: str) -> str:
+    """``schema.table`` or ``table``, without quotes."""
+    return ".".join(x[1:-1].replace('""', '"') if x.startswith('"') else x.lower() for x in re.findall(_NAME, name))
+
+
+def search_path(text: str) -> list[str]:
+    """The schemas that a dump names, in order: its search paths', then those of its tables;
+    the system's and public are left out."""
+    found = [x for m in re.finditer(r"(?im)^SET\s+search_path\s*(?:=|TO)\s*([^;]*)", text) for x in _names(m[1])]
+    found += [q.partition(".")[0] for q in table_schemas(text).values() if "." in q]
+    return [x for x in dict.fromkeys(found) if x not in ("pg_catalog", "public")]
+
+
+def table_schemas(text: str) -> dict[str, str]:
+    """table → schema.table, by the name it is made with or the search path before it."""
+    out, path = {}, ""
+    for m in re.finditer(rf"(?im)^SET\s+search_path\s*(?:=|TO)\s*([^;]*)|CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?({_QUALIFIED})", without_data(text)):
+        if m[2] is None:
+            path = next((x for x in _names(m[1]) if x != "pg_catalog"), "")
+        else:
+            q = qualified(m[2])
+            out[_plain(m[2])] = q if "." in q or not path else f"{path}.{q}"
+    return out
+
+
 def copy_rows(spark: SparkSession, path: str, tables: dict[str, Table]) -> dict[str, DataFrame]:
-    """The COPY blocks of a dump as typed DataFrames. Blocks are found by line position in
-    one scan; a table's rows are then those of its lines."""
+    """The COPY blocks of a dump as typed DataFrames, by table, or by schema.table where two
+    schemas have the name. One scan finds where blocks begin and end; rows take the block of
+    their line by a join with these few lines' ranges, and a table is a filter of that."""
     text = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
-    heads = text.where(F.col("value").rlike(r"^COPY .* FROM stdin;$")).orderBy("line").collect()
-    ends = [r.line for r in text.where(F.col("value") == "\\.").select("line").orderBy("line").collect()]
+    marks = text.where(F.col("value").rlike(r"^COPY .* FROM stdin;$") | (F.col("value") == "\\.")).orderBy("line").collect()
     out = {}
-    for h in heads:
+    for k, h in enumerate(marks):
+        if h.value == "\\.":
+            continue
+        end = marks[k + 1].line if k + 1 < len(marks) else 1 << 62
         m = re.match(rf"COPY ({_QUALIFIED})\s*(?:\(([^)]*)\))?", h.value)
         t = tables[_plain(m[1])]
         names = _names(m[2]) if m[2] else [c.name for c in t.columns]
-        end = next((e for e in ends if e > h.line), 1 << 62)
-        cells = F.split("value", "\t", -1)
         types = {c.name: c.spark_type for c in t.columns}
+        cells = F.split("value", "\t", -1)
         body = text.where((F.col("line") > h.line) & (F.col("line") < end))
-        out[t.name] = body.select(*(_typed(F.get(cells, F.lit(k)), types[n]).alias(n) for k, n in enumerate(names)))
+        out[qualified(m[1]) if t.name in out else t.name] = body.select(*(_typed(F.get(cells, F.lit(i)), types[n]).alias(n) for i, n in enumerate(names)))
     return out
 
 
+#: What a backslash and a letter stand for in COPY text. Fixed values.
+_ESCAPED = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
+
+
+def unescaped(cell):
+    """COPY text as it was, in one pass: pieces are a backslash with what it escapes, or text."""
+    pieces = F.regexp_extract_all(cell, F.lit(r"(?s)(\\[0-7]{1,3}|\\x[0-9A-Fa-f]{1,2}|\\.|[^\\]+|\\$)"), F.lit(1))
+
+    def plain(x):
+        code = F.substring(x, 2, 3)
+        out = F.when(F.length(x) == 2, code).otherwise(x)
+        for letter, char in _ESCAPED.items():
+            out = F.when(x == f"\\{letter}", char).otherwise(out)
+        out = F.when(x.rlike(r"^\\[0-7]"), F.char(F.conv(code, 8, 10).cast("int"))).otherwise(out)
+        out = F.when(x.rlike(r"^\\x."), F.char(F.conv(F.substring(x, 3, 2), 16, 10).cast("int"))).otherwise(out)
+        return F.when(F.startswith(x, F.lit("\\")), out).otherwise(x)
+
+    return F.when(F.contains(cell, F.lit("\\")), F.array_join(F.transform(pieces, plain), "")).otherwise(cell)
+
+
 def _typed(cell, kind: str):
-    x = F.when(cell != "\\N", cell)
-    for code, char in (("\\\\t", "\t"), ("\\\\n", "\n"), ("\\\\\\\\", "\\\\")):
-        x = F.regexp_replace(x, code, char)
+    x = unescaped(F.when(cell != "\\N", cell))
     return x if kind == "string" else x.try_cast(kind)
 
 
+def insert_rows(spark: SparkSession, path: str, tables: dict[str, Table]) -> dict[str, DataFrame]:
+    """The rows of one-line ``INSERT INTO t [(columns)] VALUES (...), (...);`` statements."""
+    text = spark.read.text(path)
+    literal = r"'(?:[^']|'')*'|[^,()']+"
+    out = {}
+    for t in tables.values():
+        head = rf"(?i)^INSERT INTO (?:[\w\"]+\.)?\"?{re.escape(t.name)}\"?\s*(?:\(([^)]*)\))?\s*VALUES\s*"
+        own = text.where(F.col("value").rlike(head))
+        given = F.regexp_extract("value", head, 1)
+        rows = F.regexp_extract_all(F.regexp_replace("value", head, ""), F.lit(rf"\(((?:{literal}|,)*)\)"), F.lit(1))
+        cells = own.select(F.transform(F.split(F.replace(given, F.lit('"'), F.lit("")), ","), lambda c: F.lower(F.btrim(c))).alias("names"), F.explode(rows).alias("row"))
+        cells = cells.withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit(f"({literal})"), F.lit(1)), F.btrim))
+        columns = []
+        for k, c in enumerate(t.columns):
+            at = F.when(F.get("names", F.lit(0)) == "", F.lit(k + 1)).otherwise(F.array_position("names", F.lit(c.name)))
+            x = F.get("cells", (at - 1).cast("int"))
+            x = F.when(F.upper(x) != "NULL", F.when(F.startswith(x, F.lit("'")), F.replace(F.regexp_replace(x, "^'|'$", ""), F.lit("''"), F.lit("'"))).otherwise(x))
+            columns.append((x if c.spark_type == "string" else x.try_cast(c.spark_type)).alias(c.name))
+        out[t.name] = cells.select(*columns)
+    return out
+
+
+def sample_rows(rows: dict[str, DataFrame], n: int = 5) -> dict[str, DataFrame]:
+    """The first ``n`` rows of each table."""
+    return {t: df.limit(n) for t, df in rows.items()}
+
+
+def enriched(text: str, keys: list[tuple[str, str, str | None, str | None]]) -> str:
+    """A dump with the constraints (table, column, parent, parent_column; no parent: a primary
+    key) in front of its first ALTER TABLE, or at its end."""
+    quote = lambda x: '"' + x.replace('"', '""') + '"'
+    lines = [f"ALTER TABLE ONLY {quote(t)} ADD " + (f"PRIMARY KEY ({quote(c)});" if p is None else f"FOREIGN KEY ({quote(c)}) REFERENCES {quote(p)} ({quote(x)});") for t, c, p, x in keys]
+    m = re.search(r"(?im)^ALTER TABLE\b", text)
+    at = m.start() if m else len(text)
+    return text[:at] + "\n".join(lines) + ("\n" if lines else "") + text[at:]
+
+
+def split_by_schema(spark: SparkSession, path: str, out: str) -> None:
+    """A dump's lines written to ``schema=...`` folders: a statement or a COPY block goes to the
+    schema that it names, or that the last search path set; others to ``schema=``."""
+    text = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    name = r'(?i)^(?:COPY|CREATE TABLE(?: IF NOT EXISTS)?|ALTER TABLE(?: ONLY)?|INSERT INTO)\s+"?([\w$]+)"?\."?[\w$]+'
+    heads = text.where(F.col("value").rlike(r"(?i)^(COPY|CREATE|ALTER|INSERT|SET|SELECT|COMMENT|DROP)\b"))
+    own = F.nullif(F.regexp_extract("value", name, 1), F.lit(""))
+    path_set = F.nullif(F.regexp_extract("value", r'(?i)^SET\s+search_path\s*(?:=|TO)\s*"?([\w$]+)', 1), F.lit(""))
+    marks = heads.select("line", own.alias("own"), path_set.alias("set")).orderBy("line").collect()  # a dump's statements
+    schema, starts = "", []
+    for r in marks:
+        schema = r.set or schema
+        starts.append((r.line, r.own or schema))
+    ranges = [(a, starts[k + 1][0] if k + 1 < len(starts) else 1 << 62, s) for k, (a, s) in enumerate(starts)]
+    merged: list[list] = []
+    for a, b, s in ranges:
+        if merged and merged[-1][2] == s:
+            merged[-1][1] = b
+        else:
+            merged.append([a, b, s])
+    which = F.lit("")
+    for a, b, s in merged:
+        which = F.when((F.col("line") >= a) & (F.col("line") < b), s).otherwise(which)
+    text.select("value", which.alias("schema")).write.partitionBy("schema").text(out)
+
+
+def normalized_lines(lines: DataFrame) -> DataFrame:
+    """(value): a dump's lines with quoted identifiers as normal names; strings, comments and the
+    lines of COPY blocks (``data`` is true) stay as they are."""
+    pieces = F.regexp_extract_all("value", F.lit(r"""(--.*|'(?:[^']|'')*'|\$\$.*?\$\$|"(?:[^"]|"")*"|[^-'"$]+|[-$'"])"""), F.lit(1))
+    plain = F.transform(pieces, lambda x: F.when(x.rlike('^".*"$'), normal_identifier(F.regexp_replace(x, '^"|"$', ""))).otherwise(x))
+    return lines.select(F.when(F.col("data"), F.col("value")).otherwise(F.array_join(plain, "")).alias("value"))
+
+
 def read_qpair(text: str) -> dict[str, object]:
     """A query pair: properties, with lines joined at ``\\n\\`` ends."""
     joined = re.sub(r"\\n\\\n\s*", "\n", re.sub(r"(?m)^[#!].*\n", "", text))
