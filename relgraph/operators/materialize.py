@@ -7,6 +7,8 @@ partner costs no other triple. Null values and placeholders yield no triple.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,13 +80,28 @@ def map_triples(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapp
     return branches
 
 
+def _is_set(mapping: Mapping, m: TriplesMap, only: set[str] | None) -> bool:
+    """Whether a map's triples are distinct, and no other map's: its subject is a key, each of its
+    predicates has one object, and nobody else has that predicate on such a subject."""
+    shape = lambda x: re.sub(r"\{[^}]*\}", "{}", x.subject)
+    made = lambda x: [p for p, _ in x.objects if only is None or p in only] + [RDF_TYPE] * ((only is None or RDF_TYPE in only) and bool(x.classes or x.dispatch))
+    own = made(m)
+    one = all(not isinstance(o, Reference) or elided(mapping, o) or (mapping.map(o.parent).key and set(placeholders(mapping.map(o.parent).subject)) <= {b for _, b in o.on}) for p, o in m.objects if only is None or p in only)
+    others = {(p, shape(x)) for x in mapping.maps if x is not m for p in made(x)}
+    return m.key and one and len(set(own)) == len(own) and len({*m.classes, *(c for _, c in (m.dispatch.classes if m.dispatch else ()))}) == len(m.classes) + len(m.dispatch.classes if m.dispatch else ()) and not others & {(p, shape(m)) for p in own}
+
+
 def triples(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapping, only: set[str] | None = None) -> DataFrame:
-    """All triples as a set."""
-    out = None
+    """All triples as a set. Only maps whose triples could be equal are made distinct."""
+    parts: dict[bool, DataFrame] = {}
     for m in mapping.maps:
+        own = _is_set(mapping, m, only)
         for b in map_triples(spark, tables, mapping, m, only):
-            out = b if out is None else out.unionByName(b)
-    return (out if out is not None else spark.createDataFrame([], SCHEMA)).distinct()
+            parts[own] = parts[own].unionByName(b) if own in parts else b
+    if False in parts:
+        parts[False] = parts[False].distinct()
+    out = [parts[k] for k in sorted(parts)]
+    return out[0].unionByName(out[1]) if len(out) == 2 else out[0] if out else spark.createDataFrame([], SCHEMA)
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -119,7 +136,21 @@ def entailed(spark: SparkSession, graph: DataFrame, mapping: Mapping) -> DataFra
         new = out.where(F.col("p") == p).join(fillers, "o", "left_semi").select("s").distinct()
         out = out.unionByName(new.select("s", F.lit(RDF_TYPE).alias("p"), F.lit(c).alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype")))
     if mapping.subclasses:
-        up = closure(spark, list(mapping.subclasses))
-        new = out.where(F.col("p") == RDF_TYPE).join(up, F.col("o") == up["child"])
-        out = out.unionByName(new.select("s", "p", F.col("ancestor").alias("o"), "o_kind", "o_datatype"))
+        up = F.create_map(*(x for c, above in superclasses(mapping.subclasses).items() for x in (F.lit(c), F.array(*map(F.lit, above)))))
+        new = out.where(F.col("p") == RDF_TYPE).select("s", "p", F.explode(F.element_at(up, F.col("o"))).alias("o"), "o_kind", "o_datatype")
+        out = out.unionByName(new)
     return out.distinct()
+
+
+def superclasses(edges) -> dict[str, list[str]]:
+    """Each class's ancestors, of a mapping's few edges; a class in a ring has itself."""
+    out = {}
+    for c in {a for a, _ in edges}:
+        found, todo = set(), [c]
+        while todo:
+            new = {b for a, b in edges if a == todo[-1]} - found
+            todo.pop()
+            found |= new
+            todo += new
+        out[c] = sorted(found)
+    return dict(sorted(out.items()))
