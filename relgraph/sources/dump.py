@@ -198,15 +198,15 @@ def _typed(cell, kind: str):
 def insert_rows(spark: SparkSession, path: str, tables: dict[str, Table]) -> dict[str, DataFrame]:
     """The rows of one-line ``INSERT INTO t [(columns)] VALUES (...), (...);`` statements."""
     text = spark.read.text(path)
-    literal = r"'(?:[^']|'')*'|[^,()']+"
+    literal = r"'(?:[^']|'')*'|[^,()'\s][^,()']*"
     out = {}
     for t in tables.values():
         head = rf"(?i)^INSERT INTO (?:[\w\"]+\.)?\"?{re.escape(t.name)}\"?\s*(?:\(([^)]*)\))?\s*VALUES\s*"
         own = text.where(F.col("value").rlike(head))
         given = F.regexp_extract("value", head, 1)
-        rows = F.regexp_extract_all(F.regexp_replace("value", head, ""), F.lit(rf"\(((?:{literal}|,)*)\)"), F.lit(1))
+        rows = F.regexp_extract_all(F.regexp_replace("value", head, ""), F.lit(r"\(((?:'(?:[^']|'')*'|[^()'])*)\)"), F.lit(1))
         cells = own.select(F.transform(F.split(F.replace(given, F.lit('"'), F.lit("")), ","), lambda c: F.lower(F.btrim(c))).alias("names"), F.explode(rows).alias("row"))
-        cells = cells.withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit(f"({literal})"), F.lit(1)), F.btrim))
+        cells = cells.withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit(f"({literal})"), F.lit(1)), lambda c: F.btrim(c)))
         columns = []
         for k, c in enumerate(t.columns):
             at = F.when(F.get("names", F.lit(0)) == "", F.lit(k + 1)).otherwise(F.array_position("names", F.lit(c.name)))

@@ -132,7 +132,7 @@ def from_turtle(text: str, tables: tuple[str, ...] = (), namespace: str = "urn:g
     rr, short = PREFIXES["rr"], {v: f"{k}:" for k, v in PREFIXES.items() if k != "rr"} | {namespace: ":"}
 
     def query(sql: str) -> str:
-        return re.sub(r"(?i)\b(FROM|JOIN)(\s+)(\w+)\b", lambda m: m[1] + m[2] + "{" + m[3] + "}" if m[3] in tables else m[0], sql)
+        return re.sub(r"(?i)\b(FROM|JOIN)(\s+)(\w+)\b", lambda m: m[1] + m[2] + "{" + m[3] + "}" if m[3] in tables else m[0], sql.replace("'" + namespace, "':"))
 
     name = lambda iri: re.split(r"[#/:]", iri)[-1]
 
