@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -268,7 +269,7 @@ def query_pairs(spark, sf_dir):
     for name in ("link_path1", "link_path3", "group_count"):
         text = sql[name]
         for n in Q.TABLES:
-            text = __import__("re").sub(rf"\b(FROM|JOIN) {n}\b", r"\1 {" + n + "}", text)
+            text = re.sub(rf"\b(FROM|JOIN) {n}\b", r"\1 {" + n + "}", text)
         expected = spark.sql(text, **{n: d for n, d in t.items() if "{" + n + "}" in text})
         differ = E.bag_diff(expected, Q.PATTERNS[name](spark, sf_dir).select(*expected.columns))
         row = differ.agg((F.count("*") == 0).alias("same")).select(F.lit(name).alias("pair"), "same")
