@@ -502,9 +502,10 @@ def test_swaps_in_four_languages_spare_neutral_mentions(spark):
         rows.append((i, " ".join(w), "s"))
         labels.append((i, int(bad)))
     d, y = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
-    neutral = pa.array([f"n1 n2 {hit} n3 n4" for hit, _ in pairs])
-    without, with_it = (toxicity.fit(d, y, penalty=p).scores(neutral) for p in (0.0, 3.0))
-    assert (with_it < without).all() and with_it.mean() < 0.6 * without.mean()
+    neutral = pa.array([f"n1 n2 {name} n3 n4" for pair in pairs for name in pair])
+    without, with_it = (toxicity.fit(d, y, penalty=p).scores(neutral).reshape(-1, 2) for p in (0.0, 3.0))
+    gap = lambda p: np.abs(np.diff(np.log(p / (1 - p)), axis=1))
+    assert (with_it[:, 0] < without[:, 0]).all() and (gap(with_it) < 0.3 * gap(without)).all()
     odd = spark.createDataFrame([(1, "x " * 400_000 + "awfulword", "mine", 5)], "doc_id long, text string, score string, rest int")
     assert toxicity.score(odd, toxicity.fit(d, y)).first().rest == 5
 
