@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.llm import decontam, licenses, lines, lm, mixing, ngram_join, quality, sharding, toxicity, warc
+from relgraph.llm import audit, decontam, hamming, licenses, lines, lm, mixing, ngram_join, quality, sharding, toxicity, trie, warc
 from relgraph.llm.quality import STOP_WORDS
 
 
@@ -63,27 +63,94 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))["documents"].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_warc, op4_quality, op5_decontamination, op6_licenses, op7_sharding, op8_toxicity, op9_line_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_warc, op4_quality, op5_decontamination, op6_licenses, op7_sharding, op8_toxicity, op9_line_dedup, op10_mixing, op11_minhash, op12_filter_audit, op13_prefix_trie)}
 
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def _linked_sql(k: int, num: int) -> str:
+    """Components by ``k``-word shingles at ``num`` hundredths."""
+    return rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        g AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + {k - 1}], ' ') AS gram
+              FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {k - 2}, 2))) AS i FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * m >= {num} * (p.n + q.n - m)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, k.component_id
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) k ON k.a = d.doc_id"""
+
+
+AUDIT_SQL = rf"""
+    WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM t),
+    f AS (SELECT part, doc_id, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+                 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'),
+                 doc_id > min(doc_id) OVER (PARTITION BY text)] AS fails FROM w),
+    g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+          FROM f LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+          WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS own,
+                 list_transform(string_split(filter_order[1:step - 1], ''), lambda x: ascii(x) - 64) AS before
+          FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+    r AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS here, list_bool_or([false] || list_transform(list_filter(before, lambda x: x > 0), lambda x: fails[x])) AS earlier,
+                 len(list_filter(fails, lambda x: x)) = 1 AS one FROM g, s),
+    c AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (here AND NOT earlier), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (here AND earlier), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (here AND one), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(good) FILTER (here AND NOT earlier), 0)::BIGINT AS good_lost,
+                 coalesce(sum(toxic) FILTER (here AND NOT earlier), 0)::BIGINT AS toxic_lost
+          FROM r GROUP BY ALL)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM c"""
+
+TRIE_SQL = """
+    WITH o AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    i AS (SELECT conv_id, dense_rank() OVER (ORDER BY role, text) AS id, strlen(text) AS bytes,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM o),
+    b AS (SELECT DISTINCT id, bytes FROM i),
+    q AS (SELECT conv_id, list(id ORDER BY pos) AS seq FROM i GROUP BY conv_id),
+    -- CRC-32, bit by bit: a step takes a byte or 0 in, and shifts.
+    h AS (SELECT conv_id, seq, xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x), 0, 0, 0, 0, 0, 0, 0])),
+                 lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384))) % 9 AS h FROM q),
+    r AS (SELECT h.conv_id AS c, coalesce(p.seq, [])[1:h.h] || h.seq[h.h + 1:] AS seq FROM h LEFT JOIN q p ON p.conv_id = h.conv_id - h.conv_id % 5),
+    m AS (SELECT c, seq[1:d] AS node, d, len(seq) = d AS over FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM r)),
+    n AS (SELECT node, d, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (over), '')) AS ends FROM m GROUP BY node, d),
+    k AS (SELECT node[1:d - 1] AS node, count(*) AS children FROM n WHERE d > 0 GROUP BY ALL),
+    s AS (SELECT n.node, d, conv_id, n, ends, coalesce(children, 0) AS children, CASE WHEN d > 0 THEN (n - 1) * bytes ELSE 0 END AS saved
+          FROM n LEFT JOIN k USING (node) LEFT JOIN b ON b.id = n.node[n.d]),
+    t AS (SELECT node[1:e] AS node, sum(saved) AS saved, count(*) FILTER (children = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM s) GROUP BY ALL)
+    SELECT s.conv_id, s.d::BIGINT AS depth, p.conv_id AS parent_conv_id, s.n AS n_convs, s.children::BIGINT AS n_children,
+           t.leaves::BIGINT AS n_leaves, t.saved::BIGINT AS saved_tokens, s.ends AS ends_sha256
+    FROM s JOIN t USING (node) LEFT JOIN n p ON s.d > 0 AND p.d = s.d - 1 AND p.node = s.node[1:s.d - 1]"""
+
+
 def oracle_sql() -> dict[str, str]:
     stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
     return {
-        "op1_ngram_join": rf"""
-            WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
-            g AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS gram
-                  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)),
-            n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-            c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
-            l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * m >= 90 * (p.n + q.n - m)),
-            r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
-            SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, k.component_id
-            FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) k ON k.a = d.doc_id""",
+        "op1_ngram_join": _linked_sql(3, 90),
+        "op11_minhash": f"SELECT *, doc_id = component_id AS kept FROM ({_linked_sql(4, 80)})",
+        "op12_filter_audit": AUDIT_SQL,
+        "op13_prefix_trie": TRIE_SQL,
         "op3_warc": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
             d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
