@@ -12,12 +12,16 @@ A text's set is its distinct ``k``-word shingles of lower-cased words. Two docum
    so that signatures within the distance share one of 80 keys, all of them, without fail.
    A pair at J = 0.8, the hardest that links, is beyond the distance with probability 2e-9.
 3. Documents of equal sets are one class, seen through its smallest doc_id. Classes meet on keys
-   in three passes, none of which makes all pairs of a key's classes rows. First, each class
-   meets the smallest class of its keys: one pair a class. Then each class meets the leader of
-   each key whose classes are not all connected yet. What is still open is dealt into blocks,
-   whose pairs are formed and compared in numpy; only those within the distance are rows.
-4. Candidates within the distance, not tested before, are confirmed: a class's set meets those of
-   its partners in parts of bounded size, not once for each pair.
+   in rounds, none of which makes all pairs of a key's classes rows. In each, the most central
+   class of a key, whose keys are the most common, is compared with the key's other classes and is
+   done there (in the first round each class meets only the most central of its keys' leaders);
+   classes found connected are not compared again. Once open pairs are few for each key, or a round
+   no longer halves them, the rest is dealt into blocks, whose pairs are formed and compared in numpy; only those
+   that pass the filters are rows, and only at the least key that they share.
+4. Filters, before any set is sent: the sizes, the distance, and sketches of the sets, which bound
+   from below how many shingles only one of them has.
+5. What passes and was not tested before is confirmed: a class's set meets those of its partners
+   in parts of bounded size, not once for each pair.
 
 Defined cases: a text without words (null, empty) has an empty set and links with nothing; a
 shorter text is one shingle; rows without doc_id have a set but no links and no component, and
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from relgraph.llm import words as W
 from relgraph.llm.common import components, freed, looked_up, packed, small_batches, stored
-from relgraph.llm.ngram_join import _sets, made_sets, name
+from relgraph.llm.ngram_join import _apart, _sets, allowed, apart, made_sets, name, sketch
 
 CHUNKS, WIDE, ERRORS = 20, 4, 1
 SYMBOLS = CHUNKS * WIDE
@@ -42,6 +46,8 @@ SYMBOLS = CHUNKS * WIDE
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Classes of a block of a crowded key.
 BLOCK = 1024
+#: Open pairs for each entry of a key up to which blocks take all of them at once.
+FEW = 8
 #: Bytes of sets that meet one class's set in one task.
 MEET_BYTES = 4 << 20
 
@@ -73,7 +79,8 @@ def keys(rows: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, h1, h2, signature): set size, 128 bits that name the set, and its symbols."""
+    """(doc_id, n, h1, h2, signature, sketch): set size, 128 bits that name the set, its symbols,
+    and parities of its hashes by range."""
 
     def go(batches):
         for b in batches:
@@ -81,9 +88,9 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
                 sets = list(_sets(b.column("text").slice(lo, hi - lo), k))
                 h = np.array([name(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
                 made = pa.array([x.tobytes() for x in signatures(sets)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), made], ["doc_id", "n", "h1", "h2", "signature"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), made, pa.array([sketch(x) for x in sets], pa.binary())], ["doc_id", "n", "h1", "h2", "signature", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, n long, h1 long, h2 long, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, n long, h1 long, h2 long, signature binary, sketch binary")
 
 
 def entries(named: DataFrame) -> DataFrame:
@@ -103,25 +110,28 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint16).reshape(-1, SYMBOLS)
 
 
-def within(pairs: DataFrame, n: int, marks: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs``, ``n`` at most, whose signatures are within the distance."""
+def within(pairs: DataFrame, n: int, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``pairs``, ``n`` at most, that sizes, signatures and sketches leave room for."""
 
     def check(batches):
         for b in batches:
             near = (_matrix(b.column("x")) != _matrix(b.column("y"))).sum(1) <= DISTANCE
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(near))
+            b = b.filter(pa.array(near))
+            rows = zip(*(b.column(c).to_pylist() for c in ("nx", "sx", "ny", "sy")))
+            keep = [den * min(nx, ny) >= num * max(nx, ny) and apart(x, y) <= allowed(nx, ny, num, den) for nx, x, ny, y in rows]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wide = pairs
     for c, s in (("a", "x"), ("b", "y")):
-        wide = looked_up(wide, marks.select(F.col("id").alias(c), F.col("signature").alias(s)), [c], n)
-    return wide.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+        wide = looked_up(wide, marks.select(F.col("id").alias(c), F.col("n").alias(f"n{s}"), F.col("signature").alias(s), F.col("sketch").alias(f"s{s}")), [c], n)
+    return wide.select("a", "b", "nx", "x", "sx", "ny", "y", "sy").mapInArrow(check, "a long, b long").distinct()
 
 
 def crowded(open_: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) within the distance among ``open_`` (token, id, n, c) with a common token and
-    different c. A token of many classes is dealt into blocks, each two of which meet in a task of
+    """The (a, b) that pass the filters among ``open_`` (token, id, n, c) with a common token and
+    different c, at the least token that they share. A token of many classes is dealt into blocks, each two of which meet in a task of
     their own; tokens of one block meet in buckets."""
-    rows = open_.join(marks.select("id", "n", "signature"), ["id", "n"])
+    rows = open_.join(marks, ["id", "n"])
     sizes = open_.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     buckets = max(12, -(-open_.count() // BLOCK))
     own = rows.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("id", "n"), "blocks").cast("int"))
@@ -133,6 +143,7 @@ def crowded(open_: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame
         t = t.sort_by("token")
         token, ids, n, c, block = (t.column(x).to_numpy() for x in ("token", "id", "n", "c", "own"))
         symbols = _matrix(t.column("signature"))
+        own_keys = keys(symbols).view(np.int64)
         two = t.column("i")[0].as_py() != t.column("j")[0].as_py()
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         found = [np.zeros((0, 2), np.int64)]
@@ -141,11 +152,15 @@ def crowded(open_: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame
                 y = np.arange(x + 1, hi)
                 y = y[(ids[y] != ids[x]) & (c[y] != c[x]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])) & (not two or block[y] != block[x])]
                 y = y[(symbols[y] != symbols[x]).sum(1) <= DISTANCE] if len(y) else y
-                found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
-        a, b = np.unique(np.concatenate(found), axis=0).T
+                shared = np.where(own_keys[y] == own_keys[x], own_keys[y], np.iinfo(np.int64).max).min(1) if len(y) else y
+                y = y[shared == token[x]]
+                found.append(np.stack([np.full(len(y), x), y], 1))
+        x, y = np.concatenate(found).T
+        near = _apart(t.column("sketch").combine_chunks(), x, y) <= n[x] + n[y] - 2 * -(-num * (n[x] + n[y]) // (num + den)) if len(x) else np.zeros(0, bool)
+        a, b = np.unique(np.stack([np.minimum(ids[x], ids[y])[near], np.maximum(ids[x], ids[y])[near]], 1), axis=0).T
         return pa.table({"a": a, "b": b})
 
-    own = own.select("place", "i", "j", "token", "id", "n", "c", "own", "signature")
+    own = own.select("place", "i", "j", "token", "id", "n", "c", "own", "signature", "sketch")
     return own.groupBy("place", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -196,12 +211,13 @@ def linked(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100) -> tuple[
     spark = docs.sparkSession
     small_batches(spark)
     sets = stored(classes(docs, k), "signatures")
-    named = sets.where("doc_id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
+    named = sets.where("doc_id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     named = stored(named, "classes")
     every = entries(named)
-    met = every.groupBy("token").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1").select("token", "lead")
-    now = stored(every.join(met, "token").select("token", "id", "n", "lead"), "entries")
-    marks = stored(named.select("id", "n", "signature").join(now.select("id", "n").distinct(), ["id", "n"], "left_semi"), "marks")
+    met = every.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    now = stored(every.join(met, "token"), "entries")
+    n = now.count()
+    marks = stored(named.select("id", "n", "signature", "sketch").join(now.select("id", "n").distinct(), ["id", "n"], "left_semi"), "marks")
     freed(spark)
     none = spark.createDataFrame([], "a long, b long")
     links, tested, roots = none, none, spark.createDataFrame([], "node long, root long")
@@ -216,25 +232,35 @@ def linked(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100) -> tuple[
             roots = components(links)
         freed(spark)
 
-    def remaining(rows: DataFrame, n: int) -> DataFrame:
-        """Entries of the tokens whose classes are of different components still, which are c,
-        with the token's smallest class."""
-        own = looked_up(rows.select("token", "id", "n"), roots.select(F.col("node").alias("id"), "root"), ["id"], n, "left")
+    before, first = None, True
+    while True:
+        own = looked_up(now, roots.select(F.col("node").alias("id"), "root"), ["id"], n, "left")
         own = stored(own.select("token", "id", "n", F.coalesce("root", "id").alias("c")), "open")
-        several = own.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct("id", "c")).alias("lead")).where("low < high").select("token", "lead")
-        return stored(own.join(several, "token"), "remaining")
-
-    # One pair a class: the smallest class that any of its keys has.
-    first = now.groupBy("id").agg(F.min("lead").alias("lead")).where("lead < id")
-    n = now.count()
-    learn(within(first.select(F.col("lead").alias("a"), F.col("id").alias("b")), n, marks))
-    # Each class and the leader of each of its keys, where these are not connected yet.
-    now = remaining(now, n)
-    pairs = now.where(F.col("c") != F.col("lead.c")).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-    learn(within(pairs.join(tested, ["a", "b"], "left_anti"), n, marks))
-    # The rest, in blocks.
-    now = remaining(now, n)
-    learn(crowded(now.select("token", "id", "n", "c"), marks, num, den))
+        per = own.groupBy("token", "c").agg(F.count("*").alias("m"))
+        per = per.groupBy("token").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"), F.sum("m").alias("m")).where("pairs > 0")
+        per = stored(per, "open-tokens")
+        total = per.agg(F.sum("pairs")).first()[0]
+        if not total:
+            break
+        own = own.join(per.select("token", "m"), "token")
+        if total <= FEW * n or before is not None and 2 * total > before:
+            learn(crowded(stored(own.select("token", "id", "n", "c"), "rest"), marks, num, den))
+            break
+        before = None if first else total
+        central = own.groupBy("id").agg(F.sum("m").alias("score"))
+        own = stored(own.join(central, "id").select("token", "id", "n", "c", F.struct("score", (-F.col("id")).alias("minus"), "c").alias("as_lead")), "scored")
+        lead = own.groupBy("token").agg(F.max("as_lead").alias("lead"))
+        own = stored(own.join(lead, "token").select("token", "id", "n", "c", "lead"), "led")
+        others = own.where((F.col("id") != -F.col("lead.minus")) & (F.col("c") != F.col("lead.c")))
+        if first:
+            others = others.groupBy("id").agg(F.max("lead").alias("lead"))
+            now = own.select("token", "id", "n")
+        else:
+            now = own.where(F.col("id") != -F.col("lead.minus")).select("token", "id", "n")
+        first = False
+        other = -F.col("lead.minus")
+        pairs = others.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+        learn(within(pairs.join(tested, ["a", "b"], "left_anti"), n, marks, num, den))
     return sets.select("doc_id", "n", "h1", "h2"), named, roots
 
 

@@ -70,7 +70,9 @@ def near_rows():
     return rows
 
 
-def test_signature_join_equals_brute_force(spark):
+@pytest.mark.parametrize("few", [8, 0])
+def test_signature_join_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(hamming, "FEW", few)
     rows = near_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n", "id", "signature", "component_id", "kept")})
     got = hamming.dedup(docs).collect()
