@@ -58,6 +58,13 @@ def normal_identifier(name: Column) -> Column:
     return F.when(x.isin(sorted(RESERVED)), F.concat(x, F.lit("_"))).otherwise(x)
 
 
+def normal_text(name: str) -> str:
+    """normal_identifier of a single name, for text that is rewritten piece by piece."""
+    x = re.sub("_+", "_", re.sub("[^a-z0-9_$]+", "_", name.lower())).strip("_")
+    x = x if re.match("[a-z_]", x) else "_" + x
+    return x + "_" if x in RESERVED else x
+
+
 def camel_case(name: Column) -> Column:
     """``paper_title`` to ``paperTitle``: the first part as it is, others capitalised."""
     return F.array_join(F.transform(F.split(name, "_"), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 20))))), "")

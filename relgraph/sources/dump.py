@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.functions.terms import normal_identifier
+from relgraph.functions.terms import normal_text
+from relgraph.sources import dump_text
 
 _NAME = r'(?:"(?:[^"]|"")*"|[\w$]+)'
 _QUALIFIED = rf"(?:{_NAME}\.)?{_NAME}"
@@ -149,25 +150,47 @@ def table_schemas(text: str) -> dict[str, str]:
     return out
 
 
-def copy_rows(spark: SparkSession, path: str, tables: dict[str, Table]) -> dict[str, DataFrame]:
+def copy_rows(spark: SparkSession, path: str, tables: dict[str, Table], pieces: DataFrame | None = None) -> dict[str, DataFrame]:
     """The COPY blocks of a dump as typed DataFrames, by table, or by schema.table where two
-    schemas have the name. One scan finds where blocks begin and end; rows take the block of
-    their line by a join with these few lines' ranges, and a table is a filter of that."""
-    text = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
-    marks = text.where(F.col("value").rlike(r"^COPY .* FROM stdin;$") | (F.col("value") == "\\.")).orderBy("line").collect()
+    schemas have the name. ``pieces`` are the dump's, where they are known."""
+    return _tables_of((pieces or dump_text.pieces(spark, path)).where("kind = 'copy'"), tables)
+
+
+def insert_rows(spark: SparkSession, path: str, tables: dict[str, Table], pieces: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The rows of ``INSERT INTO t [(columns)] VALUES (...), (...);`` statements over any number of
+    lines, as copy_rows."""
+    return _tables_of((pieces or dump_text.pieces(spark, path)).where("kind = 'tuple'"), tables)
+
+
+def loaded(spark: SparkSession, path: str, tables: dict[str, Table], out: str, pieces: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All rows of a dump, COPY's and INSERT's, as typed DataFrames, by one scan that writes them
+    to ``out`` by schema and table; a table then reads only its own files."""
+    found = (pieces or dump_text.pieces(spark, path)).where("kind <> 'statement'").withColumns({"_schema": F.col("schema"), "_table": F.col("table")})
+    found.write.partitionBy("_schema", "_table").parquet(out)
+    kept = spark.read.schema(found.schema).parquet(out)
+    return _tables_of(kept.withColumns({"schema": F.coalesce("_schema", F.lit("")), "table": F.col("_table")}).drop("_schema", "_table"), tables)
+
+
+def _tables_of(pieces: DataFrame, tables: dict[str, Table]) -> dict[str, DataFrame]:
+    owners = sorted(map(tuple, pieces.select("table", "schema").distinct().where(F.col("table").isin([t.name for t in tables.values()])).collect()))
     out = {}
-    for k, h in enumerate(marks):
-        if h.value == "\\.":
-            continue
-        end = marks[k + 1].line if k + 1 < len(marks) else 1 << 62
-        m = re.match(rf"COPY ({_QUALIFIED})\s*(?:\(([^)]*)\))?", h.value)
-        t = tables[_plain(m[1])]
-        names = _names(m[2]) if m[2] else [c.name for c in t.columns]
-        types = {c.name: c.spark_type for c in t.columns}
-        cells = F.split("value", "\t", -1)
-        body = text.where((F.col("line") > h.line) & (F.col("line") < end))
-        out[qualified(m[1]) if t.name in out else t.name] = body.select(*(_typed(F.get(cells, F.lit(i)), types[n]).alias(n) for i, n in enumerate(names)))
-    return out
+    for name, schema in owners:
+        t = next(t for t in tables.values() if t.name == name)
+        key = name if name not in out else f"{schema}.{name}"
+        out[key] = table_rows(pieces.where((F.col("table") == name) & (F.col("schema") == schema)), t)
+    return out | {t.name: table_rows(pieces.where(F.lit(False)), t) for t in tables.values() if t.name not in out}
+
+
+def table_rows(pieces: DataFrame, table: Table) -> DataFrame:
+    """One table's ``pieces`` as its typed columns; a column that a header leaves out is null."""
+    cells = F.split("value", "\t", -1)
+    columns = []
+    for k, c in enumerate(table.columns):
+        at = F.when(F.size("columns") == 0, F.lit(k)).otherwise(F.nullif(F.array_position("columns", c.name), F.lit(0)).cast("int") - 1)
+        copied, given = F.get(cells, at), F.get("cells", at)
+        text = F.when(F.col("kind") == "copy", unescaped(F.when(copied != "\\N", copied))).otherwise(given)
+        columns.append((text if c.spark_type == "string" else text.try_cast(c.spark_type)).alias(c.name))
+    return pieces.select(*columns)
 
 
 #: What a backslash and a letter stand for in COPY text. Fixed values.
@@ -190,31 +213,40 @@ def unescaped(cell):
     return F.when(F.contains(cell, F.lit("\\")), F.array_join(F.transform(pieces, plain), "")).otherwise(cell)
 
 
-def _typed(cell, kind: str):
-    x = unescaped(F.when(cell != "\\N", cell))
-    return x if kind == "string" else x.try_cast(kind)
+def write_dump(spark: SparkSession, tables: dict[str, DataFrame], path: str, inserts: frozenset[str] = frozenset()) -> None:
+    """``tables`` (by name, or schema.name) as dump text, files in order: a CREATE TABLE and a COPY
+    block each, or INSERT statements for the names in ``inserts``. Written by ranges, in parallel."""
+    parts = []
+    for k, (name, df) in enumerate(tables.items()):
+        names = ", ".join(f'"{c}"' for c in df.columns)
+        kinds = {"int": "integer", "bigint": "bigint", "smallint": "smallint", "double": "double precision", "float": "real", "boolean": "boolean", "date": "date", "timestamp": "timestamp without time zone", "timestamp_ntz": "timestamp without time zone"}
+        columns = ",\n".join(f'    "{c}" {kinds.get(t, "text")}' for c, t in df.dtypes)
+        head, tail = f"CREATE TABLE {name} (\n{columns}\n);\n", ""
+        if name in inserts:
+            rows = F.concat(F.lit(f"INSERT INTO {name} ({names}) VALUES\n    ("), F.array_join(F.array(*(_inserted(F.col(f"`{c}`"), t) for c, t in df.dtypes)), ", "), F.lit(");"))
+        else:
+            head, tail = f"{head}\nCOPY {name} ({names}) FROM stdin;", "\\.\n"
+            rows = F.array_join(F.array(*(_copied(F.col(f"`{c}`")) for c in df.columns)), "\t")
+        parts.append(df.select(F.lit(k).alias("table"), F.lit(1).alias("phase"), rows.alias("value")))
+        parts.append(spark.createDataFrame([(k, 0, head)] + ([(k, 2, tail)] if tail else []), "table int, phase int, value string"))
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    out.orderBy("table", "phase", F.xxhash64("value")).select("value").write.text(path)
 
 
-def insert_rows(spark: SparkSession, path: str, tables: dict[str, Table]) -> dict[str, DataFrame]:
-    """The rows of one-line ``INSERT INTO t [(columns)] VALUES (...), (...);`` statements."""
-    text = spark.read.text(path)
-    literal = r"'(?:[^']|'')*'|[^,()'\s][^,()']*"
-    out = {}
-    for t in tables.values():
-        head = rf"(?i)^INSERT INTO (?:[\w\"]+\.)?\"?{re.escape(t.name)}\"?\s*(?:\(([^)]*)\))?\s*VALUES\s*"
-        own = text.where(F.col("value").rlike(head))
-        given = F.regexp_extract("value", head, 1)
-        rows = F.regexp_extract_all(F.regexp_replace("value", head, ""), F.lit(r"\(((?:'(?:[^']|'')*'|[^()'])*)\)"), F.lit(1))
-        cells = own.select(F.transform(F.split(F.replace(given, F.lit('"'), F.lit("")), ","), lambda c: F.lower(F.btrim(c))).alias("names"), F.explode(rows).alias("row"))
-        cells = cells.withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit(f"({literal})"), F.lit(1)), lambda c: F.btrim(c)))
-        columns = []
-        for k, c in enumerate(t.columns):
-            at = F.when(F.get("names", F.lit(0)) == "", F.lit(k + 1)).otherwise(F.array_position("names", F.lit(c.name)))
-            x = F.get("cells", (at - 1).cast("int"))
-            x = F.when(F.upper(x) != "NULL", F.when(F.startswith(x, F.lit("'")), F.replace(F.regexp_replace(x, "^'|'$", ""), F.lit("''"), F.lit("'"))).otherwise(x))
-            columns.append((x if c.spark_type == "string" else x.try_cast(c.spark_type)).alias(c.name))
-        out[t.name] = cells.select(*columns)
-    return out
+def _copied(x):
+    text = x.cast("string")
+    for char, mark in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(char), F.lit(mark))
+    return F.coalesce(text, F.lit("\\N"))
+
+
+def _inserted(x, kind: str):
+    text = x.cast("string")
+    if kind not in ("int", "bigint", "smallint", "double", "float", "boolean"):
+        text = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.coalesce(text, F.lit("NULL"))
 
 
 def sample_rows(rows: dict[str, DataFrame], n: int = 5) -> dict[str, DataFrame]:
@@ -235,35 +267,13 @@ def enriched(text: str, keys: list[tuple[str, str, str | None, str | None]]) ->
 def split_by_schema(spark: SparkSession, path: str, out: str) -> None:
     """A dump's lines written to ``schema=...`` folders: a statement or a COPY block goes to the
     schema that it names, or that the last search path set; others to ``schema=``."""
-    text = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
-    name = r'(?i)^(?:COPY|CREATE TABLE(?: IF NOT EXISTS)?|ALTER TABLE(?: ONLY)?|INSERT INTO)\s+"?([\w$]+)"?\."?[\w$]+'
-    heads = text.where(F.col("value").rlike(r"(?i)^(COPY|CREATE|ALTER|INSERT|SET|SELECT|COMMENT|DROP)\b"))
-    own = F.nullif(F.regexp_extract("value", name, 1), F.lit(""))
-    path_set = F.nullif(F.regexp_extract("value", r'(?i)^SET\s+search_path\s*(?:=|TO)\s*"?([\w$]+)', 1), F.lit(""))
-    marks = heads.select("line", own.alias("own"), path_set.alias("set")).orderBy("line").collect()  # a dump's statements
-    schema, starts = "", []
-    for r in marks:
-        schema = r.set or schema
-        starts.append((r.line, r.own or schema))
-    ranges = [(a, starts[k + 1][0] if k + 1 < len(starts) else 1 << 62, s) for k, (a, s) in enumerate(starts)]
-    merged: list[list] = []
-    for a, b, s in ranges:
-        if merged and merged[-1][2] == s:
-            merged[-1][1] = b
-        else:
-            merged.append([a, b, s])
-    which = F.lit("")
-    for a, b, s in merged:
-        which = F.when((F.col("line") >= a) & (F.col("line") < b), s).otherwise(which)
-    text.select("value", which.alias("schema")).write.partitionBy("schema").text(out)
-
-
-def normalized_lines(lines: DataFrame) -> DataFrame:
-    """(value): a dump's lines with quoted identifiers as normal names; strings, comments and the
-    lines of COPY blocks (``data`` is true) stay as they are."""
-    pieces = F.regexp_extract_all("value", F.lit(r"""(--.*|'(?:[^']|'')*'|\$\$.*?\$\$|"(?:[^"]|"")*"|[^-'"$]+|[-$'"])"""), F.lit(1))
-    plain = F.transform(pieces, lambda x: F.when(x.rlike('^".*"$'), normal_identifier(F.regexp_replace(x, '^"|"$', ""))).otherwise(x))
-    return lines.select(F.when(F.col("data"), F.col("value")).otherwise(F.array_join(plain, "")).alias("value"))
+    dump_text.lines(spark, path).select("value", "schema").write.partitionBy("schema").text(out)
+
+
+def normalized_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk, line, schema, value): a dump's lines with quoted identifiers as normal names and other
+    code in lower case; strings, comments and the lines of COPY blocks stay as they are."""
+    return dump_text.lines(spark, path, normal_text)
 
 
 def read_qpair(text: str) -> dict[str, object]:

@@ -265,8 +265,9 @@ COPY two.t (id, v) FROM stdin;
     parts = spark.read.text(str(tmp_path / "split"))
     two = [r.value for r in spark.read.text(str(tmp_path / "split" / "schema=two")).collect()]
     assert parts.count() == len(text.splitlines()) and "5\t\\N" in two and not any(x.startswith("4") for x in two)
-    lines = spark.createDataFrame([('CREATE TABLE "My Table" ("a-b" text DEFAULT \'"Q x"\'); -- "No One"', False), ('"My Table"', True)], "value string, data boolean")
-    assert [r.value for r in dump.normalized_lines(lines).collect()] == ['CREATE TABLE my_table (a_b text DEFAULT \'"Q x"\'); -- "No One"', '"My Table"']
+    (tmp_path / "n.sql").write_text('CREATE TABLE "My Table" ("a-b" text DEFAULT \'"Q x"\'); -- "No One"\nCOPY T FROM stdin;\n"My Table"\n\\.\n')
+    got = dump.normalized_lines(spark, str(tmp_path / "n.sql")).orderBy("chunk", "line").collect()
+    assert [r.value for r in got] == ['create table my_table (a_b text default \'"Q x"\'); -- "No One"', "copy t from stdin;", '"My Table"', "\\."]
 
 
 def test_rules(spark):
