@@ -12,12 +12,12 @@ A text's set is its distinct ``k``-word shingles of lower-cased words. Two docum
    so that signatures within the distance share one of 80 keys, all of them, without fail.
    A pair at J = 0.8, the hardest that links, is beyond the distance with probability 2e-9.
 3. Documents of equal sets are one class, seen through its smallest doc_id. Classes meet on keys
-   in rounds, none of which makes all pairs of a key's classes rows. In each, the most central
-   class of a key, whose keys are the most common, is compared with the key's other classes and is
-   done there (in the first round each class meets only the most central of its keys' leaders);
-   classes found connected are not compared again. Once open pairs are few for each key, or a round
-   no longer halves them, the rest is dealt into blocks, whose pairs are formed and compared in numpy; only those
-   that pass the filters are rows, and only at the least key that they share.
+   in rounds, none of which makes all pairs of a key's classes rows. In each, a key's leader is its
+   most central class, whose keys are the most common, and each class meets the most central of its
+   keys' leaders that it is not connected with: one pair a class. Once open pairs are few for each
+   key, or a round no longer halves them, the rest is dealt into blocks, whose pairs are formed and
+   compared in numpy; only those that pass the filters are rows, and only at the least key that they
+   share.
 4. Filters, before any set is sent: the sizes, the distance, and sketches of the sets, which bound
    from below how many shingles only one of them has.
 5. What passes and was not tested before is confirmed: a class's set meets those of its partners
@@ -232,7 +232,7 @@ def linked(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100) -> tuple[
             roots = components(links)
         freed(spark)
 
-    before, first = None, True
+    before = None
     while True:
         own = looked_up(now, roots.select(F.col("node").alias("id"), "root"), ["id"], n, "left")
         own = stored(own.select("token", "id", "n", F.coalesce("root", "id").alias("c")), "open")
@@ -246,21 +246,14 @@ def linked(docs: DataFrame, k: int = 4, num: int = 80, den: int = 100) -> tuple[
         if total <= FEW * n or before is not None and 2 * total > before:
             learn(crowded(stored(own.select("token", "id", "n", "c"), "rest"), marks, num, den))
             break
-        before = None if first else total
+        before = total
         central = own.groupBy("id").agg(F.sum("m").alias("score"))
         own = stored(own.join(central, "id").select("token", "id", "n", "c", F.struct("score", (-F.col("id")).alias("minus"), "c").alias("as_lead")), "scored")
         lead = own.groupBy("token").agg(F.max("as_lead").alias("lead"))
-        own = stored(own.join(lead, "token").select("token", "id", "n", "c", "lead"), "led")
-        others = own.where((F.col("id") != -F.col("lead.minus")) & (F.col("c") != F.col("lead.c")))
-        if first:
-            others = others.groupBy("id").agg(F.max("lead").alias("lead"))
-            now = own.select("token", "id", "n")
-        else:
-            now = own.where(F.col("id") != -F.col("lead.minus")).select("token", "id", "n")
-        first = False
+        best = own.join(lead, "token").where(F.col("c") != F.col("lead.c")).groupBy("id").agg(F.max("lead").alias("lead"))
         other = -F.col("lead.minus")
-        pairs = others.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
-        learn(within(pairs.join(tested, ["a", "b"], "left_anti"), n, marks, num, den))
+        learn(within(best.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct(), n, marks, num, den))
+        now = own.select("token", "id", "n")
     return sets.select("doc_id", "n", "h1", "h2"), named, roots
 
 
