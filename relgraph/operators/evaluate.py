@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relgraph.functions.terms import natural_key, normal_identifier
+from relgraph.operators.ranks import ranked
 
 
 def bag_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def report_order(df: DataFrame) -> DataFrame:
 
 def natural_order(df: DataFrame, name: str) -> DataFrame:
     """``df`` with its place when digits count as numbers."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(natural_key(F.col(name)), name)))
+    return ranked(df.withColumn("_key", natural_key(F.col(name))), ["_key", name], "place").drop("_key")
 
 
 def labelled(df: DataFrame, name: str, families: dict[str, str], variants: dict[str, str]) -> DataFrame:

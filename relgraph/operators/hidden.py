@@ -6,10 +6,11 @@ n_distinct, values), values all distinct ones where they are few.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.operators.profile import value_counts
+from relgraph.operators.ranks import top_values
 
 #: Parts of names by which a column says what it is. Fixed values.
 SURE = ("category", "class", "kind", "subtype", "type")
@@ -29,9 +30,10 @@ def table_profiles(tables: dict[str, DataFrame], most: int = MOST_VALUES) -> Dat
     for name, df in tables.items():
         c = value_counts(df)
         real = F.col("value").isNotNull()
-        few = F.row_number().over(Window.partitionBy("column").orderBy(F.col("value").asc_nulls_last())) <= most
-        c = c.withColumn("_few", few & real)
-        p = c.groupBy("column").agg(F.sum("n").alias("total"), F.sum(F.when(real, F.col("n")).otherwise(0)).alias("non_null"), F.count("value").alias("n_distinct"), F.array_sort(F.collect_list(F.when(F.col("_few"), F.col("value")))).alias("values"))
+        few = top_values(c.where(real).withColumn("_same", F.lit(0)), ["column"], "value", "_same", most)
+        few = few.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("values"))
+        p = c.groupBy("column").agg(F.sum("n").alias("total"), F.sum(F.when(real, F.col("n")).otherwise(0)).alias("non_null"), F.count("value").alias("n_distinct"))
+        p = p.join(few, "column", "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
         p = p.withColumn("table", F.lit(name))
         out = p if out is None else out.unionByName(p)
     return out.select("table", "column", "total", "non_null", "n_distinct", "values")

@@ -8,12 +8,14 @@ partner costs no other triple. Null values and placeholders yield no triple.
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgraph.functions.terms import PLAIN, RDF_TYPE, datatype, placeholders, template
 from relgraph.plans.mapping import Literal, Mapping, Reference, Template, TriplesMap
+from relgraph.shared import stored
 
 SCHEMA = "s string, p string, o string, o_kind string, o_datatype string"
 
@@ -51,10 +53,9 @@ def map_triples(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapp
     if wanted(RDF_TYPE):
         cells += [_triple(RDF_TYPE, F.lit(c), "iri") for c in m.classes]
         if m.dispatch:
-            value = F.lit(None).cast("string")
-            for v, c in m.dispatch.classes:
-                value = F.when(F.col(m.dispatch.column) == F.lit(v), F.lit(c)).otherwise(value)
-            cells.append(_triple(RDF_TYPE, value, "iri"))
+            for c in dict.fromkeys(c for _, c in m.dispatch.classes if c not in m.classes):
+                values = [v for v, x in m.dispatch.classes if x == c]
+                cells.append(_triple(RDF_TYPE, F.when(F.col(m.dispatch.column).isin(values), F.lit(c)), "iri"))
     for p, o in m.objects:
         if not wanted(p):
             continue
@@ -88,7 +89,7 @@ def _is_set(mapping: Mapping, m: TriplesMap, only: set[str] | None) -> bool:
     own = made(m)
     one = all(not isinstance(o, Reference) or elided(mapping, o) or (mapping.map(o.parent).key and set(placeholders(mapping.map(o.parent).subject)) <= {b for _, b in o.on}) for p, o in m.objects if only is None or p in only)
     others = {(p, shape(x)) for x in mapping.maps if x is not m for p in made(x)}
-    return m.key and one and len(set(own)) == len(own) and len({*m.classes, *(c for _, c in (m.dispatch.classes if m.dispatch else ()))}) == len(m.classes) + len(m.dispatch.classes if m.dispatch else ()) and not others & {(p, shape(m)) for p in own}
+    return m.key and one and len(set(own)) == len(own) and len(set(m.classes)) == len(m.classes) and not others & {(p, shape(m)) for p in own}
 
 
 def triples(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapping, only: set[str] | None = None) -> DataFrame:
@@ -123,23 +124,160 @@ def closure(spark: SparkSession, edges: list[tuple[str, str]] | DataFrame) -> Da
     return up
 
 
+def saturated(mapping: Mapping, classes: set[str] | None = None) -> Mapping:
+    """The mapping with superclasses put in, where the classes are; ``classes`` prunes to these."""
+    wanted = lambda c: [a for a in sorted(mapping.above(c)) if classes is None or a in classes]
+    maps = []
+    for m in mapping.maps:
+        own = tuple(dict.fromkeys(a for c in m.classes for a in wanted(c)))
+        by_value = tuple(dict.fromkeys((v, a) for v, c in (m.dispatch.classes if m.dispatch else ()) for a in wanted(c)))
+        maps.append(replace(m, classes=own, dispatch=replace(m.dispatch, classes=by_value) if by_value else None))
+    return replace(mapping, maps=tuple(maps))
+
+
+def entail(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapping, only: set[str] | None = None, classes: set[str] | None = None) -> DataFrame:
+    """All triples of the mapping and what they entail, as a set; ``only`` prunes to predicates and
+    ``classes`` to types of these classes. Superclasses are put into the maps, so that types that
+    are a set need no distinct; see entailed for the other rules."""
+    full, pruned = saturated(mapping), saturated(mapping, classes)
+    made = {p for m in mapping.maps for p, _ in m.objects}
+
+    def get(predicates: set[str], needed: bool = False) -> DataFrame:
+        return triples(spark, tables, full if needed else pruned, predicates)
+
+    return _entailed(spark, get, mapping, made if only is None else only - {RDF_TYPE}, made, only is None or RDF_TYPE in only, classes)
+
+
 def entailed(spark: SparkSession, graph: DataFrame, mapping: Mapping) -> DataFrame:
-    """``graph`` with inverse links, existential classes and superclasses."""
-    out = graph
-    for p, q in mapping.inverses:
-        for a, b in ((p, q), (q, p)):
-            back = graph.where((F.col("p") == a) & (F.col("o_kind") == "iri"))
-            out = out.unionByName(back.select(F.col("o").alias("s"), F.lit(b).alias("p"), F.col("s").alias("o"), "o_kind", "o_datatype"))
-    types = out.where(F.col("p") == RDF_TYPE)
-    for c, p, filler in mapping.existentials:
-        fillers = types.where(F.col("o") == filler).select(F.col("s").alias("o"))
-        new = out.where(F.col("p") == p).join(fillers, "o", "left_semi").select("s").distinct()
-        out = out.unionByName(new.select("s", F.lit(RDF_TYPE).alias("p"), F.lit(c).alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype")))
-    if mapping.subclasses:
-        up = F.create_map(*(x for c, above in superclasses(mapping.subclasses).items() for x in (F.lit(c), F.array(*map(F.lit, above)))))
-        new = out.where(F.col("p") == RDF_TYPE).select("s", "p", F.explode(F.element_at(up, F.col("o"))).alias("o"), "o_kind", "o_datatype")
-        out = out.unionByName(new)
-    return out.distinct()
+    """``graph`` with inverse links, types by domain, range, superclasses and classes that are
+    equivalent to having a link, to any depth."""
+    above = {c: sorted(mapping.above(c) - {c}) for c in {a for a, _ in mapping.subclasses}}
+    up = F.create_map(*(x for c, more in above.items() for x in (F.lit(c), F.array(*map(F.lit, more))))) if above else None
+
+    def get(predicates: set[str], needed: bool = False) -> DataFrame:
+        some = graph.where(F.col("p").isin(sorted(predicates)))
+        if RDF_TYPE not in predicates or up is None:
+            return some
+        more = some.where(F.col("p") == RDF_TYPE).select("s", "p", F.explode(F.element_at(up, F.col("o"))).alias("o"), "o_kind", "o_datatype")
+        return some.unionByName(more).distinct()
+
+    known = {x for pair in mapping.inverses for x in pair} | {p for _, p, _ in mapping.existentials} | {p for p, _ in mapping.domains + mapping.ranges}
+    rest = graph.where(~F.col("p").isin(sorted(known | {RDF_TYPE})))
+    return rest.unionByName(_entailed(spark, get, mapping, known, known, True, None))
+
+
+def _typed(rows: DataFrame, subject: str, classes) -> DataFrame:
+    """Types of the terms in ``subject``, a row for each class."""
+    types = F.explode(F.array(*map(F.lit, sorted(classes))))
+    return rows.select(F.col(subject).alias("s"), F.lit(RDF_TYPE).alias("p"), types.alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"))
+
+
+def _entailed(spark: SparkSession, get, mapping: Mapping, links: set[str], made: set[str], types: bool, classes: set[str] | None) -> DataFrame:
+    """Links ``links`` and, with ``types``, types of ``classes`` that follow from ``get``, which
+    gives the triples of some of the predicates ``made``, superclasses of types included."""
+
+    def linked(q: str) -> DataFrame | None:
+        """The links of a property, own ones and those turned round, not yet a set."""
+        out = None
+        for p in sorted(made):
+            for form, turned in mapping.forms(p):
+                if form == q:
+                    rows = get({p})
+                    rows = rows.where("o_kind = 'iri'").select(F.col("o").alias("s"), F.lit(q).alias("p"), F.col("s").alias("o"), "o_kind", "o_datatype") if turned else rows.withColumn("p", F.lit(q))
+                    out = rows if out is None else out.unionByName(rows)
+        return out
+
+    sources = lambda q: sum(form == q for p in made for form, _ in mapping.forms(p))
+    asked = links | {q for p in links & made for q, _ in mapping.forms(p)} if links == made else links
+    parts = []
+    plain = {q for q in asked if sources(q) == 1 and q in made}
+    if plain:
+        parts.append(get(plain))
+    for q in sorted(asked - plain):
+        if (rows := linked(q)) is not None:
+            parts.append(rows.distinct() if sources(q) > 1 else rows)
+    if types:
+        parts += _types(spark, get, linked, mapping, made, classes)
+    if not parts:
+        return spark.createDataFrame([], SCHEMA)
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def _types(spark: SparkSession, get, linked, mapping: Mapping, made: set[str], classes: set[str] | None) -> list[DataFrame]:
+    """Direct types, and those by rules. Only the classes that rules add to are made distinct."""
+    wanted = lambda found: {c for c in found if classes is None or c in classes}
+    rules = {p: ends for p, ends in mapping.derived().items() if p in made}
+    axioms = [x for x in mapping.existentials if any(f == x[1] for p in made for f, _ in mapping.forms(p))]
+    derived, new = [], set()
+    fillers = {f for _, _, f in axioms}
+    for p, ends in sorted(rules.items()):
+        for column, found in zip("so", ends):
+            keep = found & (wanted(found) | fillers)
+            if keep:
+                rows = get({p})
+                derived.append(_typed(rows.where("o_kind = 'iri'") if column == "o" else rows, column, keep))
+                new |= keep
+    if axioms := _needed(mapping, axioms, classes):
+        fillers = {f for _, _, f in axioms}
+        facts = get({RDF_TYPE}, True).where(F.col("o").isin(sorted(fillers)))
+        for rows in derived:
+            facts = facts.unionByName(rows.where(F.col("o").isin(sorted(fillers))))
+        found = _existential(spark, facts.select("s", "o").distinct(), linked, mapping, axioms)
+        derived.append(found)
+        new |= {a for c, _, _ in axioms for a in mapping.above(c)}
+    direct = get({RDF_TYPE})
+    if not derived:
+        return [direct]
+    new = wanted(new)
+    both = direct.where(F.col("o").isin(sorted(new)))
+    for rows in derived:
+        both = both.unionByName(rows.where(F.col("o").isin(sorted(new))))
+    return [direct.where(~F.col("o").isin(sorted(new))), both.distinct()]
+
+
+def _needed(mapping: Mapping, axioms: list, classes: set[str] | None) -> list:
+    """The axioms that can add to ``classes``, directly or through other axioms' fillers."""
+    if classes is None:
+        return axioms
+    found: list = []
+    goals = set(classes)
+    while more := [x for x in axioms if x not in found and mapping.above(x[0]) & goals]:
+        found += more
+        goals |= {f for _, _, f in more}
+    return found
+
+
+def _existential(spark: SparkSession, facts: DataFrame, linked, mapping: Mapping, axioms: list) -> DataFrame:
+    """Types by classes equivalent to a link to a filler. Semi-naive: each round meets the links
+    with the facts (s, o) that the last one added, and only where they are fillers. Without a chain
+    of axioms that is one round, and nothing is stored."""
+    fillers = sorted({f for _, _, f in axioms})
+    feeds = any(f in mapping.above(c) for c, _, _ in axioms for f in fillers)
+    by_property = {p: linked(p).select("s", "o") for _, p, _ in axioms}
+    if feeds:
+        by_property = {p: stored(rows, "links") for p, rows in by_property.items()}
+
+    def round_(delta: DataFrame) -> DataFrame:
+        out = None
+        for c, p, f in axioms:
+            holds = delta.where(F.col("o") == f).select(F.col("s").alias("o"))
+            rows = _typed(by_property[p].join(holds, "o", "left_semi").select("s").distinct(), "s", mapping.above(c))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    if not feeds:
+        return round_(facts)
+    known = delta = stored(facts, "facts")
+    total = None
+    while not delta.isEmpty():
+        new = stored(round_(delta).distinct(), "found")
+        total = new if total is None else total.unionByName(new)
+        delta = stored(new.where(F.col("o").isin(fillers)).select("s", "o").join(known, ["s", "o"], "left_anti"), "facts")
+        known = stored(known.unionByName(delta), "known")
+    return total.distinct() if total is not None else spark.createDataFrame([], SCHEMA)
 
 
 def superclasses(edges) -> dict[str, list[str]]:

@@ -19,6 +19,7 @@ from __future__ import annotations
 import itertools
 import re
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,45 @@ def is_variable(x) -> bool:
     return isinstance(x, str) and x.startswith("?")
 
 
+#: What iri_safe leaves of a value: unreserved characters, escapes, and all that is not ASCII.
+_SAFE = r"((?:[A-Za-z0-9._~-]|%[0-9A-F]{2}|[^\x00-\x7f])*)"
+
+
+def inverted(term: Term, constant: str, types: dict[str, str]) -> list[Column]:
+    """When a term is the constant, as comparisons of its columns, which reach the scan. An IRI is
+    decoded by its template; a value that the template would not write so is no value. Columns that
+    are no text or whole number, and templates whose parts can't be told apart, are compared as text."""
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if not term.columns or any(types[c] not in (*whole, "string") for c in term.columns):
+        return [term.value() == constant]
+    if term.kind == "literal":
+        values = [constant]
+    else:
+        between = term.shape[1:-1]
+        if any(re.fullmatch(r"[A-Za-z0-9._~-]*", x) for x in between):
+            return [term.value() == constant]
+        m = re.fullmatch(_SAFE.join(map(re.escape, term.shape)), constant)
+        if not m:
+            return [F.lit(False)]
+        values = [unquote(x) for x in m.groups()]
+        if any(quote(v) != x for v, x in zip(values, m.groups())):
+            return [F.lit(False)]
+    out = []
+    for c, v in zip(term.columns, values):
+        if types[c] == "string":
+            out.append(F.col(f"`{c}`") == v)
+        elif not re.fullmatch(r"0|-?[1-9][0-9]{0,18}", v) or not -(1 << 63) <= int(v) < 1 << 63:
+            return [F.lit(False)]
+        else:
+            out.append(F.col(f"`{c}`") == F.lit(int(v)))
+    return out
+
+
+def quote(value: str) -> str:
+    """As iri_safe, of one value."""
+    return "".join(c if ord(c) > 127 or re.match(r"[A-Za-z0-9._~-]", c) else f"%{ord(c):02X}" for c in value)
+
+
 def evaluate(graph: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """Solutions over ``graph``, a set of triples. Patterns are joined in an order that always
     shares a variable with what came before; without one a ValueError says so."""
@@ -116,28 +156,18 @@ class Candidate:
     swapped: bool = False
 
 
-def descendants(edges, cls: str) -> set[str]:
-    found, todo = {cls}, [cls]
-    while todo:
-        c = todo.pop()
-        todo += [a for a, b in edges if b == c and a not in found]
-        found.update(todo)
-    return found
-
-
 def candidates(mapping: Mapping, tables: dict[str, DataFrame], p: Pattern, entail: bool) -> list[Candidate]:
     _, predicate, o = p
     if is_variable(predicate):
         raise ValueError("a variable predicate has no unfolding; evaluate it over triples")
     found = []
-    wanted = None if is_variable(o) or isinstance(o, Value) else descendants(mapping.subclasses, o) if entail else {o}
+    above = mapping.above if entail else lambda c: {c}
     for m in mapping.maps:
         s = Term.of(m.subject)
         if predicate == RDF_TYPE:
             classes = [(c, ()) for c in m.classes] + [(c, ((m.dispatch.column, v),)) for v, c in (m.dispatch.classes if m.dispatch else ())]
-            hits = {(o if wanted is not None and entail else c, e) for c, e in classes if wanted is None or c in wanted}
-            if any(not e for _, e in hits) and wanted is not None:
-                hits = {(o, ())}  # all rows are, whatever else some are
+            hits = {(a, e) for c, e in classes for a in above(c) if is_variable(o) or a == o}
+            hits = {(a, e) for a, e in hits if not e or (a, ()) not in hits}  # all rows are, whatever else some are
             found += [Candidate(m, s, Term("iri", (c,), ()), e) for c, e in sorted(hits, key=str)]
             continue
         for q, x in m.objects:
@@ -196,18 +226,66 @@ def _combinations(options: list[list[Candidate]], patterns: list[Pattern]):
 
 
 def unfold(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapping, patterns: list[Pattern], entail: bool = False) -> DataFrame:
-    """Solutions of ``patterns`` over the tables. ``entail`` adds superclasses, inverse
-    properties and classes equivalent to having a link."""
+    """Solutions of ``patterns`` over the tables. ``entail`` adds superclasses, inverse properties,
+    classes by domain and range, and classes equivalent to having a link: a type pattern is then a
+    union of what its class follows from. A class that is defined by itself has no finite union and
+    raises a ValueError; evaluate it over entailed triples."""
     patterns = expanded(patterns)
-    if entail:
-        hidden = {c: (p, d) for c, p, d in mapping.existentials}
-        for k, (s, p, o) in enumerate(patterns):
-            if p == RDF_TYPE and o in hidden:
-                link, filler = hidden[o]
-                some = unfold(spark, tables, mapping, [(s, link, f"?_x{k}"), (f"?_x{k}", RDF_TYPE, filler)], True).select(s[1:]).distinct()
-                rest = patterns[:k] + patterns[k + 1 :]
-                return unfold(spark, tables, mapping, rest, True).join(some, s[1:]) if rest else some
     variables = list(dict.fromkeys(x for p in patterns for x in p if is_variable(x)))
+    if not entail:
+        return _unfolded(spark, tables, mapping, patterns, variables, False)
+    parts, ways = [], 0
+    for some, given in _rewritings(mapping, patterns):
+        ways += 1
+        if all(candidates(mapping, tables, p, True) for p in some):
+            found = _unfolded(spark, tables, mapping, some, list(dict.fromkeys(x for p in some for x in p if is_variable(x))), True)
+            parts.append(found.select(*(F.lit(given[v]).alias(v[1:]) if v in given else F.col(v[1:]) for v in variables)))
+    if not parts:
+        return _none(spark, variables)
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out if ways == 1 else out.distinct()
+
+
+def _none(spark: SparkSession, variables: list[str]) -> DataFrame:
+    return spark.createDataFrame([], ", ".join(f"{v[1:]} string" for v in variables))
+
+
+def _rewritings(mapping: Mapping, patterns: list[Pattern], done: int = 0, fresh: int = 0, used: tuple = ()):
+    """(patterns, classes of variables): the ways in which types can follow, patterns before
+    ``done`` being asked of the maps as they are."""
+    k = next((i for i in range(done, len(patterns)) if patterns[i][1] == RDF_TYPE), None)
+    if k is None:
+        yield patterns, {}
+        return
+    yield from _rewritings(mapping, patterns, k + 1, fresh, used)
+    s, _, o = patterns[k]
+    rest = patterns[:k] + patterns[k + 1 :]
+    if is_variable(o) and any(o in p for p in rest):
+        raise ValueError("a class is asked for twice; evaluate it over entailed triples")
+    x = f"?_x{fresh}"
+    for classes, more, axiom in _reasons(mapping, s, x):
+        for c in sorted(classes) if is_variable(o) else [o] if o in classes else []:
+            if axiom in used:
+                raise ValueError(f"{axiom[0]} is defined by itself; evaluate it over entailed triples")
+            # New type patterns stand behind those that are done.
+            for some, given in _rewritings(mapping, rest[:k] + more[:1] + rest[k:] + more[1:], k, fresh + 1, used + ((axiom,) if len(more) > 1 else ())):
+                yield some, given | ({o: c} if is_variable(o) else {})
+
+
+def _reasons(mapping: Mapping, s: str, x: str):
+    """(classes, patterns, rule) that make ``s`` of the classes, ``x`` being something."""
+    for p, c in mapping.domains:
+        yield mapping.above(c), [(s, p, x)], ("domain", p, c)
+    for p, c in mapping.ranges:
+        yield mapping.above(c), [(x, p, s)], ("range", p, c)
+    for axiom in mapping.existentials:
+        c, p, filler = axiom
+        yield mapping.above(c), [(s, p, x), (x, RDF_TYPE, filler)], axiom
+
+
+def _unfolded(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapping, patterns: list[Pattern], variables: list[str], entail: bool) -> DataFrame:
     parts, seen, apart = [], [], True
     for chosen, shapes in _combinations([candidates(mapping, tables, p, entail) for p in patterns], patterns):
         df, is_set = _combined(spark, tables, mapping, patterns, chosen, variables)
@@ -215,7 +293,7 @@ def unfold(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapping,
         apart &= is_set and shapes not in seen
         seen.append(shapes)
     if not parts:
-        return spark.createDataFrame([], ", ".join(f"{v[1:]} string" for v in variables))
+        return _none(spark, variables)
     out = parts[0]
     for df in parts[1:]:
         out = out.unionByName(df)
@@ -275,13 +353,14 @@ def _equal(df: DataFrame, terms, done, k: int) -> DataFrame:
 
 def _scanned(spark, tables, mapping, scan: Scan, scans, prefix: str, terms, k: int) -> tuple[DataFrame, bool]:
     df, is_set = rows_of(spark, tables, scan.map), scan.map.key
+    types = dict(df.dtypes)
     subject = Term.of(scan.map.subject)
     need = set(subject.columns)
     conditions = []
     if is_variable(scan.subject):
         terms.setdefault(scan.subject, []).append((k, subject))
     else:
-        conditions.append(subject.value() == scan.subject)
+        conditions += inverted(subject, scan.subject, types)
     for n, (c, other) in enumerate(scan.candidates):
         conditions += [F.col(f"`{x}`") == F.lit(v) for x, v in c.equal]
         term = c.object
@@ -299,7 +378,7 @@ def _scanned(spark, tables, mapping, scan: Scan, scans, prefix: str, terms, k: i
         if is_variable(other):
             terms.setdefault(other, []).append((k, term))
         elif term.columns:
-            conditions.append(term.value() == (other.text if isinstance(other, Value) else other))
+            conditions += inverted(term, other.text if isinstance(other, Value) else other, types | dict(df.dtypes))
     for c in sorted(need):
         df = df.where(F.col(f"`{c}`").isNotNull())
     for c in conditions:

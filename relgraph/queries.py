@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph import catalog_queries, dump_queries
+from relgraph import catalog_queries, dump_queries, graph_queries
 from relgraph.functions.terms import RDF_TYPE, normal_identifier, template
 from relgraph.operators import evaluate as E
 from relgraph.operators import materialize as M
@@ -82,23 +84,54 @@ def link_bridge(spark, sf_dir):
     return graph(spark, sf_dir, {":supplies"}).select("s", "o")
 
 
-def _entailed(spark, sf_dir):
-    return M.entailed(spark, graph(spark, sf_dir, {RDF_TYPE, ":placedBy"}), STAR)
-
-
 def link_inverse(spark, sf_dir):
-    return _entailed(spark, sf_dir).where(F.col("p") == ":placed").select("s", "o")
+    return M.entail(spark, tables(spark, sf_dir), STAR, {":placed"}).select("s", "o")
 
 
 def axiom_exists_typing(spark, sf_dir):
-    return _entailed(spark, sf_dir).where((F.col("p") == RDF_TYPE) & (F.col("o") == ":Buyer")).select("s")
+    return M.entail(spark, tables(spark, sf_dir), STAR, {RDF_TYPE}, {":Buyer"}).select("s")
 
 
 def subclass_entailment(spark, sf_dir):
-    t = _entailed(spark, sf_dir).where((F.col("p") == RDF_TYPE) & F.col("o").isin(":Thing", ":Party"))
+    t = M.entail(spark, tables(spark, sf_dir), STAR, {RDF_TYPE}, {":Thing", ":Party"})
     return t.groupBy(F.col("o").alias("class")).agg(F.count("*").alias("n"))
 
 
+#: Rules in a chain: an order's customer is a client; who places something is a buyer; a nation of
+#: buyers is a market, and its region has one.
+CHAIN = replace(
+    STAR,
+    subclasses=STAR.subclasses + ((":Buyer", ":Partner"), (":Client", ":Partner"), (":MarketRegion", ":MarketPlace"), (":Market", ":MarketPlace")),
+    inverses=STAR.inverses + ((":inNation", ":home"), (":inRegion", ":part")),
+    domains=((":supplies", ":Maker"),),
+    ranges=((":placedBy", ":Client"), (":supplies", ":Good")),
+    existentials=((":Buyer", ":placed", ":Order"), (":Market", ":home", ":Buyer"), (":MarketRegion", ":part", ":Market")),
+)
+
+
+def _chain_counts(triples):
+    return triples.groupBy(F.col("o").alias("class")).agg(F.count("*").alias("n"))
+
+
+def entail_chain(spark, sf_dir):
+    """Types that follow by domain, range and a chain of three axioms."""
+    asked = {":Maker", ":Good", ":Client", ":Partner", ":Buyer", ":Market", ":MarketRegion", ":MarketPlace"}
+    return _chain_counts(M.entail(spark, tables(spark, sf_dir), CHAIN, {RDF_TYPE}, asked))
+
+
+def entail_all_types(spark, sf_dir):
+    return _chain_counts(M.entail(spark, tables(spark, sf_dir), CHAIN, {RDF_TYPE}))
+
+
+def unfold_all_types(spark, sf_dir):
+    """The same by unfolding a pattern with a variable class."""
+    return unfold(spark, tables(spark, sf_dir), CHAIN, [("?x", "a", "?class")], True).groupBy("class").agg(F.count("*").alias("n"))
+
+
+def unfold_chain(spark, sf_dir):
+    return unfold(spark, tables(spark, sf_dir), CHAIN, [("?x", "a", ":MarketPlace"), ("?x", ":name", "?name")], True)
+
+
 def hidden_fk_typing(spark, sf_dir):
     m = Mapping((TriplesMap("x", "SELECT l_orderkey, nullif(l_suppkey, 1) AS s FROM {lineitem}", ":order/{l_orderkey}", (":Supplied",), (), where="s IS NOT NULL"),))
     return M.triples(spark, tables(spark, sf_dir), m).select("s", "o")
@@ -215,21 +248,38 @@ PATTERNS = {
     "inverse_unfolded": lambda s, d: solutions(("?c", ":placed", "?o"), ("?c", ":segment", Value("BUILDING")), entail=True)(s, d).select("o"),
     "exists_unfolded": counted(("?x", "a", ":Buyer"), ("?x", ":inNation", "?n"), entail=True),
 }
-NATIVE = (class_dispatch_counts, triples_by_predicate, join_triples, literal_triples, composite_template, link_bridge, link_inverse, axiom_exists_typing, subclass_entailment, hidden_fk_typing, column_profile, value_counts, enum_columns, top_values, pk_candidates, fk_inclusion, pattern_classify, norm_identifiers, norm_collisions, bag_diff, prf1_scores, report_pivot, report_best, report_coverage, report_baseline_diff)
+NATIVE = (class_dispatch_counts, triples_by_predicate, join_triples, literal_triples, composite_template, link_bridge, link_inverse, axiom_exists_typing, subclass_entailment, entail_chain, entail_all_types, unfold_all_types, unfold_chain, hidden_fk_typing, column_profile, value_counts, enum_columns, top_values, pk_candidates, fk_inclusion, pattern_classify, norm_identifiers, norm_collisions, bag_diff, prf1_scores, report_pivot, report_best, report_coverage, report_baseline_diff)
 
 
 def queries() -> dict:
-    return PATTERNS | {f.__name__: f for f in NATIVE} | catalog_queries.queries() | dump_queries.queries()
+    return PATTERNS | {f.__name__: f for f in NATIVE} | catalog_queries.queries() | dump_queries.queries() | graph_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return own_sql() | catalog_queries.oracle_sql() | dump_queries.oracle_sql()
+    return own_sql() | catalog_queries.oracle_sql() | dump_queries.oracle_sql() | graph_queries.oracle_sql()
 
 
 def own_sql() -> dict[str, str]:
     status = "CASE o_orderstatus WHEN 'O' THEN ':OpenOrder' WHEN 'F' THEN ':FinishedOrder' WHEN 'P' THEN ':PendingOrder' END"
     scores = "(SELECT s_nationkey, s_suppkey % 3 AS system, count(*) AS score FROM supplier GROUP BY ALL)"
+    buyers = "(SELECT DISTINCT c_custkey, c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey)"
+    markets = f"(SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM {buyers}))"
+    chain = {
+        ":Maker": "(SELECT DISTINCT l_suppkey FROM lineitem)", ":Good": "(SELECT DISTINCT l_partkey FROM lineitem)", ":Client": "(SELECT DISTINCT o_custkey FROM orders)",
+        ":Partner": "(SELECT DISTINCT o_custkey FROM orders)", ":Buyer": buyers, ":Market": markets, ":MarketRegion": f"(SELECT DISTINCT n_regionkey FROM {markets})",
+        ":MarketPlace": f"(SELECT n_nationkey FROM {markets} UNION ALL SELECT DISTINCT n_regionkey FROM {markets})",
+    }
+    plain = {
+        ":Region": "region", ":Nation": "nation", ":Customer": "customer", ":Supplier": "supplier", ":Part": "part", ":Order": "orders", ":Document": "documents", ":Turn": "conversations", ":ToxicDocument": "(SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)",
+        ":Party": "(SELECT 1 FROM customer UNION ALL SELECT 1 FROM supplier)", ":Thing": "(SELECT 1 FROM customer UNION ALL SELECT 1 FROM supplier UNION ALL SELECT 1 FROM orders)",
+        **{c: f"(SELECT 1 FROM orders WHERE o_orderstatus = '{v}')" for v, c in (("O", ":OpenOrder"), ("F", ":FinishedOrder"), ("P", ":PendingOrder"))},
+    }
+    classes = lambda of: " UNION ALL ".join(f"SELECT '{c}' AS class, count(*) AS n FROM {q} HAVING count(*) > 0" for c, q in of.items())
     return {
+        "entail_chain": classes(chain),
+        "entail_all_types": classes(chain | plain),
+        "unfold_all_types": classes(chain | plain),
+        "unfold_chain": f"SELECT ':nation/' || n_nationkey AS x, n_name AS name FROM {markets} UNION ALL SELECT ':region/' || r_regionkey, r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM {markets})",
         "class_count": "SELECT count(*) AS n FROM customer",
         "class_flag_count": "SELECT count(DISTINCT doc_id) AS n FROM labels WHERE toxic = 1",
         "attr_in_table": "SELECT c_name AS name FROM customer",
