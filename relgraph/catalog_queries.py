@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgraph.functions import terms as T
+from relgraph.graph_queries import KEYABLE, _inclusions_sql, _keys_sql
+from relgraph.operators import constraints as C
 from relgraph.operators import evaluate as E
 from relgraph.operators import hidden as H
 from relgraph.operators import materialize as M
 from relgraph.operators import ontology as O
+from relgraph.operators import profile as P
 from relgraph.operators import rules as R
 from relgraph.plans.mapping import Literal, Mapping, Reference, TriplesMap
+from relgraph.shared import stored
 from relgraph.sources import ontology as source
 from relgraph.sources import r2rml
 
@@ -63,75 +67,123 @@ def _values(rows: list[tuple], columns: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS v({columns})"
 
 
-# Ontology
+# Ontology: classes and properties found in the tables
+
+
+def _clean(c):
+    return F.concat(F.lit(":"), F.regexp_replace(c, "[^A-Za-z0-9_]", ""))
+
+
+def _found(spark, sf_dir) -> dict[str, DataFrame]:
+    """Kinds of parts by type and brand, places by nation and region, and what links them."""
+    parts = _t(spark, sf_dir, "part").select(_clean("p_type").alias("type"), _clean(F.concat_ws("_", "p_type", "p_brand")).alias("kind")).distinct()
+    nations = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = nations.select(_clean("n_name").alias("nation"), _clean("r_name").alias("region"))
+    types, regions = parts.select("type").distinct(), places.select("region").distinct()
+    col, lit = F.col, F.lit
+    edge = lambda df, a, b: df.select(a.alias("child"), b.alias("parent"))
+    named = lambda prefix, c: F.concat(lit(f":{prefix}_"), F.substr(col(c), lit(2)))
+    prop = lambda df, p, kind, domain, range_: df.select(p.alias("property"), lit(kind).alias("kind"), domain.alias("domain"), range_.alias("range"))
+    subclasses = edge(parts, col("kind"), col("type")).unionByName(edge(types, col("type"), lit(":Part"))).unionByName(edge(places, col("nation"), col("region"))).unionByName(edge(regions, col("region"), lit(":Place")))
+    properties = prop(types, named("size_of", "type"), "data", col("type"), lit("xsd:integer")).unionByName(prop(types, named("like", "type"), "object", col("type"), lit(":Part")))
+    properties = properties.unionByName(prop(places, named("made_in", "nation"), "object", lit(":Part"), col("nation"))).unionByName(prop(regions, named("sold_in", "region"), "object", lit(":Part"), col("region")))
+    existentials = places.select(named("Local", "nation").alias("class"), named("made_in", "nation").alias("property"), col("nation").alias("filler"))
+    inverses = places.select(named("made_in", "nation").alias("a"), named("makes", "nation").alias("b"))
+    classes = subclasses.select(col("child").alias("class")).unionByName(subclasses.select(col("parent").alias("class"))).distinct()
+    return {"classes": classes, "subclasses": subclasses, "properties": properties, "existentials": existentials, "inverses": inverses}
+
+
+def _owl(spark, sf_dir) -> str:
+    """The found ontology as OWL; it is as small as the tables' types, brands and nations."""
+    o = _found(spark, sf_dir)
+    about = lambda tag, name, inner="": f'<owl:{tag} rdf:about="#{name[1:]}">{inner}</owl:{tag}>'
+    to = lambda tag, name: f'<{tag} rdf:resource="{"http://www.w3.org/2001/XMLSchema#" + name[4:] if name.startswith("xsd:") else "#" + name[1:]}"/>'
+    lines = [about("Class", r["class"]) for r in o["classes"].collect()]
+    lines += [about("Class", r.child, to("rdfs:subClassOf", r.parent)) for r in o["subclasses"].collect()]
+    lines += [about("DatatypeProperty" if r.kind == "data" else "ObjectProperty", r.property, to("rdfs:domain", r.domain) + to("rdfs:range", r.range)) for r in o["properties"].collect()]
+    lines += [about("ObjectProperty", r.a, to("owl:inverseOf", r.b)) for r in o["inverses"].collect()]
+    lines += [about("Class", r["class"], f'<owl:equivalentClass><owl:Restriction>{to("owl:onProperty", r.property)}{to("owl:someValuesFrom", r.filler)}</owl:Restriction></owl:equivalentClass>') for r in o["existentials"].collect()]
+    return OWL[: OWL.index('  <owl:Class rdf:about="#Place"/>')] + "\n".join(lines) + "</rdf:RDF>"
 
 
 def onto_classes(spark, sf_dir):
-    return _onto(spark)["classes"]
+    return source.read_ontology(_owl(spark, sf_dir)).frames(spark)["classes"]
 
 
 def onto_properties(spark, sf_dir):
-    return _onto(spark)["properties"]
+    return source.read_ontology(_owl(spark, sf_dir)).frames(spark)["properties"].where("range is not null")
 
 
 def onto_axioms(spark, sf_dir):
-    o = _onto(spark)
+    o = source.read_ontology(_owl(spark, sf_dir)).frames(spark)
     return o["existentials"].select(F.col("class").alias("a"), "property", F.col("filler").alias("b")).unionByName(o["inverses"].select("a", F.lit("inverse").alias("property"), "b"))
 
 
 def class_ancestors(spark, sf_dir):
-    o = _onto(spark)
+    o = _found(spark, sf_dir)
     return O.ancestors(o["classes"], o["subclasses"]).select("class", "ancestor", "depth")
 
 
 def class_related(spark, sf_dir):
-    o = _onto(spark)
+    o = _found(spark, sf_dir)
     return O.related(o["classes"], o["subclasses"])
 
 
 def class_distances(spark, sf_dir):
-    o = _onto(spark)
+    o = _found(spark, sf_dir)
     return O.distances(o["classes"], o["subclasses"])
 
 
 def class_resolve(spark, sf_dir):
-    names = _t(spark, sf_dir, "nation").limit(0).select(F.lit("").alias("name"))
-    names = names.unionByName(spark.createDataFrame([(x,) for x in (":Customer", "urn:graph#Region", "open_orders", "suppliers", "nothing")], "name string"))
-    return O.resolved(names, _onto(spark)["classes"])
+    """Types as they are, nations in lower case and plural, and events, which are no class."""
+    names = _t(spark, sf_dir, "part").select(F.regexp_replace("p_type", "[^A-Za-z0-9_]", "").alias("name"))
+    names = names.unionByName(_t(spark, sf_dir, "nation").select(F.concat(F.lower(F.regexp_replace("n_name", "[^A-Za-z0-9_]", "")), F.lit("s")).alias("name")))
+    names = names.unionByName(_t(spark, sf_dir, "events").select(F.concat(F.lit("event/"), "event_type").alias("name"))).distinct()
+    return O.resolved(names, _found(spark, sf_dir)["classes"])
 
 
 def class_links(spark, sf_dir):
-    return O.linked_classes(_onto(spark)["properties"]).select("domain", "range", F.array_join("properties", ",").alias("properties"))
+    return O.linked_classes(_found(spark, sf_dir)["properties"]).select("domain", "range", F.array_join("properties", ",").alias("properties"))
 
 
 def class_own_properties(spark, sf_dir):
-    o = _onto(spark)
-    return O.class_properties(o["classes"], o["subclasses"], o["properties"]).where("class in (':Customer', ':OpenOrder')").select("class", "property", "depth")
+    o = _found(spark, sf_dir)
+    return O.class_properties(o["classes"], o["subclasses"], o["properties"]).select("class", "property", "depth")
 
 
 def property_match_top1(spark, sf_dir):
-    o = _onto(spark)
-    own = [(":Customer", c) for c in _t(spark, sf_dir, "customer").columns] + [(":OpenOrder", c) for c in _t(spark, sf_dir, "orders").columns]
-    columns = spark.createDataFrame(own, "class string, column string").withColumn("column", F.regexp_replace("column", "^[co]_(mkt)?", ""))
-    found = O.data_property_matches(columns.where("column in ('name', 'segment', 'orderdate', 'custkey')"), o["classes"], o["subclasses"], o["properties"])
+    """Columns of each kind of part: its size, by another spelling, and its price, which no property has."""
+    o = _found(spark, sf_dir)
+    kinds = _t(spark, sf_dir, "part").select(_clean(F.concat_ws("_", "p_type", "p_brand")).alias("class"), F.concat(F.lit("SIZE-OF-"), "p_type").alias("column"))
+    columns = kinds.unionByName(kinds.select("class", F.lit("retailprice").alias("column"))).distinct()
+    found = O.data_property_matches(columns, o["classes"], o["subclasses"], o["properties"])
     return found.select("class", "column", "property", F.round("quality", 3).alias("quality"))
 
 
 def object_property_top1(spark, sf_dir):
-    o = _onto(spark)
-    pairs = spark.createDataFrame([(":Customer", ":Nation", "nationkey"), (":Supplier", ":Nation", "nationkey"), (":OpenOrder", ":Customer", "custkey"), (":Region", ":Order", "x")], "subject string, object string, column string")
+    """What links each kind of part with the nation that its key falls to."""
+    o = _found(spark, sf_dir)
+    pairs = _t(spark, sf_dir, "part").join(_t(spark, sf_dir, "nation"), F.col("p_partkey") % 25 == F.col("n_nationkey"))
+    pairs = pairs.select(_clean(F.concat_ws("_", "p_type", "p_brand")).alias("subject"), _clean("n_name").alias("object"), F.lit("x").alias("column")).distinct()
     return O.object_property_matches(pairs, o["classes"], o["subclasses"], o["properties"]).select("subject", "object", "property", "depth")
 
 
 def object_property_by_column(spark, sf_dir):
-    o = _onto(spark)
-    columns = spark.createDataFrame([(":OpenOrder", "supplier_key"), (":OpenOrder", "supplier"), (":Customer", "in_nation"), (":Region", "abc")], "class string, column string")
+    o = _found(spark, sf_dir)
+    columns = o["subclasses"].where("parent = ':Part'").select(F.col("child").alias("class"), F.concat(F.lit("has_a_Like_"), F.substr("child", F.lit(2))).alias("column"))
+    columns = columns.unionByName(columns.select("class", F.lit("quantity").alias("column")))
     return O.object_properties_by_column(columns, o["classes"], o["subclasses"], o["properties"])
 
 
 def most_specific_property(spark, sf_dir):
-    o = _onto(spark)
-    return O.most_specific(o["classes"], o["subclasses"], o["properties"]).where("class in (':Customer', ':Party', ':Order')").select("class", "range", "property", "depth")
+    o = _found(spark, sf_dir)
+    return O.most_specific(o["classes"], o["subclasses"], o["properties"]).select("class", "range", "property", "depth")
+
+
+def _references(spark, sf_dir) -> DataFrame:
+    """Foreign keys as the data has them: inclusions of columns of one name but for the table's letter."""
+    name = lambda c: F.regexp_replace(c, "^[a-z]_", "")
+    return C.all_inclusions(spark, {t: _t(spark, sf_dir, t) for t in KEYABLE}).where(name("column") == name("parent_column"))
 
 
 def inverse_guarantee(spark, sf_dir):
@@ -141,8 +193,24 @@ def inverse_guarantee(spark, sf_dir):
 
 
 def junction_index(spark, sf_dir):
-    b = _t(spark, sf_dir, "lineitem").limit(1).select(F.lit("part").alias("subject"), F.lit("supplier").alias("object"), F.lit("lineitem").alias("bridge"), F.lit("l_partkey").alias("subject_column"), F.lit("l_suppkey").alias("object_column"))
-    return O.junctions(b)
+    """Tables that refer to two others, in both directions."""
+    r = stored(_references(spark, sf_dir), "references")
+    x, y = r.alias("x"), r.alias("y")
+    both = x.join(y, (F.col("x.table") == F.col("y.table")) & (F.col("x.column") < F.col("y.column")))
+    bridges = both.select(F.col("x.parent").alias("subject"), F.col("y.parent").alias("object"), F.col("x.table").alias("bridge"), F.col("x.column").alias("subject_column"), F.col("y.column").alias("object_column"))
+    return O.junctions(bridges)
+
+
+def pattern_classify(spark, sf_dir):
+    """The patterns of the given tables, whose keys and references are found in their data: of a
+    table's keys the shortest, then the first by name."""
+    tables = {t: _t(spark, sf_dir, t) for t in KEYABLE}
+    keys = C.all_keys(spark, tables).groupBy("table").agg(F.min(F.struct("size", "key")).alias("k")).select("table", F.split("k.key", ",").alias("key"))
+    columns = spark.createDataFrame([(t, c) for t, df in tables.items() for c in df.columns], "table string, column string")
+    refers = _references(spark, sf_dir).select("table", "column", F.col("parent").alias("fk_table"), F.col("parent_column").alias("fk_column"))
+    catalog = columns.join(keys, "table", "left").join(refers, ["table", "column"], "left")
+    catalog = catalog.select("table", "column", F.coalesce(F.array_contains("key", F.col("column")), F.lit(False)).alias("is_pk"), "fk_table", "fk_column")
+    return P.classify(spark, stored(catalog, "catalog"))
 
 
 # Schemas, keys, hidden classes
@@ -368,7 +436,7 @@ def sql_values(spark, sf_dir):
     return n.select("n_nationkey", T.sql_literal(F.concat(F.lit(' "'), "n_name", F.lit('"  x')), F.lit("varchar(9)")).alias("text"), T.sql_literal(F.col("n_nationkey"), F.lit("integer")).alias("number"), T.sql_literal(F.col("n_nationkey") % 2, F.lit("boolean")).alias("truth"))
 
 
-ALL = (onto_classes, onto_properties, onto_axioms, class_ancestors, class_related, class_distances, class_resolve, class_links, class_own_properties, property_match_top1, object_property_top1, object_property_by_column, most_specific_property, inverse_guarantee, junction_index, schema_signature, keys_found, inclusions_found, table_profiles, column_kinds, hidden_evidence, accepted_suggestions, dispatched_values, enum_sample, class_collisions, type_triples, label_triples, attr_weak_property, mapping_coverage, mapping_issues, r2rml_round_trip, query_pairs, empty_values, natural_join, weak_owner_join, bridge_filter_distinct, latest_by_hash, report_overall, report_grand_mean, report_visible, report_by_coverage, report_categories, report_lines_order, natural_order, report_families, result_hash_equal, name_forms, sql_values)
+ALL = (onto_classes, onto_properties, onto_axioms, class_ancestors, class_related, class_distances, class_resolve, class_links, class_own_properties, property_match_top1, pattern_classify, object_property_top1, object_property_by_column, most_specific_property, inverse_guarantee, junction_index, schema_signature, keys_found, inclusions_found, table_profiles, column_kinds, hidden_evidence, accepted_suggestions, dispatched_values, enum_sample, class_collisions, type_triples, label_triples, attr_weak_property, mapping_coverage, mapping_issues, r2rml_round_trip, query_pairs, empty_values, natural_join, weak_owner_join, bridge_filter_distinct, latest_by_hash, report_overall, report_grand_mean, report_visible, report_by_coverage, report_categories, report_lines_order, natural_order, report_families, result_hash_equal, name_forms, sql_values)
 
 
 def queries() -> dict:
@@ -388,22 +456,40 @@ def oracle_sql() -> dict[str, str]:
     profile = lambda t, col: f"SELECT '{t}' AS \"table\", '{col}' AS \"column\", count(*) AS total, count({col}) AS non_null, count(DISTINCT {col}) AS n_distinct, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT {col}::VARCHAR AS v FROM {t} WHERE {col} IS NOT NULL ORDER BY v LIMIT 4)) AS values FROM {t}"
     from relgraph.queries import own_sql
 
+    clean = "(':' || regexp_replace({}, '[^A-Za-z0-9_]', '', 'g'))".format
+    kind, nation = clean("p_type || '_' || p_brand"), clean("n_name")
+    h = f"""t AS (SELECT DISTINCT p_type AS raw, {clean("p_type")} AS t, {kind} AS tb FROM part),
+        n AS (SELECT {nation} AS n, {clean("r_name")} AS r FROM nation JOIN region ON n_regionkey = r_regionkey),
+        e AS (SELECT tb AS child, t AS parent FROM t UNION SELECT t, ':Part' FROM t UNION SELECT n, r FROM n UNION SELECT r, ':Place' FROM n),
+        c AS (SELECT child AS class FROM e UNION SELECT parent FROM e), x AS (SELECT ':Local_' || n[2:] AS l, ':made_in_' || n[2:] AS m, ':makes_' || n[2:] AS k, n FROM n),
+        p AS (SELECT DISTINCT ':size_of_' || t[2:] AS property, 'data' AS kind, t AS domain, 'xsd:integer' AS range FROM t UNION ALL SELECT DISTINCT ':like_' || t[2:], 'object', t, ':Part' FROM t
+              UNION ALL SELECT m, 'object', ':Part', n FROM x UNION ALL SELECT DISTINCT ':sold_in_' || r[2:], 'object', ':Part', r FROM n)"""
+    up = "r AS (SELECT class, class AS ancestor, 0 AS depth FROM c UNION SELECT r.class, e.parent, r.depth + 1 FROM r JOIN e ON e.child = r.ancestor)"
+    references = f"""SELECT * FROM ({_inclusions_sql()}) WHERE regexp_replace("column", '^[a-z]_', '') = regexp_replace(parent_column, '^[a-z]_', '')"""
     return {
-        "onto_classes": _values([(x,) for x in classes], "class"),
-        "onto_properties": _values([(":name", "data", None, "xsd:string"), (":market_segment", "data", ":Customer", "xsd:string"), (":dateOfOrder", "data", ":Order", "xsd:date"), (":locatedIn", "object", ":Party", ":Place"), (":locatedIn", "object", ":Nation", ":Place"), (":inNation", "object", ":Customer", ":Nation"), (":placedBy", "object", ":Order", ":Customer"), (":has_a_supplier", "object", ":Order", None)], "property, kind, domain, range"),
-        "onto_axioms": _values([(":Buyer", ":placed", ":Order"), (":placed", "inverse", ":placedBy")], "a, property, b"),
-        "class_ancestors": f"WITH RECURSIVE {c}, {e}, r AS (SELECT class, class AS ancestor, 0 AS depth FROM c UNION SELECT r.class, e.parent, r.depth + 1 FROM r JOIN e ON e.child = r.ancestor) SELECT * FROM r",
-        "class_related": f"WITH {e} SELECT child AS class, parent AS other, 'ancestor' AS relation FROM e UNION ALL SELECT parent, child, 'descendant' FROM e",
-        "class_distances": f"WITH {c}, {e}, b AS (SELECT child AS x, parent AS y FROM e UNION SELECT parent, child FROM e) SELECT class, class AS other, 0 AS depth FROM c UNION ALL SELECT x, y, 1 FROM b UNION ALL SELECT DISTINCT p.x, q.y, 2 FROM b p JOIN b q ON p.y = q.x WHERE p.x <> q.y",
-        "class_resolve": _values([(":Customer", ":Customer"), ("urn:graph#Region", ":Region"), ("open_orders", ":OpenOrder"), ("suppliers", ":Supplier"), ("nothing", None)], "name, class"),
-        "class_links": _values([(":Party", ":Place", ":locatedIn"), (":Nation", ":Place", ":locatedIn"), (":Customer", ":Nation", ":inNation"), (":Order", ":Customer", ":placedBy")], "domain, range, properties"),
-        "class_own_properties": _values([(":Customer", ":market_segment", 0), (":Customer", ":inNation", 0), (":Customer", ":locatedIn", 1), (":OpenOrder", ":dateOfOrder", 1), (":OpenOrder", ":placedBy", 1), (":OpenOrder", ":has_a_supplier", 1)], "class, property, depth"),
-        "property_match_top1": "WITH p AS (SELECT * FROM (VALUES (':Customer', 'name', ':name', 1.0), (':Customer', 'custkey', NULL, NULL), (':OpenOrder', 'custkey', NULL, NULL), (':Customer', 'segment', NULL, NULL), (':OpenOrder', 'orderdate', NULL, NULL)) AS v(class, \"column\", property, quality)) SELECT class, \"column\", property, quality::DOUBLE AS quality FROM p",
-        "object_property_top1": _values([(":Customer", ":Nation", ":inNation", 0), (":Supplier", ":Nation", ":locatedIn", 2), (":OpenOrder", ":Customer", ":placedBy", 1), (":Region", ":Order", None, None)], "subject, object, property, depth"),
-        "object_property_by_column": _values([(":OpenOrder", "supplier_key", ":has_a_supplier"), (":OpenOrder", "supplier", ":has_a_supplier"), (":Customer", "in_nation", ":inNation"), (":Region", "abc", None)], 'class, "column", property'),
-        "most_specific_property": _values([(":Customer", ":Nation", ":inNation", 0), (":Customer", ":Place", ":locatedIn", 1), (":Party", ":Place", ":locatedIn", 0), (":Party", ":Nation", ":inNation", 1), (":Order", ":Customer", ":placedBy", 0)], "class, range, property, depth"),
+        "pattern_classify": f"""
+            WITH i AS ({references}), k AS (SELECT "table", string_split(key, ',') AS key FROM ({_keys_sql()}) QUALIFY row_number() OVER (PARTITION BY "table" ORDER BY size, key) = 1),
+            d AS (SELECT table_name AS "table", column_name AS "column" FROM duckdb_columns() WHERE table_name IN ({', '.join(f"'{t}'" for t in KEYABLE)})),
+            f AS (SELECT d."table", d."column", coalesce(list_contains(k.key, d."column"), false) AS pk, i.parent FROM d LEFT JOIN k ON k."table" = d."table" LEFT JOIN i ON i."table" = d."table" AND i."column" = d."column"),
+            g AS (SELECT "table", count(*) FILTER (pk) AS pks, count(*) FILTER (pk AND parent IS NOT NULL) AS fks, count(*) FILTER (NOT pk) AS rest, count(DISTINCT parent) FILTER (pk) AS parents,
+                         "table" IN (SELECT parent FROM f WHERE parent <> "table") AS referred FROM f GROUP BY "table")
+            SELECT "table", CASE WHEN pks > 1 AND pks = fks AND NOT referred THEN CASE WHEN rest = 0 THEN 'SR' ELSE 'SRR' END WHEN pks > 1 AND fks BETWEEN 1 AND pks - 1 AND NOT referred THEN 'SEw'
+                                 WHEN pks = 1 AND fks = 1 THEN 'SE_SH' ELSE 'SE' END AS pattern FROM g""",
+        "onto_classes": f"WITH {h} SELECT class FROM c UNION SELECT l FROM x",
+        "onto_properties": f"WITH {h} SELECT property, kind, domain, range FROM p",
+        "onto_axioms": f"WITH {h} SELECT l AS a, m AS property, n AS b FROM x UNION ALL SELECT least(m, k), 'inverse', greatest(m, k) FROM x",
+        "class_ancestors": f"WITH RECURSIVE {h}, {up} SELECT * FROM r",
+        "class_related": f"WITH RECURSIVE {h}, {up} SELECT class, ancestor AS other, 'ancestor' AS relation FROM r WHERE depth > 0 UNION ALL SELECT ancestor, class, 'descendant' FROM r WHERE depth > 0",
+        "class_distances": f"WITH RECURSIVE {h}, u AS (SELECT child AS a, parent AS b FROM e UNION SELECT parent, child FROM e), r AS (SELECT class, class AS other, 0 AS depth FROM c UNION SELECT r.class, u.b, r.depth + 1 FROM r JOIN u ON u.a = r.other WHERE r.depth < 4) SELECT class, other, min(depth) AS depth FROM r GROUP BY class, other",
+        "class_resolve": f"WITH {h} SELECT DISTINCT t[2:] AS name, t AS class FROM t UNION ALL SELECT lower(n[2:]) || 's', n FROM n UNION ALL SELECT DISTINCT 'event/' || event_type, NULL FROM events",
+        "class_links": f"WITH {h} SELECT domain, range, string_agg(property, ',' ORDER BY property) AS properties FROM p WHERE kind = 'object' GROUP BY domain, range",
+        "class_own_properties": f"WITH RECURSIVE {h}, {up} SELECT class, property, depth FROM r JOIN p ON p.domain = r.ancestor",
+        "property_match_top1": f"WITH {h} SELECT DISTINCT tb AS class, 'SIZE-OF-' || raw AS \"column\", ':size_of_' || t[2:] AS property, 1.0::DOUBLE AS quality FROM t UNION ALL SELECT DISTINCT tb, 'retailprice', NULL, NULL FROM t",
+        "object_property_top1": f"WITH {h} SELECT DISTINCT {kind} AS subject, {nation} AS object, ':made_in_' || {nation}[2:] AS property, 2 AS depth FROM part JOIN nation ON p_partkey % 25 = n_nationkey",
+        "object_property_by_column": f"WITH {h} SELECT DISTINCT t AS class, 'has_a_Like_' || t[2:] AS \"column\", ':like_' || t[2:] AS property FROM t UNION ALL SELECT DISTINCT t, 'quantity', NULL FROM t",
+        "most_specific_property": f"WITH RECURSIVE {h}, {up}, b AS (SELECT * FROM r UNION SELECT ancestor, class, depth FROM r), f AS (SELECT class, range, property, min(depth) AS depth FROM b JOIN p ON p.domain = b.ancestor WHERE kind = 'object' GROUP BY class, range, property) SELECT class, range, property, depth FROM f QUALIFY rank() OVER (PARTITION BY class, range ORDER BY depth) = 1",
         "inverse_guarantee": "SELECT ':customer/' || o_custkey AS subject, ':placed' AS property, ':order/' || o_orderkey AS object FROM orders WHERE o_custkey % 10 <> 1",
-        "junction_index": _values([("part", "supplier", "lineitem", "l_partkey", "l_suppkey"), ("supplier", "part", "lineitem", "l_suppkey", "l_partkey")], "subject, object, bridge, subject_column, object_column"),
+        "junction_index": f"WITH i AS ({references}), b AS (SELECT x.parent AS subject, y.parent AS object, x.\"table\" AS bridge, x.\"column\" AS subject_column, y.\"column\" AS object_column FROM i x JOIN i y ON x.\"table\" = y.\"table\" AND x.\"column\" < y.\"column\") SELECT * FROM b UNION SELECT object, subject, bridge, object_column, subject_column FROM b",
         "schema_signature": "SELECT 'COLUMN' AS kind, table_name AS \"table\", ordinal_position AS place, column_name AS \"column\" FROM information_schema.columns WHERE table_name IN ('region', 'nation') UNION ALL SELECT 'PK', 'nation', 0, 'n_nationkey' UNION ALL SELECT 'FK', 'nation', 0, 'n_regionkey'",
         "keys_found": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{x}' AS \"column\" FROM {t} HAVING count(*) = count(DISTINCT {x}) AND count(*) > 0" for t, cols in COLUMNS.items() for x in cols),
         "inclusions_found": " UNION ALL ".join(inclusion),

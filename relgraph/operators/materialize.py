@@ -150,7 +150,8 @@ def entail(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapping,
 
 def entailed(spark: SparkSession, graph: DataFrame, mapping: Mapping) -> DataFrame:
     """``graph`` with inverse links, types by domain, range, superclasses and classes that are
-    equivalent to having a link, to any depth."""
+    equivalent to having a link, to any depth. The graph is stored once, by what rules read."""
+    graph = stored(graph, "graph")
     above = {c: sorted(mapping.above(c) - {c}) for c in {a for a, _ in mapping.subclasses}}
     up = F.create_map(*(x for c, more in above.items() for x in (F.lit(c), F.array(*map(F.lit, more))))) if above else None
 

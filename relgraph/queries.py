@@ -167,20 +167,6 @@ def fk_inclusion(spark, sf_dir):
     return out
 
 
-_CATALOG = [
-    ("person", "id", True, None, None), ("person", "name", False, None, None),
-    ("author", "id", True, "person", "id"), ("author", "since", False, None, None),
-    ("paper", "id", True, None, None), ("paper", "title", False, None, None),
-    ("writes", "person", True, "person", "id"), ("writes", "paper", True, "paper", "id"),
-    ("reviews", "person", True, "person", "id"), ("reviews", "paper", True, "paper", "id"), ("reviews", "score", False, None, None),
-    ("email", "person", True, "person", "id"), ("email", "value", True, None, None),
-]
-
-
-def pattern_classify(spark, sf_dir):
-    return P.classify(spark, spark.createDataFrame(_CATALOG, P.CATALOG))
-
-
 def norm_identifiers(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_type").distinct().select("p_type", normal_identifier(F.col("p_type")).alias("name"))
 
@@ -248,7 +234,7 @@ PATTERNS = {
     "inverse_unfolded": lambda s, d: solutions(("?c", ":placed", "?o"), ("?c", ":segment", Value("BUILDING")), entail=True)(s, d).select("o"),
     "exists_unfolded": counted(("?x", "a", ":Buyer"), ("?x", ":inNation", "?n"), entail=True),
 }
-NATIVE = (class_dispatch_counts, triples_by_predicate, join_triples, literal_triples, composite_template, link_bridge, link_inverse, axiom_exists_typing, subclass_entailment, entail_chain, entail_all_types, unfold_all_types, unfold_chain, hidden_fk_typing, column_profile, value_counts, enum_columns, top_values, pk_candidates, fk_inclusion, pattern_classify, norm_identifiers, norm_collisions, bag_diff, prf1_scores, report_pivot, report_best, report_coverage, report_baseline_diff)
+NATIVE = (class_dispatch_counts, triples_by_predicate, join_triples, literal_triples, composite_template, link_bridge, link_inverse, axiom_exists_typing, subclass_entailment, entail_chain, entail_all_types, unfold_all_types, unfold_chain, hidden_fk_typing, column_profile, value_counts, enum_columns, top_values, pk_candidates, fk_inclusion, norm_identifiers, norm_collisions, bag_diff, prf1_scores, report_pivot, report_best, report_coverage, report_baseline_diff)
 
 
 def queries() -> dict:
@@ -315,7 +301,6 @@ def own_sql() -> dict[str, str]:
         "top_values": "SELECT DISTINCT p_brand AS value FROM part WHERE p_brand IS NOT NULL ORDER BY 1 LIMIT 40",
         "pk_candidates": "WITH k AS (SELECT count(*) AS r, count(DISTINCT l_orderkey) AS a, count(DISTINCT (l_orderkey, l_linenumber)) AS b, count(DISTINCT (l_orderkey, l_partkey, l_suppkey, l_linenumber)) AS c FROM lineitem) SELECT 'l_orderkey' AS key, r AS rows, a AS distinct_rows, a = r AS unique FROM k UNION ALL SELECT 'l_orderkey,l_linenumber', r, b, b = r FROM k UNION ALL SELECT 'l_orderkey,l_partkey,l_suppkey,l_linenumber', r, c, c = r FROM k",
         "fk_inclusion": "SELECT 'orders.o_custkey' AS child, 'customer.c_custkey' AS parent, count(DISTINCT o_custkey) AS orphans, count(*) = 0 AS holds FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'customer.c_custkey', 'orders.o_custkey', count(DISTINCT c_custkey), count(*) = 0 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'labels.doc_id', 'documents.doc_id', count(DISTINCT doc_id), count(*) = 0 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
-        "pattern_classify": "SELECT * FROM (VALUES ('person', 'SE'), ('author', 'SE_SH'), ('paper', 'SE'), ('writes', 'SR'), ('reviews', 'SRR'), ('email', 'SEw')) AS v(\"table\", pattern)",
         "norm_identifiers": "SELECT DISTINCT p_type, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS name FROM part",
         "norm_collisions": "SELECT trim(regexp_replace(lower(regexp_replace(c_name, '[0-9]$', '')), '[^a-z0-9]+', '_', 'g'), '_') AS name, count(DISTINCT c_name) AS n FROM customer GROUP BY 1 HAVING count(DISTINCT c_name) > 1",
         "bag_diff": "SELECT o_orderstatus, o_orderpriority, count(*) AS n_left, 0 AS n_right FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL",
