@@ -114,6 +114,13 @@ KEYED = Mapping(
 )
 
 
+@pytest.fixture(scope="module")
+def graphs(spark, tables):
+    """The triples of KEYED as they are, and with what they entail."""
+    plain = M.triples(spark, tables, KEYED)
+    return {e: spark.createDataFrame(g.collect(), M.SCHEMA) for e, g in ((False, plain), (True, M.entailed(spark, plain, KEYED)))}
+
+
 @pytest.mark.parametrize("entail", [False, True])
 @pytest.mark.parametrize(
     "patterns",
@@ -135,10 +142,8 @@ KEYED = Mapping(
         [("?x", "a", ":Paid"), ("?x", "a", ":Aged"), ("?x", ":worksAt", "?o"), ("?o", "a", ":Place")],
     ],
 )
-def test_unfolding_equals_triples(spark, tables, patterns, entail):
-    g = M.triples(spark, tables, KEYED)
-    g = M.entailed(spark, g, KEYED) if entail else g
-    want = evaluate(g, patterns)
+def test_unfolding_equals_triples(spark, tables, graphs, patterns, entail):
+    want = evaluate(graphs[entail], patterns)
     got = unfold(spark, tables, KEYED, patterns, entail)
     names = sorted(want.columns)
     rows = lambda df: sorted(map(tuple, df.select(*names).collect()), key=str)
