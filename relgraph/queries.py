@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph import catalog_queries, dump_queries, graph_queries
+from relgraph import catalog_queries, dump_queries, graph_queries, simulation_queries
 from relgraph.functions.terms import RDF_TYPE, normal_identifier, template
 from relgraph.operators import evaluate as E
 from relgraph.operators import materialize as M
@@ -238,11 +238,11 @@ NATIVE = (class_dispatch_counts, triples_by_predicate, join_triples, literal_tri
 
 
 def queries() -> dict:
-    return PATTERNS | {f.__name__: f for f in NATIVE} | catalog_queries.queries() | dump_queries.queries() | graph_queries.queries()
+    return PATTERNS | {f.__name__: f for f in NATIVE} | catalog_queries.queries() | dump_queries.queries() | graph_queries.queries() | simulation_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return own_sql() | catalog_queries.oracle_sql() | dump_queries.oracle_sql() | graph_queries.oracle_sql()
+    return own_sql() | catalog_queries.oracle_sql() | dump_queries.oracle_sql() | graph_queries.oracle_sql() | simulation_queries.oracle_sql()
 
 
 def own_sql() -> dict[str, str]:
