@@ -63,13 +63,16 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole times, and once more where a
-    hash of its doc_id is below the rest. A text without words is taken no time."""
-    bare = _bare(docs)
-    mixed = mixing.mix(bare)["documents"].groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.try_divide("taken", "size")).alias("_times"))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
+    """Each row as often as the mix takes it: whole times, and once more where a hash of the row
+    is below the rest. Rows of one doc_id, and rows without one, are told apart by all that they
+    hold; equal rows are taken alike. A text without words is taken no time."""
+    row = ("doc_id", "text", "source", "_rest")
+    bare = _bare(docs).withColumn("_id", F.struct(F.xxhash64(*row).alias("a"), F.xxhash64(F.lit(1), *row).alias("b")))
+    mixed = mixing.mix(bare.select(F.col("_id").alias("doc_id"), "text", "source"))["documents"]
+    mixed = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.try_divide("taken", "size")).alias("_times"))
+    chance = F.pmod(F.xxhash64("_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("_times") + chance).cast("int")
-    rows = bare.join(mixed.where("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_id"))).where(copies > 0)
+    rows = bare.join(mixed.where("_times > 0"), "_id").where(copies > 0)
     return _whole(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))), docs)
 
 
