@@ -89,10 +89,9 @@ def all_inclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matched_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each nation's suppliers and customers, by the nearest balance, nobody twice."""
     t = _tables(spark, sf_dir)
-    s = t["supplier"].select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("supplier"), "s_acctbal")
-    c = t["customer"].select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("customer"), "c_acctbal")
-    both = s.join(c, "nation").select("nation", "supplier", "customer", (-F.abs(F.col("s_acctbal") - F.col("c_acctbal"))).alias("score"))
-    return matching.matched(both, ["nation"], "supplier", "customer", "score")
+    s = t["supplier"].select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("supplier"), F.col("s_acctbal").alias("balance"))
+    c = t["customer"].select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("customer"), F.col("c_acctbal").alias("balance"))
+    return matching.nearest(s, c, ["nation"], "supplier", "customer", "balance")
 
 
 def order_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:

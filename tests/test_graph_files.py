@@ -124,6 +124,27 @@ def test_matching_equals_proposals_one_by_one(spark):
     assert matching.matched(spark.createDataFrame([], "g int, a string, b string, score double"), ["g"], "a", "b", "score").collect() == []
 
 
+@pytest.mark.parametrize("cell", [25, 1000])
+def test_nearest_equals_matching_of_all_pairs(spark, cell):
+    rng = random.Random(8)
+    point = lambda g, k, most: (g, k, rng.randrange(most) / 4)
+    for most in (12, 400):  # many equal values and distances, and few
+        a, b = [point(g, k, most) for g in range(3) for k in range(20)], [point(g, k, most) for g in range(1, 4) for k in range(60 // g)]
+        rows = [(g, x, y, -abs(u - w)) for g, x, u in a for h, y, w in b if g == h]
+        a += [(1, None, 2.0), (1, 90, None), (1, 91, float("nan")), (None, 92, 1.0)]
+        left, right = (spark.createDataFrame(x, f"g int, {n} int, v double") for x, n in ((a, "a"), (b, "b")))
+        got = matching.nearest(left, right, ["g"], "a", "b", "v", cell)
+        assert sorted(map(tuple, got.collect())) == stable(rows)
+    assert matching.nearest(left.limit(0), right, ["g"], "a", "b", "v").count() == 0
+
+
+def test_nearest_forms_no_pairs(spark):
+    """Copies of a few values, in which pairs of all would be 400 million."""
+    points = lambda n, name: spark.range(n).select(F.lit("x").alias("g"), F.col("id").alias(name), (F.col("id") % 50).cast("double").alias("v"))
+    got = matching.nearest(points(20_000, "a"), points(20_000, "b"), ["g"], "a", "b", "v")
+    assert got.where("a = b and score = 0").count() == got.count() == 20_000
+
+
 def test_composite_keys_and_inclusions(spark):
     rng = random.Random(6)
     rows = [(a, b, c, f"t{a}", None if a else 1, 0.5 * a) for a in range(12) for b in range(5) for c in range(3)]
