@@ -2,7 +2,7 @@
 
 What a line of a dump means depends on all that comes before it: a string, a comment or a COPY
 block may have begun long ago. So the text is read twice, by Spark's text source, whose file
-blocks are the chunks:
+blocks are dealt into the chunks:
 
 1. Each chunk says, for each state that it could be entered in, in which it is left (a map of a
    finite-state machine). Runs from different states soon meet and go on as one.
@@ -17,7 +17,8 @@ entered. A directory is one dump, its files in the order of their names.
 
 Defined cases: an empty dump has no rows; what is open at its end (a string, a statement without
 semicolon) is dropped; a block comment nested deeper than ``NESTED`` at a chunk's end raises a
-ValueError. A chunk is held by its task: spark.sql.files.maxPartitionBytes bounds it.
+ValueError. A task holds one chunk at a time, ``CHUNK`` characters or one longer line, whatever the
+size of its file blocks.
 """
 
 from __future__ import annotations
@@ -33,11 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relgraph.shared import stored
+
 #: How an open statement begins: nothing yet, COPY, COPY ... stdin, anything else.
 NOTHING, COPY, STDIN, OTHER = "", "copy", "stdin", "other"
 NESTED = 4
 #: Characters of an open statement that go with the state from chunk to chunk.
 HEAD = 1 << 16
+#: Characters of a chunk, after which the next line begins another; lines that are taken from Arrow at once.
+CHUNK, LINES = 1 << 20, 1_000
 
 State = tuple[str, str, "str | int"]
 START: State = ("code", NOTHING, "")
@@ -248,39 +253,43 @@ def after(e: Entry, chunk: int, prefix: str, known: dict[State, Passage]) -> Ent
 # The two scans
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]:
-    """(file, start, text) of each file block in a task's lines."""
-    key, parts = None, []
-    for b in batches:
-        files, starts, lines = b.column("file").to_pylist(), b.column("start").to_numpy(), b.column("value").to_pylist()
-        cuts = [0, *(np.flatnonzero((starts[1:] != starts[:-1]) | np.array([x != y for x, y in zip(files[1:], files[:-1])], bool)) + 1), len(lines)] if len(lines) else [0]
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if key is not None and key != (files[lo], int(starts[lo])):
-                yield *key, "\n".join(parts) + "\n"
-                parts = []
-            key = (files[lo], int(starts[lo]))
-            parts += lines[lo:hi]
-    if key is not None:
-        yield *key, "\n".join(parts) + "\n"
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, str]]:
+    """(file, start, part, text) of the lines of a task's file blocks, in parts of CHUNK characters,
+    or of one line that is longer."""
+    key, part, size, lines = None, 0, 0, []
+    for whole in batches:
+        for at in range(0, whole.num_rows, LINES):
+            b = whole.slice(at, LINES)
+            for file, start, line in zip(*(b.column(c).to_pylist() for c in ("file", "start", "value"))):
+                if key != (file, start) or size >= CHUNK:
+                    if lines:
+                        yield *key, part, "\n".join(lines) + "\n"
+                    part = part + 1 if key == (file, start) else 0
+                    key, size, lines = (file, start), 0, []
+                lines.append(line)
+                size += len(line) + 1
+    if lines:
+        yield *key, part, "\n".join(lines) + "\n"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
-def entries(spark: SparkSession, path: str) -> dict[tuple[str, int], tuple[int, Entry]]:
-    """What each chunk (file, start) is entered with, and its number: the driver composes the maps."""
+def entries(spark: SparkSession, path: str) -> dict[tuple[str, int, int], tuple[int, Entry]]:
+    """What each chunk (file, start, part) is entered with, and its number: the driver composes the maps."""
 
     def maps(batches):
-        for file, start, text in _chunks(batches):
-            seen: dict = {}
-            known = {s: passage(text, *events(text, s, seen)) for s in entered(text)}
-            yield pa.RecordBatch.from_pydict({"file": [file], "start": [start], "map": [pickle.dumps((text[:HEAD], known))]})
+        for file, start, part, text in _chunks(batches):
+            seen, same = {}, {}
+            # Most states end alike: what they share is sent once.
+            known = {s: same.setdefault(p, p) for s in entered(text) for p in [passage(text, *events(text, s, seen))]}
+            yield pa.RecordBatch.from_pydict({"file": [file], "start": [start], "part": [part], "map": [pickle.dumps((text[:HEAD], known))]})
 
-    rows = _lines(spark, path).mapInArrow(maps, "file string, start long, map binary").orderBy("file", "start")
+    rows = stored(_lines(spark, path).mapInArrow(maps, "file string, start long, part long, map binary"), "maps").orderBy("file", "start", "part")
     out, e = {}, Entry()
     for k, r in enumerate(rows.toLocalIterator()):
-        out[r.file, r.start] = (k, e)
+        out[r.file, r.start, r.part] = (k, e)
         e = after(e, k, *pickle.loads(r.map))
     return out
 
@@ -388,8 +397,8 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     known = spark.sparkContext.broadcast(entries(spark, path))
 
     def scan(batches):
-        for file, start, text in _chunks(batches):
-            rows = _rows(text, *known.value[file, start])
+        for file, start, part, text in _chunks(batches):
+            rows = _rows(text, *known.value[file, start, part])
             while some := list(islice(rows, 10_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), _ARROW.types)], schema=_ARROW)
 
@@ -451,8 +460,8 @@ def lines(spark: SparkSession, path: str, name: Callable[[str], str] | None = No
     known = spark.sparkContext.broadcast(entries(spark, path))
 
     def scan(batches):
-        for file, start, text in _chunks(batches):
-            chunk, e = known.value[file, start]
+        for file, start, part, text in _chunks(batches):
+            chunk, e = known.value[file, start, part]
             schemas = schemas_of(text, e)
             made = (rewritten(text, e.state, name) if name else text).split("\n")[:-1]
             for lo in range(0, len(made), 10_000):

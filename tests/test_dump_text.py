@@ -200,3 +200,22 @@ def test_names_of_text_and_column_agree(spark):
     names = ["A b", "select", "9x", "", "__", "Ünï", "a$b", "x--y", "WHERE "]
     got = spark.createDataFrame([(n,) for n in names], "n string").select(normal_identifier(F.col("n")).alias("x"))
     assert [r.x for r in got.collect()] == list(map(normal_text, names))
+
+
+def test_a_block_is_held_in_parts(spark, tmp_path):
+    import pyarrow as pa
+
+    lines = [f"{k}\t{'x' * (k % 300)}" for k in range(20_000)] + ["y" * (2 * D.CHUNK), "z"]
+    batches = [pa.RecordBatch.from_pydict({"file": ["f"] * len(x), "start": [0] * len(x), "value": x}) for x in (lines[:7_000], [], lines[7_000:])]
+    got = list(D._chunks(iter(batches)))
+    assert "".join(g[3] for g in got) == "\n".join(lines) + "\n"
+    assert [g[:3] for g in got] == [("f", 0, k) for k in range(len(got))]
+    assert len(got) > 3 and sorted(len(g[3]) for g in got)[-2] <= D.CHUNK + 320
+    path = str(tmp_path / "d")
+    df = spark.range(9_000).select("id", F.repeat(F.lit("it's; (one)\n"), 10).alias("v")).coalesce(1)
+    dump.write_dump(spark, {"a.t": df, "a.u": df}, path, frozenset({"a.u"}))
+    pieces = D.pieces(spark, path)
+    assert pieces.select("chunk").distinct().count() > 2
+    tables = dump.parse_ddl("CREATE TABLE a.t (id bigint, v text); CREATE TABLE a.u (id bigint, v text);")
+    for rows in (dump.copy_rows(spark, path, tables, pieces)["t"], dump.insert_rows(spark, path, tables, pieces)["u"]):
+        assert rows.exceptAll(df).count() == 0 and rows.count() == 9_000
