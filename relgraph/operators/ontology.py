@@ -78,8 +78,9 @@ def inverse_pairs(inverses: DataFrame) -> DataFrame:
 
 
 def missing_inverses(links: DataFrame, inverses: DataFrame) -> DataFrame:
-    """(subject, property, object) that the inverses imply and ``links`` lacks."""
-    implied = links.join(inverse_pairs(inverses), F.col("property") == F.col("a")).select(F.col("object").alias("subject"), F.col("b").alias("property"), F.col("subject").alias("object"))
+    """(subject, property, object) that the inverses imply and ``links`` lacks. The ontology's pairs go
+    to the links: by property all links of one would be one task's."""
+    implied = links.join(F.broadcast(inverse_pairs(inverses)), F.col("property") == F.col("a")).select(F.col("object").alias("subject"), F.col("b").alias("property"), F.col("subject").alias("object"))
     return implied.distinct().join(links, ["subject", "property", "object"], "left_anti")
 
 

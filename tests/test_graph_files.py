@@ -216,3 +216,12 @@ def test_names_without_verbs_and_labels(spark):
     assert {k: one(T.bare_property(F.lit(k))) for k in bare} == bare
     labels = {("Q7", "Q7 (Q7 (a (b)))"): "Q7 (a (b))", ("Q7", "Q7 (Q7 (Q7 (a)))"): "Q7 (a)", ("q7b", "plain"): "q7 (plain)", ("Q7", ""): "Q7", ("Q7", "Q8 (x)"): "Q8 (x)", ("x", "name"): "x (name)", ("Q7", "Q7"): "Q7"}
     assert {k: one(T.query_label(F.lit(k[0]), F.lit(k[1]))) for k in labels} == labels
+
+
+def test_links_stay_where_they_are_when_inverses_are_looked_up(spark):
+    from relgraph.operators import ontology as O
+
+    links = spark.range(1_000).select(F.concat(F.lit(":o"), "id").alias("subject"), F.lit(":by").alias("property"), F.lit(":c").alias("object"))
+    got = O.missing_inverses(links, spark.createDataFrame([(":by", ":of")], "a string, b string"))
+    assert "strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.where("property = ':of' and subject = ':c'").count() == got.count() == 1_000
