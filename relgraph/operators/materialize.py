@@ -82,14 +82,16 @@ def map_triples(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapp
 
 
 def _is_set(mapping: Mapping, m: TriplesMap, only: set[str] | None) -> bool:
-    """Whether a map's triples are distinct, and no other map's: its subject is a key, each of its
-    predicates has one object, and nobody else has that predicate on such a subject."""
+    """Whether a map's triples are distinct, and no other map's: its subject is a key, or with its
+    only object a pair that no other row has, each of its predicates has one object, and nobody else
+    has that predicate on such a subject."""
     shape = lambda x: re.sub(r"\{[^}]*\}", "{}", x.subject)
     made = lambda x: [p for p, _ in x.objects if only is None or p in only] + [RDF_TYPE] * ((only is None or RDF_TYPE in only) and bool(x.classes or x.dispatch))
     own = made(m)
     one = all(not isinstance(o, Reference) or elided(mapping, o) or (mapping.map(o.parent).key and set(placeholders(mapping.map(o.parent).subject)) <= {b for _, b in o.on}) for p, o in m.objects if only is None or p in only)
     others = {(p, shape(x)) for x in mapping.maps if x is not m for p in made(x)}
-    return m.key and one and len(set(own)) == len(own) and len(set(m.classes)) == len(m.classes) and not others & {(p, shape(m)) for p in own}
+    whole = m.key or m.pair and len(m.objects) == len(own) == 1 and all(not isinstance(o, Reference) or elided(mapping, o) for _, o in m.objects)
+    return whole and one and len(set(own)) == len(own) and len(set(m.classes)) == len(m.classes) and not others & {(p, shape(m)) for p in own}
 
 
 def triples(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapping, only: set[str] | None = None) -> DataFrame:

@@ -42,7 +42,8 @@ class Dispatch:
 @dataclass(frozen=True)
 class TriplesMap:
     """``table`` is a table's name or a query over the tables; ``where`` filters its rows.
-    ``key`` says that no two rows have the same subject (declared or profiled)."""
+    ``key`` says that no two rows have the same subject (declared or profiled), ``pair`` that none
+    have the same subject and object, of a map with one object."""
 
     name: str
     table: str
@@ -52,6 +53,7 @@ class TriplesMap:
     where: str | None = None
     dispatch: Dispatch | None = None
     key: bool = False
+    pair: bool = False
 
 
 @dataclass(frozen=True)

@@ -31,7 +31,7 @@ STAR = Mapping(
         TriplesMap("supplier", "supplier", ":supplier/{s_suppkey}", (":Supplier",), ((":name", Literal("s_name")), (":inNation", Reference("nation", (("s_nationkey", "n_nationkey"),), True))), key=True),
         TriplesMap("part", "part", ":part/{p_partkey}", (":Part",), ((":name", Literal("p_name")), (":size", Literal("p_size"))), key=True),
         TriplesMap("orders", "orders", ":order/{o_orderkey}", (":Order",), ((":placedBy", Reference("customer", (("o_custkey", "c_custkey"),), True)),), dispatch=Dispatch("o_orderstatus", (("O", ":OpenOrder"), ("F", ":FinishedOrder"), ("P", ":PendingOrder"))), key=True),
-        TriplesMap("supplies", "SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem}", ":supplier/{l_suppkey}", (), ((":supplies", Reference("part", (("l_partkey", "p_partkey"),), True)),)),
+        TriplesMap("supplies", "SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem}", ":supplier/{l_suppkey}", (), ((":supplies", Reference("part", (("l_partkey", "p_partkey"),), True)),), pair=True),
         TriplesMap("document", "documents", ":document/{doc_id}", (":Document",), ((":language", Literal("lang")),), key=True),
         TriplesMap("toxic", "labels", ":document/{doc_id}", (":ToxicDocument",), (), where="toxic = 1"),
         TriplesMap("turn", "conversations", ":turn/{conv_id}/{turn}", (":Turn",), ((":role", Literal("role")),), key=True),

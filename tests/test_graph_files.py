@@ -225,3 +225,13 @@ def test_links_stay_where_they_are_when_inverses_are_looked_up(spark):
     got = O.missing_inverses(links, spark.createDataFrame([(":by", ":of")], "a string, b string"))
     assert "strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.where("property = ':of' and subject = ':c'").count() == got.count() == 1_000
+
+
+def test_pairs_that_are_distinct_are_not_made_distinct_again(spark):
+    from relgraph.queries import STAR
+
+    t = {"lineitem": spark.createDataFrame([(1, 2), (1, 2), (1, 3), (None, 3), (2, 2)], "l_suppkey long, l_partkey long"), "part": spark.createDataFrame([(2,), (3,)], "p_partkey long")}
+    some = Mapping(tuple(m for m in STAR.maps if m.name in ("supplies", "part")))
+    got = M.triples(spark, t, some, {":supplies"})
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    assert sorted((r.s, r.o) for r in got.collect()) == [(":supplier/1", ":part/2"), (":supplier/1", ":part/3"), (":supplier/2", ":part/2")]
