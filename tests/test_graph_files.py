@@ -235,3 +235,11 @@ def test_pairs_that_are_distinct_are_not_made_distinct_again(spark):
     got = M.triples(spark, t, some, {":supplies"})
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
     assert sorted((r.s, r.o) for r in got.collect()) == [(":supplier/1", ":part/2"), (":supplier/1", ":part/3"), (":supplier/2", ":part/2")]
+
+
+def test_keys_are_tested_in_all_parts_of_their_hashes(spark):
+    rows = spark.range(300).select((F.col("id") + 0).alias("a"), F.lit("x").alias("b")).localCheckpoint()
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(C.PARTS)) == 0
+    assert C._is_key(rows, ("a", "b")) and not C._is_key(rows, ("b",))
+    for some in (part, ~part):
+        assert not C._is_key(rows.unionByName(rows.where(some).limit(1)), ("a", "b"))
