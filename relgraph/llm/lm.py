@@ -22,9 +22,12 @@ a window over a text, ``STRIDE`` blocks at a time: each id is scored once, with
 ``STRIDE`` blocks of context where the text has them, and the windows of many texts go through the masked
 attention in batches.
 
-Counts, topics and attention learn from all ids of all training texts; what each gathers is
-an array or a table of bounded size: of the counts after ids so far, the ``TABLE`` largest at
-most are kept, and the others go to the back-off.
+Counts, topics and attention learn from all ids of all training texts. Topics and weights are
+arrays of bounded size. Counts are all kept, none by a task alone: distinct words are dealt out by
+ranges of their ids, so that what follows a word's ids so far is counted within a part, but for
+the few contexts that a border cuts, which are summed; what follows a last id is summed by pairs.
+Each distinct word then has what counts say of its ids (``SAID``). The words of most chunks,
+``HOT`` at most, go to all tasks, the others' to the chunks that have them, by a join.
 
 Defined cases: a null or empty text is its end alone; without training documents nothing is
 known and all ids of a kind are as likely; rows with equal doc_id are scored row by row
@@ -36,6 +39,7 @@ from __future__ import annotations
 
 import base64
 import math
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -45,20 +49,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.llm import words as W
-from relgraph.llm.common import batches_of, freed, stored, total_of
+from relgraph.llm.common import batches_of, freed, spread, stored, total_of
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 STRIDE, BLOCK = 16, 8
 TOPICS, BUCKETS, PLACES = 8, 12, 32
 DIM = TOPICS + 2
-TABLE = 1 << 20
+#: Distinct words of a part, and those whose counts all tasks hold.
+WORDS, HOT = 1 << 17, 1 << 18
 #: Ids that are looked at together.
 PIECE = 1 << 15
 EM_STEPS, ROUNDS, RATE, BATCH = 1, 1, 0.1, 32
-#: The event that a word ends, in place of an id.
-ENDS = -1
+#: The event that a word ends, in place of an id; all events of a context that no border cuts.
+ENDS, INNER = -1, -2
+#: What counts say of an id of a word: its probability and bucket, with the id itself left out of
+#: them (q, d) and not, and the log-probability of its kind, all of a word's at its last id. A
+#: first id's probability needs no counts and is left out.
+SAID = np.dtype([("p", "<f4"), ("q", "<f4"), ("kind", "<f4"), ("b", "u1"), ("d", "u1")])
 
 
 _loaded: list = []
@@ -254,11 +263,12 @@ class Model:
         self.logs_of = np.ascontiguousarray(np.log(self.topics).T)
         self.embedding[:, :TOPICS] = np.clip(np.log(self.topics / self.alone), -4, 4).T / 2
 
-    def of_words(self, ids: np.ndarray, sizes: np.ndarray, out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of_words(self, ids: np.ndarray, sizes: np.ndarray, out: bool, table: Table | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of distinct words' ids and the end behind them: the probability by counts, given its
         kind; the bucket of what is known of its context; the log-probability of its kind, with
         that of the word's end behind it. ``out`` leaves the id itself out of the counts."""
         before, whole, place = contexts(ids, sizes)
+        table = table or self.table
         less = np.float32(out)
         last = event(np.zeros(len(ids), np.uint64), np.concatenate([[self.end], ids[:-1]]))
         inner = place > 0
@@ -267,8 +277,8 @@ class Model:
         kind = np.zeros(len(ids) + 1)
         i = np.flatnonzero(inner)
         p2, stop2 = self.alone[ids[i]], np.full(len(i), self.stops)
-        for context, (go, kinds, stop) in ((last[i], [x[ids[i - 1]] for x in self.table.by_id]), (before[i], self.table.totals(before[i]))):
-            n = self.table.count(context, ids[i])
+        for context, (go, kinds, stop) in ((last[i], [x[ids[i - 1]] for x in table.by_id]), (before[i], table.totals(before[i]))):
+            n = table.count(context, ids[i])
             mine = np.minimum(n, less)
             n, go, kinds = n - mine, go - mine, kinds - ((mine > 0) & (n == mine))
             p2 = np.where(go + kinds > 0, (n + kinds * p2) / np.maximum(go + kinds, 1), p2)
@@ -278,11 +288,15 @@ class Model:
         kind[i] = np.log1p(-np.minimum(stop2, 1 - 1e-6))
         end = np.cumsum(sizes) - 1
         stop2 = np.full(len(end), self.stops)
-        for go, _, stop in ([x[ids[end]] for x in self.table.by_id], self.table.totals(whole)):
+        for go, _, stop in ([x[ids[end]] for x in table.by_id], table.totals(whole)):
             stop2 = (np.maximum(stop - less, 0) + stop2) / (go + np.maximum(stop - less, 0) + 1)
         kind[end] += np.log(stop2)
         return np.append(p, self.alone[self.end]).astype(np.float32), bucket, kind
 
+    def ended(self, said: np.ndarray, p: str, bucket: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``of_words`` gives, from what was kept of it."""
+        return np.append(said[p], self.alone[self.end]), np.append(said[bucket], 0).astype(np.int64), np.append(said[kind], 0).astype(float)
+
     def experts(self, ids: np.ndarray, counted: np.ndarray) -> np.ndarray:
         """(n, 2 + TOPICS): the ids' probabilities, given their kinds."""
         out = np.take(self.shares, ids, 0, mode="clip")
@@ -355,9 +369,10 @@ class Model:
             seen[c] += g * g
             self.weights[c] -= (RATE * g / np.sqrt(seen[c] + 1e-12)).astype(np.float32)
 
-    def logs(self, chunk: "Chunk", batch: int = 128) -> np.ndarray:
-        """Natural log-probability of each id given those before it in its text."""
-        counted, bucket, kind = self.of_words(chunk.pieces, chunk.sizes, False)
+    def logs(self, chunk: "Chunk", batch: int = 128, said: np.ndarray | None = None) -> np.ndarray:
+        """Natural log-probability of each id given those before it in its text; ``said``: what
+        counts say of the chunk's words, else the model's own table is asked."""
+        counted, bucket, kind = self.of_words(chunk.pieces, chunk.sizes, False) if said is None else self.ended(said, "p", "b", "kind")
         x, n = self.elements(chunk), chunk.blocks
         per = -(-n // STRIDE)
         doc = np.repeat(np.arange(len(n)), per)
@@ -423,58 +438,335 @@ def _chunks(batches, end: int):
             yield Chunk({c: b.column(c)[i].as_py() for c in NAMES}, end)
 
 
-def _table(chunks: DataFrame, ids_in_all: int, most: int) -> Table:
-    """The ``most`` largest counts at most of what follows a word's ids so far, and its last
-    id alone."""
+def _summed(c: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, at, to = np.unique(event(c, x), return_index=True, return_inverse=True)
+    return c[at], x[at], np.bincount(to, n, len(key))
+
+
+def _words(chunks: DataFrame) -> DataFrame:
+    """(hash, c, many, ids) of all distinct words: training count, chunks that have the word, its
+    ids as big-endian bytes, whose order is that of the ids."""
+
+    def distinct(batches):
+        held: list = []
 
-    def rows(c, x, n):
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(x.astype(np.int64)), pa.array(n.astype(np.int64))], ["c", "x", "n"])
+        def rows():
+            h, n, many, sizes = (np.concatenate([x[k] for x in held]) for k in range(4))
+            ids = np.concatenate([x[4] for x in held])
+            key, at, to = np.unique(h, return_index=True, return_inverse=True)
+            first = np.cumsum(sizes, dtype=np.int64) - sizes
+            size = sizes[at]
+            data = ids[spans(first[at], size)].astype(">i4")
+            held[:] = [(key, np.bincount(to, n, len(key)).astype(np.int64), np.bincount(to, many, len(key)).astype(np.int64), size, data.astype(np.int32))]
+            return key, *held[0][1:3], _cells(size * 4, data)
 
-    def summed(c, x, n):
-        key, at, to = np.unique(event(c, x), return_index=True, return_inverse=True)
-        return c[at], x[at], np.bincount(to, n, len(key))
+        def out():
+            h, n, many, ids = rows()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(many), ids], ["hash", "c", "many", "ids"])
 
-    def events(batches):
-        stops = np.zeros(ids_in_all)
         for b in batches:
             for i in range(b.num_rows):
                 ids, sizes = (np.frombuffer(b.column(c)[i].as_py(), np.int32) for c in ("ids", "sizes"))
                 n = b.column("n")[i].values.to_numpy()
-                before, whole, place = contexts(ids, sizes)
-                many = np.repeat(n, sizes)
-                end = np.cumsum(sizes) - 1
-                used = n > 0
-                stops += np.bincount(ids[end], n, len(stops))
-                inner = np.flatnonzero((place > 0) & (many > 0))
-                # Of ids so far, and of the last one alone; words' ends are one a word.
-                yield rows(*summed(before[inner], ids[inner], many[inner]))
-                last = event(np.zeros(len(inner), np.uint64), ids[inner - 1])
-                yield rows(*summed(last, ids[inner], many[inner]))
-                yield rows(whole[used], np.full(int(used.sum()), ENDS), n[used])
-        k = np.flatnonzero(stops)
-        yield rows(event(np.zeros(len(k), np.uint64), k), np.full(len(k), ENDS), stops[k])
-
-    counts = chunks.select("n", "ids", "sizes").mapInArrow(events, "c long, x long, n long")
-    counts = stored(counts.groupBy("c", "x").agg(F.sum("n").alias("n")), "events")
-    sizes = sorted(((r.n, r.many) for r in counts.groupBy(F.least("n", F.lit(1 << 12)).alias("n")).agg(F.count("*").alias("many")).collect()), reverse=True)
-    least, kept = math.inf, 0
-    for n, many in sizes:
-        kept += many
+                if len(n):
+                    held.append((b.column("hash")[i].values.to_numpy().view(np.uint64), n.astype(np.int64), np.ones(len(n), np.int64), sizes, ids))
+                if sum(len(x[0]) for x in held) > 4 * WORDS:
+                    yield out()
+        if held:
+            yield out()
+
+    some = chunks.select("hash", "n", "ids", "sizes").mapInArrow(distinct, "hash long, c long, many long, ids binary")
+    return some.groupBy("hash").agg(F.sum("c").alias("c"), F.sum("many").alias("many"), F.first("ids").alias("ids"))
+
+
+def _cells(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """An array of binaries of ``sizes`` bytes, from their bytes end to end."""
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _bytes_of(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of binaries, end to end, and their sizes."""
+    if not len(cells):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    _, offsets, data = cells.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+PARTS = "part int, hash binary, c binary, ids binary, sizes binary, low binary, high binary"
+
+
+def _part(row: dict) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(row[k], t) for k, t in (("hash", np.int64), ("c", np.int64), ("ids", np.int32), ("sizes", np.int32)))
+
+
+def _events(c: np.ndarray, ids: np.ndarray, sizes: np.ndarray, extra: tuple = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of what follows words' ids so far."""
+    before, whole, place = contexts(ids, sizes)
+    many = np.repeat(c, sizes)
+    inner = np.flatnonzero((place > 0) & (many > 0))
+    used = c > 0
+    own = (before[inner], ids[inner].astype(np.int64), many[inner]), (whole[used], np.full(int(used.sum()), ENDS), c[used]), *extra
+    return _summed(*(np.concatenate([x[k] for x in own]) for k in range(3)))
+
+
+def _pairs(c: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring ids in words as numbers, and how often they occur."""
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inner = np.flatnonzero(place > 0)
+    key, to = np.unique((ids[inner - 1].astype(np.int64) << 32) + ids[inner], return_inverse=True)
+    return key, np.bincount(to, np.repeat(c, sizes)[inner], len(key)).astype(np.int64)
+
+
+class Border:
+    """Contexts that parts share, with totals over all parts, and the counts of their events that
+    parts share too. ``rows``: (context, x, n, kinds) of parts."""
+
+    def __init__(self, c: np.ndarray, x: np.ndarray, n: np.ndarray, kinds: np.ndarray):
+        c = c.view(np.uint64)
+        cut = x >= 0
+        pc, px, pn = _summed(c[cut], x[cut], n[cut])
+        self.pairs = pc, px, pn
+        self.context = np.unique(c)
+        total = lambda own, v: np.bincount(np.searchsorted(self.context, own), v, len(self.context)).astype(np.float32)
+        whole = x == INNER
+        self.go = total(pc, pn) + total(c[whole], n[whole])
+        self.kinds = total(pc, pn > 0) + total(c[whole], kinds[whole])
+        self.stop = total(c[x == ENDS], n[x == ENDS])
+
+    def rows(self) -> tuple:
+        """Events of no count, so that a table has them."""
+        c, x, _ = self.pairs
+        return np.concatenate([c, self.context]), np.concatenate([x, np.full(len(self.context), ENDS)]), np.zeros(len(c) + len(self.context), np.int64)
+
+    def put(self, table: Table) -> Table:
+        """The totals over all parts into a part's table."""
+        at = np.searchsorted(table.context, self.context)
+        for name in ("go", "kinds", "stop"):
+            getattr(table, name)[at] = getattr(self, name)
+        key = event(self.pairs[0], self.pairs[1])
+        table.n[np.searchsorted(table.key, key)] = self.pairs[2]
+        return table
+
+
+def _cut(c: np.ndarray, ids: np.ndarray, sizes: np.ndarray, ends: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of a part whose first and last words have the ids ``ends``: (context, x, n, kinds) of the
+    contexts along these words, of their events along them, and of all other events together."""
+    context, x, n = _events(c, ids, sizes)
+    b, w, place = contexts(np.concatenate(ends), np.array([len(e) for e in ends]))
+    path = np.unique(np.concatenate([b[place > 0], w]))
+    along = np.unique(event(b[place > 0], np.concatenate(ends)[place > 0]))
+    here = np.isin(context, path)
+    context, x, n = context[here], x[here], n[here]
+    ours = (x == ENDS) | np.isin(event(context, x), along)
+    other = ~ours
+    at = np.searchsorted(path, context[other])
+    sums, kinds = np.bincount(at, n[other], len(path)), np.bincount(at, minlength=len(path))
+    zero = np.zeros(int(ours.sum()), np.int64)
+    return np.concatenate([context[ours], path]), np.concatenate([x[ours], np.full(len(path), INNER)]).astype(np.int64), np.concatenate([n[ours], sums]).astype(np.int64), np.concatenate([zero, kinds]).astype(np.int64)
+
+
+def _said(words: DataFrame, many: int, model: Model) -> DataFrame:
+    """(hash, c, many, said) of ``many`` distinct words, what all counts say of their ids."""
+    spark, v = words.sparkSession, len(model.opens)
+    n_parts = max(1, -(-many // WORDS))
+
+    def packed(batches):
+        rows = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
+        if rows is None or not rows.num_rows:
+            return
+        cells = rows.column("ids").chunk(0)
+        data, sizes = _bytes_of(cells)
+        values = cells.to_pylist()
+        row = [rows.column("hash").to_numpy().tobytes(), rows.column("c").to_numpy().tobytes(), data.view(">i4").astype(np.int32).tobytes(), (sizes // 4).astype(np.int32).tobytes(), min(values), max(values)]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], [x.split()[0] for x in PARTS.split(", ")])
+
+    with batches_of(spark, 20_000):
+        parts = stored(words.select("hash", "c", "ids").repartitionByRange(n_parts, "ids").mapInArrow(packed, PARTS), "parts")
+
+    def each(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield {k: b.column(k)[i].as_py() for k in b.schema.names}
+
+    def cut(batches):
+        for row in each(batches):
+            _, c, ids, sizes = _part(row)
+            got = _cut(c, ids, sizes, [np.frombuffer(row[k], ">i4").astype(np.int32) for k in ("low", "high")])
+            yield pa.RecordBatch.from_arrays([pa.array(got[0].view(np.int64)), *map(pa.array, got[1:])], ["c", "x", "n", "kinds"])
+
+    def pairs(batches):
+        for row in each(batches):
+            key, n = _pairs(*_part(row)[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), row["part"]), pa.int32()), pa.array(key), pa.array(n)], ["part", "key", "n"])
+
+    def last(batches):
+        total = np.zeros(v)
+        for row in each(batches):
+            _, c, ids, sizes = _part(row)
+            total += np.bincount(ids[np.cumsum(sizes) - 1], c, v)
+        yield total
+
+    got = parts.mapInArrow(cut, "c long, x long, n long, kinds long").toArrow() if n_parts > 1 else None
+    border = Border(*(got.column(k).to_numpy() for k in ("c", "x", "n", "kinds"))) if got is not None else Border(*(np.zeros(0, np.int64),) * 4)
+    by_part = parts.mapInArrow(pairs, "part int, key long, n long")
+    sums = stored(by_part.groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+    by_id = sums.where("n > 0").groupBy(F.shiftright("key", 32).cast("int").alias("id")).agg(F.sum("n").alias("go"), F.count("*").alias("kinds")).toArrow()
+    go, kinds = np.zeros(v, np.float32), np.zeros(v, np.float32)
+    go[by_id.column("id").to_numpy()], kinds[by_id.column("id").to_numpy()] = by_id.column("go").to_numpy(), by_id.column("kinds").to_numpy()
+    stop = total_of(parts, last, v).astype(np.float32)
+    stops, goes = 2 * float(stop.sum(dtype=float)), 2 * float(go.sum(dtype=float))
+    model.stops = np.float32((stops + 1) / (stops + goes + 2))
+    shared = spark.sparkContext.broadcast((model, border, (go, kinds, stop)))
+    met = by_part.select("part", "key").join(sums, "key").groupBy("part").agg(F.collect_list(F.struct("key", "n")).alias("met"))
+
+    def said(batches):
+        m, border, by_id = shared.value
+        for b in batches:
+            for i in range(b.num_rows):
+                h, c, ids, sizes = _part({k: b.column(k)[i].as_py() for k in ("hash", "c", "ids", "sizes")})
+                pair = b.column("met")[i].values
+                key, n = (pair.field(k).to_numpy() for k in ("key", "n")) if pair is not None else (np.zeros(0, np.int64),) * 2
+                own = event(np.zeros(len(key), np.uint64), key >> 32), key & 0xFFFFFFFF, n
+                table = border.put(Table(*_events(c, ids, sizes, (own, border.rows()))))
+                table.by_id = by_id
+                out = np.zeros(len(ids), SAID)
+                for p, bucket, less in (("q", "d", True), ("p", "b", False)):
+                    counted, buckets, kind = m.of_words(ids, sizes, less, table)
+                    out[p], out[bucket] = counted[:-1], buckets[:-1]
+                first = np.cumsum(sizes) - sizes
+                out["p"][first] = out["q"][first] = 0
+                if len(first):
+                    out["kind"][first + sizes - 1] = np.add.reduceat(kind[:-1], first)
+                cells = _cells(sizes * SAID.itemsize, out)
+                for lo in range(0, len(h), PIECE):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + PIECE]), cells.slice(lo, PIECE)], ["hash", "said"])
+
+    return stored(parts.join(met, "part", "left").mapInArrow(said, "hash long, said binary").join(words.select("hash", "c", "many"), "hash"), "said")
+
+
+class Hot:
+    """What counts say of the words of most chunks."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        cells = rows.column("said")
+        data, sizes = _bytes_of(cells.chunk(0) if cells.num_chunks else pa.array([], pa.binary()))
+        h = rows.column("hash").to_numpy().view(np.uint64)
+        by = np.argsort(h)
+        size = sizes // SAID.itemsize
+        first = np.cumsum(size) - size
+        self.hash, self.c, self.sizes = h[by], rows.column("c").to_numpy()[by], size[by]
+        self.said = data.view(SAID)[spans(first[by], self.sizes)]
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def at(self, h: np.ndarray) -> np.ndarray:
+        """Where words are, or -1."""
+        if not len(self.hash):
+            return np.full(len(h), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where(self.hash[at] == h, at, -1).astype(np.int32)
+
+
+SQUEEZED = ["words", "ids", "sizes"]
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Small numbers, compressed byte by byte of each."""
+    return zlib.compress(np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _loose(data: bytes) -> bytes:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).tobytes()
+
+
+KNOWN = "array<struct<no:int,c:long,said:binary>>"
+
+
+def _met(chunks: DataFrame, said: DataFrame, most: int) -> tuple[DataFrame, Hot]:
+    """The chunks with where their words are among the hot ones, and what counts say of the others."""
+    spark, least, kept = chunks.sparkSession, math.inf, 0
+    for n, k in sorted(((r.many, r.k) for r in said.groupBy(F.least("many", F.lit(1 << 12)).alias("many")).agg(F.count("*").alias("k")).collect()), reverse=True):
+        kept += k
         if kept > most:
             break
         least = n
-    with batches_of(counts.sparkSession, 100_000):
-        got = counts.where(F.col("n") >= least).toArrow() if least < math.inf else None
-    c, x, n = (got.column(k).to_numpy() for k in ("c", "x", "n")) if got is not None else (np.zeros(0, np.int64),) * 3
-    return Table(c.view(np.uint64), x, n)
+    with batches_of(spark, 100_000):
+        hot = Hot((said.where(F.col("many") >= least) if least < math.inf else said.limit(0)).select("hash", "c", "said").toArrow())
+    shared = spark.sparkContext.broadcast(hot.hash)
+
+    names = ["chunk", "docs", "held", *NAMES]
+
+    def where(batches):
+        h = Hot.__new__(Hot)
+        h.hash = shared.value
+        for b in batches:
+            for i in range(b.num_rows):
+                at = h.at(b.column("hash")[i].values.to_numpy().view(np.uint64))
+                row = [b.column(k).slice(i, 1) if k not in SQUEEZED else pa.array([_squeezed(np.frombuffer(b.column(k)[i].as_py(), np.int32))], pa.binary()) for k in names]
+                yield pa.RecordBatch.from_arrays([*row, pa.array([_squeezed(at)], pa.binary())], [*names, "hot"])
+
+    def rest(batches):
+        h = Hot.__new__(Hot)
+        h.hash = shared.value
+        for b in batches:
+            for i in range(b.num_rows):
+                own = b.column("hash")[i].values.to_numpy()
+                no = np.flatnonzero(h.at(own.view(np.uint64)) < 0)
+                for lo in range(0, len(no), PIECE):
+                    some = no[lo : lo + PIECE]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b.column("chunk")[i].as_py())), pa.array(some.astype(np.int32)), pa.array(own[some])], ["chunk", "no", "hash"])
+
+    placed = chunks.select(*names, "hash").mapInArrow(where, ", ".join(x for x in ENCODED.split(", ") if x.split()[0] in names) + ", hot binary")
+    if least <= 1:
+        return placed.withColumn("known", F.lit(None).cast(KNOWN)), hot
+    cold = said.where(F.col("many") < least).select("hash", "c", "said") if least < math.inf else said.select("hash", "c", "said")
+    known = chunks.select("chunk", "hash").mapInArrow(rest, "chunk long, no int, hash long").join(cold, "hash").groupBy("chunk").agg(F.collect_list(F.struct("no", "c", "said")).alias("known"))
+    # Chunks are not stored again: each of the passes that need counts sends them to these.
+    known = stored(known, "known")
+    freed(spark)
+    return placed.repartition(spread(spark), "chunk").join(known, "chunk", "left"), hot
 
 
-def fitted(chunks: DataFrame, opens: np.ndarray, rounds: int = ROUNDS, table: int = TABLE) -> Model:
+def _rows(batches, model: Model, hot: Hot):
+    """Chunks with their words' training counts and what counts say of their ids."""
+    for b in batches:
+        for i in range(b.num_rows):
+            row = {k: b.column(k)[i].as_py() for k in b.schema.names if k != "known"}
+            row |= {k: _loose(row[k]) for k in (*SQUEEZED, "hot")}
+            chunk = Chunk(row, model.end)
+            at, size = np.frombuffer(row["hot"], np.int32), chunk.sizes
+            first = np.cumsum(size) - size
+            c, said = np.zeros(len(size)), np.zeros(len(chunk.pieces), SAID)
+            no = np.flatnonzero(at >= 0)
+            c[no] = hot.c[at[no]]
+            said[spans(first[no], size[no])] = hot.said[spans(hot.first[at[no]], size[no])]
+            known, found = b.column("known")[i].values, len(no)
+            if known is not None and len(known):
+                no = known.field("no").to_numpy()
+                c[no] = known.field("c").to_numpy()
+                said[spans(first[no], size[no])] = _bytes_of(known.field("said"))[0].view(SAID)
+                found += len(no)
+            if found != len(size):
+                raise RuntimeError(f"{len(size) - found} words of a chunk have no counts")
+            said["p"][first] = said["q"][first] = model.alone[chunk.pieces[first]]
+            yield row, chunk, c, said
+
+
+def fitted(chunks: DataFrame, opens: np.ndarray, rounds: int = ROUNDS, hot: int = HOT) -> Model:
     """The model of the texts to learn; with ``rounds`` of 0 its attention is as drawn."""
+    return _learnt(chunks, stored(_words(chunks), "words"), opens, rounds, hot)[0]
+
+
+def _learnt(chunks: DataFrame, words: DataFrame, opens: np.ndarray, rounds: int, most: int) -> tuple[Model, DataFrame, Hot]:
+    """The model, and the chunks as ``_met`` gives them, with ``most`` hot words at most."""
     spark, end, v = chunks.sparkSession, len(opens) - 1, len(opens)
     small = chunks.select(*NAMES)
 
-    model = Model(opens, np.zeros(v), _table(chunks, v, table))
+    none = np.zeros(0, np.int64)
+    model = Model(opens, np.zeros(v), Table(none.view(np.uint64), none, none))
     for step in range(EM_STEPS + 1):
         shared = spark.sparkContext.broadcast(model)
 
@@ -501,7 +793,11 @@ def fitted(chunks: DataFrame, opens: np.ndarray, rounds: int = ROUNDS, table: in
             model.alone = model._shares(counts.sum(0) + 0.1)
         model.set_topics(counts)
     freed(spark)
-    names = list(model.weights)
+    said = _said(words, words.count(), model)
+    freed(spark)
+    met, hot = _met(chunks, said, most)
+    freed(spark)
+    names, of_hot = list(model.weights), spark.sparkContext.broadcast(hot)
     for part in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
@@ -510,9 +806,9 @@ def fitted(chunks: DataFrame, opens: np.ndarray, rounds: int = ROUNDS, table: in
             m.__dict__ = shared.value.__dict__ | {"weights": {c: w.copy() for c, w in shared.value.weights.items()}}
             seen = {c: np.zeros(w.shape) for c, w in m.weights.items()}
             done = 0
-            for c in _chunks(batches, end):
+            for _, c, _, said in _rows(batches, m, of_hot.value):
                 block, real = c.windows(part, rounds)
-                counted, bucket, _ = m.of_words(c.pieces, c.sizes, True)
+                counted, bucket, _ = m.ended(said, "q", "d", "kind")
                 x = m.elements(c)
                 padded, there = c.padded.reshape(-1, BLOCK), c.real.reshape(-1, BLOCK)
                 number = np.arange(len(x)) - np.repeat(c.block_first, c.blocks)
@@ -527,14 +823,15 @@ def fitted(chunks: DataFrame, opens: np.ndarray, rounds: int = ROUNDS, table: in
                 done += len(block)
             yield np.concatenate([[done], *((done * (m.weights[c] - shared.value.weights[c])).reshape(-1) for c in names)])
 
-        total = total_of(small, train, 1 + sum(w.size for w in model.weights.values()), parts=1)
+        total = total_of(met.select(*NAMES, "hot", "known"), train, 1 + sum(w.size for w in model.weights.values()), parts=1)
         shared.destroy()
         at = 1
         for c in names:
             w = model.weights[c]
             model.weights[c] = w + (total[at : at + w.size] / max(total[0], 1)).reshape(w.shape).astype(np.float32)
             at += w.size
-    return model
+        freed(spark)
+    return model, met, hot
 
 
 def _first_topics(c: Chunk, m: Model) -> np.ndarray:
@@ -554,14 +851,14 @@ def _first_topics(c: Chunk, m: Model) -> np.ndarray:
     return z / z.sum(0)
 
 
-def scored(docs: DataFrame, held: Column, tokenizer: str = TOKENIZER, rounds: int = ROUNDS) -> DataFrame:
+def scored(docs: DataFrame, held: Column, tokenizer: str = TOKENIZER, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all texts;
     ``held`` says which are not learnt from. ``tokenizer``: the path of a file of ranks."""
     spark = docs.sparkSession
-    with batches_of(spark, 1_000):
+    with batches_of(spark, 2_500):
         chunks, opens = _chunked(docs, held, tokenizer)
     with batches_of(spark, 2):  # rows are chunks of texts
-        return stored(_scored(chunks, opens, rounds), "scores")
+        return stored(_scored(chunks, opens, rounds, hot), "scores")
 
 
 def _chunked(docs: DataFrame, held: Column, tokenizer: str) -> tuple[DataFrame, np.ndarray]:
@@ -573,44 +870,28 @@ def _chunked(docs: DataFrame, held: Column, tokenizer: str) -> tuple[DataFrame,
     return stored(encoded(docs, held, ranks), "chunks"), opens
 
 
-def _scored(chunks: DataFrame, opens: np.ndarray, rounds: int) -> DataFrame:
+def _scored(chunks: DataFrame, opens: np.ndarray, rounds: int, most: int) -> DataFrame:
     spark = chunks.sparkSession
-    each = chunks.select("chunk", F.posexplode(F.arrays_zip("hash", "n")).alias("no", "x")).select("chunk", "no", F.col("x.hash").alias("hash"), F.col("x.n").alias("n"))
-    counts = stored(each.where("n > 0").groupBy("hash").agg(F.sum("n").alias("c")), "word-counts")
-    r = counts.agg(F.sum("c"), F.count("*")).first()
+    words = stored(_words(chunks), "words")
+    r = words.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
+    freed(spark)
     ends = chunks.agg(F.sum(F.size(F.filter("learn", lambda x: x)))).first()[0] or 0
-    n, v = (r[0] or 0) + ends, r[1] + (ends > 0)
-    model = spark.sparkContext.broadcast(fitted(chunks, opens, rounds))
-    known = each.join(counts, "hash").groupBy("chunk").agg(F.collect_list(F.struct("no", "c")).alias("known"))
+    n, v = (r[0] or 0) + ends, (r[1] or 0) + (ends > 0)
+    model, met, hot = _learnt(chunks, words, opens, rounds, most)
+    shared = spark.sparkContext.broadcast((model, hot))
 
     def score(batches):
-        m = model.value
-        for b in batches:
-            for i in range(b.num_rows):
-                chunk = Chunk({k: b.column(k)[i].as_py() for k in NAMES}, m.end)
-                own = np.add.reduceat(m.logs(chunk), chunk.begins) / math.log(10)
-                yield pa.RecordBatch.from_arrays([b.column("chunk").slice(i, 1), pa.array([own.tobytes()], pa.binary())], ["chunk", "score"])
-
-    def base(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                row = {k: b.column(k)[i].as_py() for k in ("docs", "held", "first", "words", "many", "score")}
-                c = np.zeros(row["many"] + 1)
-                got = b.column("known")[i].values
-                if got is not None and len(got):
-                    c[got.field("no").to_numpy()] = got.field("c").to_numpy()
-                c[-1] = ends
-                first = np.frombuffer(row["first"], np.int64)
-                every = np.insert(np.frombuffer(row["words"], np.int32), first[1:], len(c) - 1)
-                size = np.diff(first) + 1
-                doc, count = np.repeat(np.arange(len(size)), size), c[every]
-                logs = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))[every]
-                known_n = np.bincount(doc, count > 0, len(size)).astype(np.int64)
-                out = [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(size), pa.array(known_n), pa.array(np.full(len(size), n)), pa.array(np.bincount(doc, logs, len(size))), pa.array(np.frombuffer(row["score"], np.float64))]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    # Chunks are scored where they are read; only their words meet the words' counts.
-    scores = stored(chunks.select("chunk", *NAMES).mapInArrow(score, "chunk long, score binary"), "scores-of-chunks")
-    freed(spark)
-    wide = chunks.select("chunk", "docs", "held", "first", "words", F.size("hash").alias("many")).join(known, "chunk", "left").join(scores, "chunk").drop("chunk")
-    return wide.mapInArrow(base, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        m, hot = shared.value
+        for row, chunk, c, said in _rows(batches, m, hot):
+            own = np.add.reduceat(m.logs(chunk, said=said), chunk.begins) / math.log(10)
+            c = np.append(c, ends)
+            first = np.frombuffer(row["first"], np.int64)
+            every = np.insert(np.frombuffer(row["words"], np.int32), first[1:], len(c) - 1)
+            size = np.diff(first) + 1
+            doc, count = np.repeat(np.arange(len(size)), size), c[every]
+            logs = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))[every]
+            known = np.bincount(doc, count > 0, len(size)).astype(np.int64)
+            out = [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(size), pa.array(known), pa.array(np.full(len(size), n)), pa.array(np.bincount(doc, logs, len(size))), pa.array(own)]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return met.select("docs", "held", *NAMES, "hot", "known").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

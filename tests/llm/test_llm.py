@@ -236,6 +236,34 @@ def test_experts_are_normalised():
         assert abs(sum(p) - 1) < 1e-4 or out
 
 
+def test_lm_counts_are_whole_across_parts_and_joins(spark, monkeypatch):
+    """Each count is used, whichever part of the words it lies in, and however chunks get it."""
+    rng = np.random.default_rng(3)
+    made = ["".join(rng.choice(["ka", "lum", "zer", "oth", "xi", "qu"], rng.integers(1, 6))) for _ in range(500)]
+    rows = [(i, " ".join(rng.choice(made, 40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    held = F.col("doc_id") % 10 == 0
+    monkeypatch.setattr(lm, "WORDS", 25)
+    chunks, opens = lm._chunked(docs, held, lm.TOKENIZER)
+    found = lm._words(chunks).orderBy("ids").collect()
+    assert len(found) == len({w for _, t in rows for w in t.split()})
+    ids = np.concatenate([np.frombuffer(r.ids, ">i4") for r in found]).astype(np.int32)
+    sizes, c = np.array([len(r.ids) // 4 for r in found], np.int32), np.array([r.c for r in found])
+    key, n = lm._pairs(c, ids, sizes)
+    table = lm.Table(*lm._events(c, ids, sizes, ((lm.event(np.zeros(len(key), np.uint64), key >> 32), key & 0xFFFFFFFF, n), (lm.event(np.zeros(len(found), np.uint64), ids[np.cumsum(sizes) - 1]), np.full(len(found), lm.ENDS), c))))
+    whole = lm.Model(opens, np.ones(len(opens)), table)
+    model = lm.Model(opens, np.ones(len(opens)), lm.Table(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    got = {r.hash: np.frombuffer(r.said, lm.SAID) for r in lm._said(lm._words(chunks), len(found), model).collect()}
+    said = np.concatenate([got[r.hash] for r in found])
+    inner = np.arange(len(ids)) > np.repeat(np.cumsum(sizes) - sizes, sizes)
+    for p, bucket, out in (("q", "d", True), ("p", "b", False)):
+        counted, buckets, kind = whole.of_words(ids, sizes, out)
+        assert np.allclose(said[p][inner], counted[:-1][inner]) and np.array_equal(said[bucket], buckets[:-1])
+    assert model.stops == whole.stops and np.allclose(said["kind"][np.cumsum(sizes) - 1], np.add.reduceat(kind[:-1], np.cumsum(sizes) - sizes))
+    scores = [{r.doc_id: r.score for r in lm.scored(docs, held, rounds=0, hot=hot).collect()} for hot in (0, 100, 1 << 18)]
+    assert len(scores[0]) == 60 and all(np.isclose(scores[0][i], s[i]) for s in scores[1:] for i in s)
+
+
 def test_attention_learns_from_all_training_ids_and_no_others(spark):
     c = chunk_of([[(i % 40,) for i in range(n)] for n in (1, 700, 32, 33, 5)], 99)
     c.learn = np.array([True, True, False, True, True])
