@@ -221,14 +221,15 @@ def _types(spark: SparkSession, get, linked, mapping: Mapping, made: set[str], c
             keep = found & (wanted(found) | fillers)
             if keep:
                 rows = get({p})
-                derived.append(_typed(rows.where("o_kind = 'iri'") if column == "o" else rows, column, keep))
+                terms = (rows.where("o_kind = 'iri'") if column == "o" else rows).select(column).distinct()
+                derived.append(_typed(terms, column, keep))
                 new |= keep
     if axioms := _needed(mapping, axioms, classes):
         fillers = {f for _, _, f in axioms}
         facts = get({RDF_TYPE}, True).where(F.col("o").isin(sorted(fillers)))
         for rows in derived:
             facts = facts.unionByName(rows.where(F.col("o").isin(sorted(fillers))))
-        found = _existential(spark, facts.select("s", "o").distinct(), linked, mapping, axioms)
+        found = _existential(spark, facts.select("s", "o"), linked, mapping, axioms)
         derived.append(found)
         new |= {a for c, _, _ in axioms for a in mapping.above(c)}
     direct = get({RDF_TYPE})
@@ -255,32 +256,34 @@ def _needed(mapping: Mapping, axioms: list, classes: set[str] | None) -> list:
 
 def _existential(spark: SparkSession, facts: DataFrame, linked, mapping: Mapping, axioms: list) -> DataFrame:
     """Types by classes equivalent to a link to a filler. Semi-naive: each round meets the links
-    with the facts (s, o) that the last one added, and only where they are fillers. Without a chain
-    of axioms that is one round, and nothing is stored."""
-    fillers = sorted({f for _, _, f in axioms})
-    feeds = any(f in mapping.above(c) for c, _, _ in axioms for f in fillers)
-    by_property = {p: linked(p).select("s", "o") for _, p, _ in axioms}
-    if feeds:
-        by_property = {p: stored(rows, "links") for p, rows in by_property.items()}
-
-    def round_(delta: DataFrame) -> DataFrame:
+    with the facts (s, o) that the last one added, and only where they are fillers. Fillers that no
+    axiom gives are asked for in the first round alone: neither their facts nor the links to them
+    are stored. Facts known from the start are stored only of classes that axioms give and ask for."""
+    given = {a for c, _, _ in axioms for a in mapping.above(c)}
+    again = [x for x in axioms if x[2] in given]
+    fed = sorted({f for _, _, f in again})
+    by_property = {p: linked(p).select("s", "o") for p in {p for _, p, _ in axioms}}
+    by_property |= {p: stored(by_property[p], "links") for p in {p for _, p, _ in again}}
+
+    def round_(delta: DataFrame, some: list) -> DataFrame:
         out = None
-        for c, p, f in axioms:
+        for c, p, f in some:
             holds = delta.where(F.col("o") == f).select(F.col("s").alias("o"))
             rows = _typed(by_property[p].join(holds, "o", "left_semi").select("s").distinct(), "s", mapping.above(c))
             out = rows if out is None else out.unionByName(rows)
         return out
 
-    if not feeds:
-        return round_(facts)
-    known = delta = stored(facts, "facts")
-    total = None
-    while not delta.isEmpty():
-        new = stored(round_(delta).distinct(), "found")
-        total = new if total is None else total.unionByName(new)
-        delta = stored(new.where(F.col("o").isin(fillers)).select("s", "o").join(known, ["s", "o"], "left_anti"), "facts")
-        known = stored(known.unionByName(delta), "known")
-    return total.distinct() if total is not None else spark.createDataFrame([], SCHEMA)
+    if not again:
+        return round_(facts, axioms)
+    known = stored(facts.where(F.col("o").isin(fed)).distinct(), "facts")
+    total = new = stored(round_(facts, axioms).distinct(), "found")
+    while True:
+        delta = stored(new.where(F.col("o").isin(fed)).select("s", "o").join(known, ["s", "o"], "left_anti"), "facts")
+        if delta.isEmpty():
+            return total.distinct()
+        known = known.unionByName(delta)
+        new = stored(round_(delta, again).distinct(), "found")
+        total = total.unionByName(new)
 
 
 def superclasses(edges) -> dict[str, list[str]]:
