@@ -53,7 +53,7 @@ from relgraph.llm.common import batches_of, freed, spread, stored, total_of
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 STRIDE, BLOCK = 16, 8
 TOPICS, BUCKETS, PLACES = 8, 12, 32
 DIM = TOPICS + 2
@@ -855,7 +855,7 @@ def scored(docs: DataFrame, held: Column, tokenizer: str = TOKENIZER, rounds: in
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all texts;
     ``held`` says which are not learnt from. ``tokenizer``: the path of a file of ranks."""
     spark = docs.sparkSession
-    with batches_of(spark, 2_500):
+    with batches_of(spark, 1_000):
         chunks, opens = _chunked(docs, held, tokenizer)
     with batches_of(spark, 2):  # rows are chunks of texts
         return stored(_scored(chunks, opens, rounds, hot), "scores")
