@@ -72,6 +72,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``stored``, in buckets by ``key``: two such frames meet by it without a shuffle. The
+    table that Spark writes buckets through has a name for that moment only."""
+    spark, table = df.sparkSession, f"llm_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(spread(spark), key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # with a path of its own: files stay
+    return out
+
+
+def gone(df: DataFrame) -> None:
+    """Delete a table that ``stored`` has written and nothing will read again."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/llm-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

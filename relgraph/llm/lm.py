@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.llm import words as W
-from relgraph.llm.common import batches_of, freed, spread, stored, total_of
+from relgraph.llm.common import batches_of, bucketed, freed, gone, stored, total_of
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -644,7 +644,10 @@ def _said(words: DataFrame, many: int, model: Model) -> DataFrame:
                 for lo in range(0, len(h), PIECE):
                     yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + PIECE]), cells.slice(lo, PIECE)], ["hash", "said"])
 
-    return stored(parts.join(met, "part", "left").mapInArrow(said, "hash long, said binary").join(words.select("hash", "c", "many"), "hash"), "said")
+    out = stored(parts.join(met, "part", "left").mapInArrow(said, "hash long, said binary").join(words.select("hash", "c", "many"), "hash"), "said")
+    gone(parts)
+    gone(sums)
+    return out
 
 
 class Hot:
@@ -670,23 +673,55 @@ class Hot:
         return np.where(self.hash[at] == h, at, -1).astype(np.int32)
 
 
-SQUEEZED = ["words", "ids", "sizes"]
+KNOWN = "array<binary>"
 
 
-def _squeezed(x: np.ndarray) -> bytes:
-    """Small numbers, compressed byte by byte of each."""
-    return zlib.compress(np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def _bound(no: np.ndarray, c: np.ndarray, said: np.ndarray) -> bytes:
+    """Words' numbers in a chunk, their training counts and what counts say of their ids, end to
+    end: compressed, equal bytes of neighbours side by side."""
+    flat = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+    return zlib.compress(np.int64(len(no)).tobytes() + flat(no) + flat(c) + flat(said), 1)
 
 
-def _loose(data: bytes) -> bytes:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).tobytes()
+def _unbound(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    n, at, out = int(raw[:8].view(np.int64)[0]), 8, []
+    for kind, stop in ((np.dtype(np.int32), 8 + 4 * n), (np.dtype(np.int64), 8 + 12 * n), (SAID, len(raw))):
+        out.append(np.ascontiguousarray(raw[at:stop].reshape(kind.itemsize, -1).T).reshape(-1).view(kind))
+        at = stop
+    return tuple(out)
 
 
-KNOWN = "array<struct<no:int,c:long,said:binary>>"
+def _bundles(batches):
+    """Of rows (chunk, no, c, said), those of each chunk that a task has together."""
+    held: list = []
+
+    def out():
+        chunk, no, c, sizes = (np.concatenate([x[k] for x in held]) for k in range(4))
+        said = np.concatenate([x[4] for x in held]).view(SAID)
+        held.clear()
+        sizes //= SAID.itemsize
+        by = np.argsort(chunk, kind="stable")
+        chunk, no, c, first, sizes = chunk[by], no[by], c[by], (np.cumsum(sizes) - sizes)[by], sizes[by]
+        key, at = np.unique(chunk, return_index=True)
+        at = np.append(at, len(chunk))
+        for lo in range(0, len(key), 64):
+            k = range(lo, min(lo + 64, len(key)))
+            rows = [_bound(no[s:e], c[s:e], said[spans(first[s:e], sizes[s:e])]) for s, e in ((at[i], at[i + 1]) for i in k)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 64]), pa.array(rows, pa.binary())], ["chunk", "data"])
+
+    for b in batches:
+        said, sizes = _bytes_of(b.column("said"))
+        # A copy: what is held would keep the batch's buffers.
+        held.append((*(b.column(k).to_numpy().copy() for k in ("chunk", "no", "c")), sizes, said.copy()))
+        if sum(len(x[0]) for x in held) > 4 * WORDS:
+            yield from out()
+    if held:
+        yield from out()
 
 
 def _met(chunks: DataFrame, said: DataFrame, most: int) -> tuple[DataFrame, Hot]:
-    """The chunks with where their words are among the hot ones, and what counts say of the others."""
+    """The chunks with what counts say of their words that are not hot, and the hot ones."""
     spark, least, kept = chunks.sparkSession, math.inf, 0
     for n, k in sorted(((r.many, r.k) for r in said.groupBy(F.least("many", F.lit(1 << 12)).alias("many")).agg(F.count("*").alias("k")).collect()), reverse=True):
         kept += k
@@ -697,17 +732,6 @@ def _met(chunks: DataFrame, said: DataFrame, most: int) -> tuple[DataFrame, Hot]
         hot = Hot((said.where(F.col("many") >= least) if least < math.inf else said.limit(0)).select("hash", "c", "said").toArrow())
     shared = spark.sparkContext.broadcast(hot.hash)
 
-    names = ["chunk", "docs", "held", *NAMES]
-
-    def where(batches):
-        h = Hot.__new__(Hot)
-        h.hash = shared.value
-        for b in batches:
-            for i in range(b.num_rows):
-                at = h.at(b.column("hash")[i].values.to_numpy().view(np.uint64))
-                row = [b.column(k).slice(i, 1) if k not in SQUEEZED else pa.array([_squeezed(np.frombuffer(b.column(k)[i].as_py(), np.int32))], pa.binary()) for k in names]
-                yield pa.RecordBatch.from_arrays([*row, pa.array([_squeezed(at)], pa.binary())], [*names, "hot"])
-
     def rest(batches):
         h = Hot.__new__(Hot)
         h.hash = shared.value
@@ -719,35 +743,34 @@ def _met(chunks: DataFrame, said: DataFrame, most: int) -> tuple[DataFrame, Hot]
                     some = no[lo : lo + PIECE]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b.column("chunk")[i].as_py())), pa.array(some.astype(np.int32)), pa.array(own[some])], ["chunk", "no", "hash"])
 
-    placed = chunks.select(*names, "hash").mapInArrow(where, ", ".join(x for x in ENCODED.split(", ") if x.split()[0] in names) + ", hot binary")
     if least <= 1:
-        return placed.withColumn("known", F.lit(None).cast(KNOWN)), hot
+        return chunks.withColumn("known", F.lit(None).cast(KNOWN)), hot
     cold = said.where(F.col("many") < least).select("hash", "c", "said") if least < math.inf else said.select("hash", "c", "said")
-    known = chunks.select("chunk", "hash").mapInArrow(rest, "chunk long, no int, hash long").join(cold, "hash").groupBy("chunk").agg(F.collect_list(F.struct("no", "c", "said")).alias("known"))
-    # Chunks are not stored again: each of the passes that need counts sends them to these.
-    known = stored(known, "known")
+    known = chunks.select("chunk", "hash").mapInArrow(rest, "chunk long, no int, hash long").join(cold, "hash").select("chunk", "no", "c", "said")
+    # Chunks are in buckets as these are: the passes that need counts read both as they lie.
+    with batches_of(spark, 20_000):
+        known = bucketed(known.mapInArrow(_bundles, "chunk long, data binary").groupBy("chunk").agg(F.collect_list("data").alias("known")), "known", "chunk")
     freed(spark)
-    return placed.repartition(spread(spark), "chunk").join(known, "chunk", "left"), hot
+    gone(said)
+    return chunks.join(known, "chunk", "left"), hot
 
 
 def _rows(batches, model: Model, hot: Hot):
     """Chunks with their words' training counts and what counts say of their ids."""
     for b in batches:
         for i in range(b.num_rows):
-            row = {k: b.column(k)[i].as_py() for k in b.schema.names if k != "known"}
-            row |= {k: _loose(row[k]) for k in (*SQUEEZED, "hot")}
+            row = {k: b.column(k)[i].as_py() for k in b.schema.names if k not in ("hash", "known")}
             chunk = Chunk(row, model.end)
-            at, size = np.frombuffer(row["hot"], np.int32), chunk.sizes
+            at, size = hot.at(b.column("hash")[i].values.to_numpy().view(np.uint64)), chunk.sizes
             first = np.cumsum(size) - size
             c, said = np.zeros(len(size)), np.zeros(len(chunk.pieces), SAID)
             no = np.flatnonzero(at >= 0)
             c[no] = hot.c[at[no]]
             said[spans(first[no], size[no])] = hot.said[spans(hot.first[at[no]], size[no])]
-            known, found = b.column("known")[i].values, len(no)
-            if known is not None and len(known):
-                no = known.field("no").to_numpy()
-                c[no] = known.field("c").to_numpy()
-                said[spans(first[no], size[no])] = _bytes_of(known.field("said"))[0].view(SAID)
+            found = len(no)
+            for data in b.column("known")[i].as_py() or ():
+                no, counts, own = _unbound(data)
+                c[no], said[spans(first[no], size[no])] = counts, own
                 found += len(no)
             if found != len(size):
                 raise RuntimeError(f"{len(size) - found} words of a chunk have no counts")
@@ -794,6 +817,7 @@ def _learnt(chunks: DataFrame, words: DataFrame, opens: np.ndarray, rounds: int,
         model.set_topics(counts)
     freed(spark)
     said = _said(words, words.count(), model)
+    gone(words)
     freed(spark)
     met, hot = _met(chunks, said, most)
     freed(spark)
@@ -823,7 +847,7 @@ def _learnt(chunks: DataFrame, words: DataFrame, opens: np.ndarray, rounds: int,
                 done += len(block)
             yield np.concatenate([[done], *((done * (m.weights[c] - shared.value.weights[c])).reshape(-1) for c in names)])
 
-        total = total_of(met.select(*NAMES, "hot", "known"), train, 1 + sum(w.size for w in model.weights.values()), parts=1)
+        total = total_of(met.select(*NAMES, "hash", "known"), train, 1 + sum(w.size for w in model.weights.values()), parts=1)
         shared.destroy()
         at = 1
         for c in names:
@@ -867,7 +891,7 @@ def _chunked(docs: DataFrame, held: Column, tokenizer: str) -> tuple[DataFrame,
     lines = [r.value.encode() for r in spark.read.text(tokenizer).collect()] if "://" in tokenizer else open(tokenizer, "rb").read().splitlines()
     read = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     ranks, opens = spark.sparkContext.broadcast(read), starts_word(read)
-    return stored(encoded(docs, held, ranks), "chunks"), opens
+    return bucketed(encoded(docs, held, ranks), "chunks", "chunk"), opens
 
 
 def _scored(chunks: DataFrame, opens: np.ndarray, rounds: int, most: int) -> DataFrame:
@@ -894,4 +918,4 @@ def _scored(chunks: DataFrame, opens: np.ndarray, rounds: int, most: int) -> Dat
             out = [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(size), pa.array(known), pa.array(np.full(len(size), n)), pa.array(np.bincount(doc, logs, len(size))), pa.array(own)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return met.select("docs", "held", *NAMES, "hot", "known").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return met.select("docs", "held", *NAMES, "hash", "known").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

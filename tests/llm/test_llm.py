@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -264,6 +265,28 @@ def test_lm_counts_are_whole_across_parts_and_joins(spark, monkeypatch):
     assert len(scores[0]) == 60 and all(np.isclose(scores[0][i], s[i]) for s in scores[1:] for i in s)
 
 
+def test_lm_chunks_meet_counts_where_they_lie(spark):
+    """What counts say of words is in the chunks' buckets: passes neither send nor store chunks again."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 97}" for k in range(50))) for i in range(60)], "doc_id long, text string").repartition(3, "doc_id")
+    chunks, opens = lm._chunked(docs, F.col("doc_id") % 10 == 0, lm.TOKENIZER)
+    words = lm.stored(lm._words(chunks), "words")
+    kept = words.inputFiles()[0].rpartition("/")[0].removeprefix("file:")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, met, hot = lm._learnt(chunks, words, opens, 0, 10)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert sum(map(len, (r.known or [] for r in met.select("known").collect()))) > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not os.path.exists(kept)  # the words' table goes once counts are known
+
+    said = np.zeros(5, lm.SAID)
+    said["p"], said["b"] = np.arange(5) / 7, 3
+    got = lm._unbound(lm._bound(np.array([4, 9], np.int32), np.array([1, 1 << 40]), said))
+    assert got[0].tolist() == [4, 9] and got[1].tolist() == [1, 1 << 40] and got[2].tobytes() == said.tobytes()
+
+
 def test_attention_learns_from_all_training_ids_and_no_others(spark):
     c = chunk_of([[(i % 40,) for i in range(n)] for n in (1, 700, 32, 33, 5)], 99)
     c.learn = np.array([True, True, False, True, True])
