@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
@@ -234,18 +235,32 @@ def unfold(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mapping,
     variables = list(dict.fromkeys(x for p in patterns for x in p if is_variable(x)))
     if not entail:
         return _unfolded(spark, tables, mapping, patterns, variables, False)
-    parts, ways = [], 0
+    by_patterns: dict[tuple, list[dict]] = {}
     for some, given in _rewritings(mapping, patterns):
-        ways += 1
         if all(candidates(mapping, tables, p, True) for p in some):
-            found = _unfolded(spark, tables, mapping, some, list(dict.fromkeys(x for p in some for x in p if is_variable(x))), True)
-            parts.append(found.select(*(F.lit(given[v]).alias(v[1:]) if v in given else F.col(v[1:]) for v in variables)))
-    if not parts:
-        return _none(spark, variables)
-    out = parts[0]
-    for df in parts[1:]:
-        out = out.unionByName(df)
-    return out if ways == 1 else out.distinct()
+            by_patterns.setdefault(tuple(some), []).append(given)
+    # Each way once, for all classes that it gives: (rows, their variables' shapes, classes).
+    ways, seen = [], Counter()
+    for some, givens in by_patterns.items():
+        asked = [v for v in variables if v not in givens[0]]
+        for chosen, shapes in _combinations([candidates(mapping, tables, p, True) for p in some], list(some)):
+            df, is_set = _combined(spark, tables, mapping, list(some), chosen, asked, shapes.keys() > set(asked))
+            keys = [tuple(("iri", (given[v],)) if v in given else shapes[v] for v in variables) for given in givens]
+            ways.append((df if is_set else df.distinct(), givens, keys))
+            seen.update(keys)
+    # Only what another way may give too is made distinct again.
+    parts: dict[bool, DataFrame] = {}
+    for df, givens, keys in ways:
+        for again in {seen[k] > 1 for k in keys}:
+            rows, own = df, [given for given, k in zip(givens, keys) if (seen[k] > 1) == again]
+            if own[0]:
+                rows = df.withColumn("_given", F.explode(F.array(*(F.struct(*(F.lit(c).alias(v[1:]) for v, c in given.items())) for given in own))))
+            rows = rows.select(*(F.col("_given")[v[1:]].alias(v[1:]) if v in own[0] else F.col(v[1:]) for v in variables))
+            parts[again] = parts[again].unionByName(rows) if again in parts else rows
+    if True in parts:
+        parts[True] = parts[True].distinct()
+    out = [parts[k] for k in sorted(parts)]
+    return out[0].unionByName(out[1]) if len(out) == 2 else out[0] if out else _none(spark, variables)
 
 
 def _none(spark: SparkSession, variables: list[str]) -> DataFrame:
@@ -300,7 +315,9 @@ def _unfolded(spark: SparkSession, tables: dict[str, DataFrame], mapping: Mappin
     return out if apart else out.distinct()
 
 
-def _combined(spark, tables, mapping, patterns, chosen, variables) -> tuple[DataFrame, bool]:
+def _combined(spark, tables, mapping, patterns, chosen, variables, fewer: bool = False) -> tuple[DataFrame, bool]:
+    """The rows of a choice and whether they are a set; with ``fewer`` variables than the patterns
+    have, rows are made one on the columns of these."""
     scans: list[Scan] = []
     for (s, _, o), c in zip(patterns, chosen):
         subject, other = (o, s) if c.swapped else (s, o)
@@ -327,6 +344,9 @@ def _combined(spark, tables, mapping, patterns, chosen, variables) -> tuple[Data
                 on += _same(a, b, out, right)
         out = out.join(right, on)
         done.add(nxt)
+    if fewer:
+        own = dict.fromkeys(f"_{k}_{c}" for k, t in (terms[v][0] for v in variables) for c in t.columns)
+        out = out.select(*own).distinct() if own else out.limit(1)
     return out.select(*(terms[v][0][1].value(f"_{terms[v][0][0]}_").alias(v[1:]) for v in variables)), is_set
 
 

@@ -156,6 +156,16 @@ def test_unfolded_stars_read_a_table_once(spark, tables):
     assert "Join" not in plan and "Aggregate" not in plan and plan.count("LogicalRDD") <= 1
 
 
+def test_unfolded_types_of_a_rule_are_made_once_for_all_its_classes(spark):
+    tables = {"person": spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "id int, name string")}
+    m = Mapping((TriplesMap("person", "person", ":p/{id}", (":Person",), ((":name", Literal("name")),), key=True),), subclasses=((":Named", ":Thing"),), domains=((":name", ":Named"),))
+    got = unfold(spark, tables, m, [("?x", "a", "?c")], True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2 and plan.count("Aggregate") == 1  # direct types are a set
+    want = {(f":p/{r.id}", c) for r in tables["person"].collect() for c in ([":Person"] + [":Named", ":Thing"] * (r.name is not None))}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_profile_keys_and_patterns(spark, tables):
     p = {r.column: r for r in P.profile(tables["person"], ["id", "name"]).collect()}
     assert (p["id"].total, p["id"].non_null, p["id"].n_distinct, p["id"].top) == (5, 4, 3, "3")
