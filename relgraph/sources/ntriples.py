@@ -40,21 +40,23 @@ def full_iri(term: Column, prefixes: dict[str, str] | None = None, base: str = B
     return out
 
 
-def line(prefixes: dict[str, str] | None = None, base: str = BASE) -> Column:
-    """The N-Triples line of a row (s, p, o, o_kind, o_datatype); null if a term is."""
-    iri = lambda c: F.concat(F.lit("<"), _escaped(full_iri(F.col(c), prefixes, base), _NOT_IN_IRI), F.lit(">"))
+def lines(graph: DataFrame, prefixes: dict[str, str] | None = None, base: str = BASE) -> DataFrame:
+    """The N-Triples line (value) of each row (s, p, o, o_kind, o_datatype); null if a term is. Each
+    step is a projection of its own, lest Spark work out a term wherever it is looked at."""
     text = F.col("o")
     for char, mark in _LITERAL:
         text = F.replace(text, F.lit(char), F.lit(mark))
-    text = F.concat(F.lit('"'), _escaped(text, _CONTROL), F.lit('"'))
-    kind = F.col("o_datatype")
-    literal = F.when(kind.isNull() | (kind == "xsd:string"), text).otherwise(F.concat(text, F.lit("^^"), iri("o_datatype")))
-    return F.concat(iri("s"), F.lit(" "), iri("p"), F.lit(" "), F.when(F.col("o_kind") == "iri", iri("o")).otherwise(literal), F.lit(" ."))
+    is_iri = F.col("o_kind") == "iri"
+    full = lambda c: full_iri(F.col(c), prefixes, base)
+    rows = graph.select(full("s").alias("s"), full("p").alias("p"), F.when(is_iri, full("o")).otherwise(text).alias("o"), "o_kind", F.when(F.col("o_datatype") != "xsd:string", full("o_datatype")).alias("o_datatype"))
+    iri = lambda c: F.concat(F.lit("<"), _escaped(F.col(c), _NOT_IN_IRI), F.lit(">"))
+    literal = F.concat(F.lit('"'), _escaped(F.col("o"), _CONTROL), F.lit('"'), F.when(F.col("o_datatype").isNull(), "").otherwise(F.concat(F.lit("^^"), iri("o_datatype"))))
+    return rows.select(F.concat(iri("s"), F.lit(" "), iri("p"), F.lit(" "), F.when(is_iri, iri("o")).otherwise(literal), F.lit(" .")).alias("value"))
 
 
 def write(graph: DataFrame, path: str, prefixes: dict[str, str] | None = None, base: str = BASE) -> None:
     """The graph as N-Triples files in the folder ``path``, which must not exist."""
-    graph.select(line(prefixes, base).alias("value")).where("value is not null").write.text(path)
+    lines(graph, prefixes, base).where("value is not null").write.text(path)
 
 
 def write_by_predicate(graph: DataFrame, path: str, per_file: int = 10_000_000) -> None:
@@ -70,7 +72,8 @@ def read_by_predicate(spark: SparkSession, path: str, predicates: list[str] | No
 
 
 def _plain(text: Column) -> Column:
-    """Text without its escapes, in one pass over its pieces."""
+    """Text without its escapes: between escaped backslashes the frequent ones are replaced; text with
+    others goes through its pieces one by one."""
     pieces = F.regexp_extract_all(text, F.lit(r"(?s)(\\u[0-9A-Fa-f]{4}|\\.|[^\\]+)"), F.lit(1))
 
     def one(x: Column) -> Column:
@@ -80,7 +83,13 @@ def _plain(text: Column) -> Column:
         out = F.when(x.startswith("\\u"), F.char(F.conv(F.substr(x, F.lit(3)), 16, 10).cast("int"))).otherwise(out)
         return F.when(x.startswith("\\"), out).otherwise(x)
 
-    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+    def frequent(x: Column) -> Column:
+        for char, mark in _LITERAL[1:]:
+            x = F.replace(x, F.lit(mark), F.lit(char))
+        return x
+
+    few = F.array_join(F.transform(F.split(text, r"\\\\"), frequent), "\\")
+    return F.when(~F.contains(text, F.lit("\\")), text).when(text.rlike(r'\\([^\\"nrt]|$)'), F.array_join(F.transform(pieces, one), "")).otherwise(few)
 
 
 def short_iri(iri: Column, prefixes: dict[str, str] | None = None, base: str = BASE) -> Column:
@@ -94,12 +103,20 @@ def short_iri(iri: Column, prefixes: dict[str, str] | None = None, base: str = B
 def read(spark: SparkSession, path: str, prefixes: dict[str, str] | None = None, base: str = BASE) -> DataFrame:
     """The graph of N-Triples files; comments and empty lines are passed over. A language tag stays
     out, since graphs here have none."""
-    rows = spark.read.text(path, lineSep="\n")
-    term = lambda k: F.regexp_extract("value", r'^\s*<([^>]*)>\s*<([^>]*)>\s*(?:<([^>]*)>|"((?:[^"\\]++|\\.)*+)"(?:\^\^<([^>]*)>|@[A-Za-z0-9-]+)?)\s*\.', k)
-    rows = rows.where(F.col("value").rlike(r"^\s*<"))
-    is_iri = F.col("value").rlike(r"^\s*<[^>]*>\s*<[^>]*>\s*<")
-    short = lambda k: short_iri(_plain(term(k)), prefixes, base)
+    # All terms of a line by one match, put end to end by what no line has.
+    whole = r'^\s*<([^>]*)>\s*<([^>]*)>\s*(?:(<)([^>]*)>|"((?:[^"\\]++|\\.)*+)"(?:\^\^<([^>]*)>|@[A-Za-z0-9-]+)?)\s*\.[\s\S]*'
+    rows = spark.read.text(path, lineSep="\n").where(F.col("value").rlike(r"^\s*<"))
+    rows = rows.select("value", F.split(F.regexp_replace("value", whole, "$1\n$2\n$3\n$4\n$5\n$6"), "\n").alias("_t"))
+    term = lambda k: F.coalesce(F.get("_t", F.lit(k)), F.lit(""))
+    matched = F.size("_t") == 6
+    is_iri = F.when(matched, term(2) == "<").otherwise(F.col("value").rlike(r"^\s*<[^>]*>\s*<[^>]*>\s*<"))
+    rows = rows.select(F.when(matched, term(0)).otherwise("").alias("s"), *(term(k).alias(c) for k, c in ((1, "p"), (3, "_iri"), (4, "_text"), (5, "_type"))), is_iri.alias("_is_iri"))
+    # Each step is a projection of its own, lest Spark work out a term wherever it is looked at.
+    object_ = F.when(F.col("_is_iri"), F.col("_iri")).otherwise(F.col("_text"))
+    rows = rows.select("s", "p", object_.alias("o"), "_type", "_is_iri")
+    rows = rows.select(*(_plain(F.col(c)).alias(c) for c in ("s", "p", "o", "_type")), "_is_iri")
+    short = lambda c: short_iri(F.col(c), prefixes, base)
     return rows.select(
-        short(1).alias("s"), short(2).alias("p"), F.when(is_iri, short(3)).otherwise(_plain(term(4))).alias("o"),
-        F.when(is_iri, "iri").otherwise("literal").alias("o_kind"), F.when(~is_iri, F.nullif(short(5), F.lit(""))).alias("o_datatype"),
+        short("s").alias("s"), short("p").alias("p"), F.when(F.col("_is_iri"), short("o")).otherwise(F.col("o")).alias("o"),
+        F.when(F.col("_is_iri"), "iri").otherwise("literal").alias("o_kind"), F.when(~F.col("_is_iri"), F.nullif(short("_type"), F.lit(""))).alias("o_datatype"),
     )

@@ -243,3 +243,19 @@ def test_keys_are_tested_in_all_parts_of_their_hashes(spark):
     assert C._is_key(rows, ("a", "b")) and not C._is_key(rows, ("b",))
     for some in (part, ~part):
         assert not C._is_key(rows.unionByName(rows.where(some).limit(1)), ("a", "b"))
+
+
+def test_ntriples_lines_are_matched_once_and_unescaped(spark, tmp_path):
+    """Runs of backslashes, frequent and rare escapes, an empty literal and an empty IRI, line ends, comments with quotes."""
+    bs = chr(92)
+    texts = [bs * 2 + "n", bs * 3 + "n", bs * 5 + '"', bs + "t" + bs + "u0041" + bs * 2 + "u0041", bs + "b", "", "x" + bs * 2]
+    lines = [f'<urn:graph:s{k}> <urn:graph:p> "{t}" . # "c" <z>' for k, t in enumerate(texts)]
+    lines += ["<urn:graph:i> <urn:graph:p> <> .\r", "# no triple", '<urn:graph:d> <urn:graph:p> "1"^^<http://www.w3.org/2001/XMLSchema#integer> .']
+    (tmp_path / "g.nt").write_bytes("\n".join(lines).encode())
+    df = ntriples.read(spark, str(tmp_path / "g.nt"))
+    got = {r.s: (r.o, r.o_kind, r.o_datatype) for r in df.collect()}
+    want = [bs + "n", bs + "\n", bs * 2 + '"', "\tA" + bs + "u0041", "b", "", "x" + bs]
+    assert [got[f":s{k}"] for k in range(len(texts))] == [(x, "literal", None) for x in want]
+    assert got[":i"][:2] == ("", "iri") and got[":d"] == ("1", "literal", "xsd:integer") and len(got) == len(texts) + 2
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 0 and plan.count("regexp_replace(") == 1
