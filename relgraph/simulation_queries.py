@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relgraph.functions.terms import RDF_TYPE
 from relgraph.operators import materialize as M
 from relgraph.operators import simulation as S
 from relgraph.plans.mapping import Mapping
@@ -22,11 +23,16 @@ INVERSES = ((":placedBy", ":placed"), (":inNation", ":home"))
 SUBCLASSES = ((":OpenOrder", ":Order"),)
 
 
-def _simulated(spark: SparkSession, sf_dir: str, mapping: Mapping, entail: bool) -> DataFrame:
+def _simulated(spark: SparkSession, sf_dir: str, mapping: Mapping, entail: bool, asked: set[str] | None = None) -> DataFrame:
+    """All expectations; with ``asked`` those on links and inverses of these properties, for which only
+    these, the ones that they turn round and types are made."""
     from relgraph.queries import tables
 
     t = tables(spark, sf_dir)
-    graph = M.entail(spark, t, mapping) if entail else M.triples(spark, t, mapping)
+    only = None if asked is None else asked | {RDF_TYPE} | {x for pair in INVERSES if asked & set(pair) for x in pair}
+    classes = None if asked is None else {c for _, c in CLASSES}
+    graph = M.entail(spark, t, mapping, only, classes) if entail else M.triples(spark, t, mapping, only)
+    graph = graph if asked is None else graph.where((F.col("p") != RDF_TYPE) | F.col("o").isin(sorted(classes)))
     frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
     # Each column is expected as a data property of its table's class.
     data = [(":" + c.split("_", 1)[1], "data", cls, None) for name, cls in CLASSES for c in t[name].columns]
@@ -38,7 +44,8 @@ def _simulated(spark: SparkSession, sf_dir: str, mapping: Mapping, entail: bool)
         "inverses": frame(INVERSES, "a b"),
     }
     weak = frame([(":Customer", ":segment"), (":Customer", ":phone")], "class property")
-    return S.simulated(graph, frame(CLASSES, "table class"), onto, frame(REFERENCES, "table parent"), frame(BRIDGES, "subject object"), weak, frame(HIDDEN, "table class"))
+    out = S.simulated(graph, frame(CLASSES, "table class"), onto, frame(REFERENCES, "table parent"), frame(BRIDGES, "subject object"), weak, frame(HIDDEN, "table class"))
+    return out if asked is None else out.where(F.col("kind").isin("link", "inverse") & F.col("property").isin(sorted(asked)))
 
 
 def mapping_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +60,9 @@ def mapping_mended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     plain = replace(STAR, inverses=(), existentials=())
     keys = {("supplier", "nation"): (("s_nationkey", "n_nationkey"),), ("customer", "nation"): (("c_nationkey", "n_nationkey"),)}
-    fixed, new = S.mended(plain, _simulated(spark, sf_dir, plain, False), keys)
-    return _simulated(spark, sf_dir, fixed, True).where(F.col("kind").isin("link", "inverse") & F.col("property").isin(sorted(new)))
+    every = {p for p, _, _ in LINKS} | {p for pair in INVERSES for p in pair}
+    fixed, new = S.mended(plain, _simulated(spark, sf_dir, plain, False, every), keys)
+    return _simulated(spark, sf_dir, fixed, True, new)
 
 
 def queries() -> dict:

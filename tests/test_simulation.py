@@ -1,5 +1,6 @@
 """Expectations of a mapping, each kind in each state, and what mending adds."""
 
+import pytest
 from relgraph.operators import materialize as M
 from relgraph.operators import simulation as S
 from relgraph.plans.mapping import Literal, Mapping, Reference, TriplesMap
@@ -47,3 +48,15 @@ def test_mending_adds_links_and_inverses(spark):
     tables = {"a": spark.createDataFrame([(1, 5)], "i int, b int"), "b": spark.createDataFrame([(5, 1), (6, 9)], "i int, a int")}
     rows = {(r.s, r.p, r.o) for r in M.entail(spark, tables, fixed).collect()}
     assert {(":b/5", ":ba", ":a/1"), (":b/5", ":back", ":a/1"), (":a/1", ":ab", ":b/5")} <= rows and not any(s == ":b/6" and p == ":ba" for s, p, _ in rows)
+
+
+def test_mending_makes_only_the_triples_that_links_and_inverses_need(spark, monkeypatch):
+    from relgraph import simulation_queries as Q
+
+    def made(spark, tables, mapping, only=None):
+        assert only is not None and ":name" not in only and {":placedBy", ":placed", "rdf:type"} <= only
+        raise InterruptedError
+
+    monkeypatch.setattr(Q.M, "triples", made)
+    with pytest.raises(InterruptedError):
+        Q.mapping_mended(spark, "/root/testdata/sf0.001")
