@@ -27,7 +27,8 @@ arrays of bounded size. Counts are all kept, none by a task alone: distinct word
 ranges of their ids, so that what follows a word's ids so far is counted within a part, but for
 the few contexts that a border cuts, which are summed; what follows a last id is summed by pairs.
 Each distinct word then has what counts say of its ids (``SAID``). The words of most chunks,
-``HOT`` at most, go to all tasks, the others' to the chunks that have them, by a join.
+``HOT`` at most, go to all tasks, the others' to the chunks that have them, by ranges of hashes.
+Words travel many in a row, as compressed arrays.
 
 Defined cases: a null or empty text is its end alone; without training documents nothing is
 known and all ids of a kind are as likely; rows with equal doc_id are scored row by row
@@ -39,8 +40,8 @@ from __future__ import annotations
 
 import base64
 import math
-import zlib
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.llm import words as W
-from relgraph.llm.common import batches_of, bucketed, freed, gone, stored, total_of
+from relgraph.llm.common import batches_of, bucketed, freed, gone, spread, stored, total_of
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -134,7 +135,7 @@ def spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-ENCODED = "chunk long, docs array<long>, held array<boolean>, learn array<boolean>, first binary, words binary, hash array<long>, n array<int>, ids binary, sizes binary"
+ENCODED = "chunk long, docs array<long>, held array<boolean>, learn array<boolean>, first binary, words binary, hash binary, n binary, ids binary, sizes binary"
 
 
 def encoded(docs: DataFrame, held: Column, ranks) -> DataFrame:
@@ -154,9 +155,7 @@ def encoded(docs: DataFrame, held: Column, ranks) -> DataFrame:
                 pieces, sizes = known.cut(h, lambda k: [data[s:e] for s, e in zip(w.start[at[k]], w.end[at[k]])], ranks)  # noqa: B023
                 row = [(TaskContext.get().partitionId() << 32) + no, ids.to_pylist(), held_out.to_pylist(), learn.tolist(), w.first.astype(np.int64).tobytes(), number.astype(np.int32).tobytes()]
                 lists = [pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.binary(), pa.binary()])]
-                whole = [0, len(h)]
-                lists += [pa.ListArray.from_arrays(pa.array(whole, pa.int32()), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(whole, pa.int32()), pa.array(n))]
-                lists += [pa.array([x.tobytes()], pa.binary()) for x in (pieces, sizes)]
+                lists += [pa.array([x], pa.binary()) for x in (_tied(_steps(h)), n.tobytes(), pieces.tobytes(), sizes.tobytes())]
                 yield pa.RecordBatch.from_arrays(lists, [x.split()[0] for x in ENCODED.split(", ")])
                 no += 1
 
@@ -410,10 +409,17 @@ class Chunk:
         # Each text's ids in blocks of BLOCK, the last one padded by a place behind all ids.
         self.blocks = -(-self.n // BLOCK)
         self.block_first = np.cumsum(self.blocks) - self.blocks
+
+    @cached_property
+    def padded(self) -> np.ndarray:
         slot = np.arange(len(self.ids)) + np.repeat(self.block_first * BLOCK - self.begins, self.n)
-        self.padded = np.full(int(self.blocks.sum()) * BLOCK, len(self.ids), np.int32)
-        self.padded[slot] = np.arange(len(self.ids), dtype=np.int32)
-        self.real = self.padded < len(self.ids)
+        out = np.full(int(self.blocks.sum()) * BLOCK, len(self.ids), np.int32)
+        out[slot] = np.arange(len(self.ids), dtype=np.int32)
+        return out
+
+    @cached_property
+    def real(self) -> np.ndarray:
+        return self.padded < len(self.ids)
 
     def windows(self, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """Consecutive windows (m, 2 * STRIDE) over the blocks of the texts to learn, every
@@ -443,41 +449,96 @@ def _summed(c: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
     return c[at], x[at], np.bincount(to, n, len(key))
 
 
+def _tied(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value, equal bytes of neighbours side by side."""
+    flat = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+    raw = np.array([len(x) for x in arrays], np.int64).tobytes() + b"".join(flat(x) for x in arrays)
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _untied(data: bytes, *kinds) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data[8:], int(np.frombuffer(data, np.int64, 1)[0]), "zstd"), np.uint8)
+    at, out = 8 * len(kinds), []
+    for kind, n in zip(map(np.dtype, kinds), np.frombuffer(raw, np.int64, len(kinds))):
+        stop = at + int(n) * kind.itemsize
+        out.append(np.ascontiguousarray(raw[at:stop].reshape(kind.itemsize, -1).T).reshape(-1).view(kind))
+        at = stop
+    return out
+
+
+def _ranges(h: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of all hashes begins among sorted ones, and their end."""
+    return np.searchsorted((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers, which ``np.cumsum`` of their kind undoes."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _hashes(data: bytes) -> np.ndarray:
+    """A chunk's words' hashes, ascending."""
+    return np.cumsum(_untied(data, np.uint64)[0], dtype=np.uint64)
+
+
+#: Words as arrays: hash, training count, chunks that have them, how many ids, ids end to end.
+WORD = np.uint64, np.int64, np.int64, np.int32, np.int32
+
+
+def _dealt(rows: tuple[np.ndarray, ...], at: np.ndarray) -> pa.RecordBatch:
+    """Words (arrays as ``WORD`` says) cut at ``at``, a row for each part that has some."""
+    h, n, many, sizes, ids = rows
+    first = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    some = np.flatnonzero(np.diff(at))
+    cells = [_tied(_steps(h[s:e]), n[s:e], many[s:e], sizes[s:e], ids[first[s] : first[e]]) for s, e in zip(at[some], at[some + 1])]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells, pa.binary())], ["part", "data"])
+
+
+def _together(cells: pa.ChunkedArray) -> list[np.ndarray]:
+    """What ``_dealt`` has cut, end to end."""
+    got = [_untied(x.as_py(), *WORD) for x in cells]
+    return [np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got]), *(np.concatenate([x[k] for x in got]) for k in range(1, 5))]
+
+
+def _distinct(h: np.ndarray, n: np.ndarray, many: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each word once, by its hash, with the sums of its counts."""
+    key, at, to = np.unique(h, return_index=True, return_inverse=True)
+    size, first = sizes[at], (np.cumsum(sizes, dtype=np.int64) - sizes)[at]
+    return key, np.bincount(to, n, len(key)).astype(np.int64), np.bincount(to, many, len(key)).astype(np.int64), size, ids[spans(first, size)]
+
+
 def _words(chunks: DataFrame) -> DataFrame:
     """(hash, c, many, ids) of all distinct words: training count, chunks that have the word, its
-    ids as big-endian bytes, whose order is that of the ids."""
+    ids as big-endian bytes, whose order is that of the ids. Words travel by ranges of their
+    hashes, those of some chunks together."""
+    all_words = chunks.agg(F.sum(F.octet_length("sizes"))).first()[0] or 0
+    parts = max(spread(chunks.sparkSession), -(-all_words // (16 * WORDS)))
 
-    def distinct(batches):
+    def some(batches):
         held: list = []
 
         def rows():
-            h, n, many, sizes = (np.concatenate([x[k] for x in held]) for k in range(4))
-            ids = np.concatenate([x[4] for x in held])
-            key, at, to = np.unique(h, return_index=True, return_inverse=True)
-            first = np.cumsum(sizes, dtype=np.int64) - sizes
-            size = sizes[at]
-            data = ids[spans(first[at], size)].astype(">i4")
-            held[:] = [(key, np.bincount(to, n, len(key)).astype(np.int64), np.bincount(to, many, len(key)).astype(np.int64), size, data.astype(np.int32))]
-            return key, *held[0][1:3], _cells(size * 4, data)
-
-        def out():
-            h, n, many, ids = rows()
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(many), ids], ["hash", "c", "many", "ids"])
+            held[:] = [_distinct(*(np.concatenate([x[k] for x in held]) for k in range(5)))]
+            return held[0]
 
         for b in batches:
             for i in range(b.num_rows):
-                ids, sizes = (np.frombuffer(b.column(c)[i].as_py(), np.int32) for c in ("ids", "sizes"))
-                n = b.column("n")[i].values.to_numpy()
+                n, ids, sizes = (np.frombuffer(b.column(c)[i].as_py(), np.int32) for c in ("n", "ids", "sizes"))
+                h = _hashes(b.column("hash")[i].as_py())
                 if len(n):
-                    held.append((b.column("hash")[i].values.to_numpy().view(np.uint64), n.astype(np.int64), np.ones(len(n), np.int64), sizes, ids))
+                    held.append((h, n.astype(np.int64), np.ones(len(n), np.int64), sizes, ids))
                 if sum(len(x[0]) for x in held) > 4 * WORDS:
-                    yield out()
+                    yield _dealt(rows(), _ranges(held[0][0], parts))
+                    held.clear()
         if held:
-            yield out()
+            yield _dealt(rows(), _ranges(held[0][0], parts))
+
+    def whole(t: pa.Table) -> pa.Table:
+        key, n, many, sizes, ids = _distinct(*_together(t.column("data")))
+        return pa.Table.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(many), _cells(sizes * 4, ids.astype(">i4"))], ["hash", "c", "many", "ids"])
 
-    some = chunks.select("hash", "n", "ids", "sizes").mapInArrow(distinct, "hash long, c long, many long, ids binary")
-    return some.groupBy("hash").agg(F.sum("c").alias("c"), F.sum("many").alias("many"), F.first("ids").alias("ids"))
+    dealt = chunks.select("hash", "n", "ids", "sizes").mapInArrow(some, "part int, data binary")
+    return dealt.groupBy("part").applyInArrow(whole, "hash long, c long, many long, ids binary")
 
 
 def _cells(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
@@ -495,7 +556,7 @@ def _bytes_of(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
-PARTS = "part int, hash binary, c binary, ids binary, sizes binary, low binary, high binary"
+PARTS = "part int, hash binary, c binary, many binary, ids binary, sizes binary, low binary, high binary"
 
 
 def _part(row: dict) -> tuple[np.ndarray, ...]:
@@ -568,23 +629,63 @@ def _cut(c: np.ndarray, ids: np.ndarray, sizes: np.ndarray, ends: list[np.ndarra
     return np.concatenate([context[ours], path]), np.concatenate([x[ours], np.full(len(path), INNER)]).astype(np.int64), np.concatenate([n[ours], sums]).astype(np.int64), np.concatenate([zero, kinds]).astype(np.int64)
 
 
-def _said(words: DataFrame, many: int, model: Model) -> DataFrame:
-    """(hash, c, many, said) of ``many`` distinct words, what all counts say of their ids."""
-    spark, v = words.sparkSession, len(model.opens)
+def _order(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Words' first ids as bytes, whose order is that of the words, as far as they say it."""
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, sizes)
+    out = np.zeros((len(sizes), 8), ">u4")
+    here = place < 8
+    out[np.repeat(np.arange(len(sizes)), sizes)[here], place[here]] = ids[here] + 1
+    return out.view("S32").reshape(-1)
+
+
+def _parted(words: DataFrame, many: int) -> tuple[DataFrame, int]:
+    """Words in parts (``PARTS``) of consecutive ids, of about ``WORDS`` words, and how many parts
+    there may be. Words of equal first ids are in one part."""
     n_parts = max(1, -(-many // WORDS))
+    some = words.where(F.pmod(F.xxhash64("hash"), F.lit(max(1, many // (64 * n_parts)))) == 0).select("ids").toArrow() if n_parts > 1 else None
+    cuts = np.zeros(0, "S32")
+    if some is not None and some.num_rows:
+        data, sizes = _bytes_of(some.combine_chunks().column("ids").chunk(0))
+        order = np.sort(_order(data.view(">i4").astype(np.int64), sizes // 4))
+        cuts = order[np.arange(1, n_parts) * len(order) // n_parts]
+
+    def deal(batches):
+        held: list = []
 
-    def packed(batches):
-        rows = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
-        if rows is None or not rows.num_rows:
-            return
-        cells = rows.column("ids").chunk(0)
-        data, sizes = _bytes_of(cells)
-        values = cells.to_pylist()
-        row = [rows.column("hash").to_numpy().tobytes(), rows.column("c").to_numpy().tobytes(), data.view(">i4").astype(np.int32).tobytes(), (sizes // 4).astype(np.int32).tobytes(), min(values), max(values)]
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], [x.split()[0] for x in PARTS.split(", ")])
+        def out():
+            h, n, many, sizes, ids = (np.concatenate([x[k] for x in held]) for k in range(5))
+            held.clear()
+            part = np.searchsorted(cuts, _order(ids, sizes), "right")
+            by = np.argsort(part, kind="stable")
+            ids = ids[spans((np.cumsum(sizes, dtype=np.int64) - sizes)[by], sizes[by])]
+            return _dealt((h[by], n[by], many[by], sizes[by], ids), np.searchsorted(part[by], np.arange(n_parts + 1)))
 
-    with batches_of(spark, 20_000):
-        parts = stored(words.select("hash", "c", "ids").repartitionByRange(n_parts, "ids").mapInArrow(packed, PARTS), "parts")
+        for b in batches:
+            data, sizes = _bytes_of(b.column("ids"))
+            held.append((b.column("hash").to_numpy().view(np.uint64).copy(), b.column("c").to_numpy().copy(), b.column("many").to_numpy().copy(), (sizes // 4).astype(np.int32), data.view(">i4").astype(np.int32)))
+            if sum(len(x[0]) for x in held) > 4 * WORDS:
+                yield out()
+        if held:
+            yield out()
+
+    def whole(t: pa.Table) -> pa.Table:
+        h, n, many, sizes, ids = _together(t.column("data"))
+        order = _order(ids, sizes)
+        first, by = np.cumsum(sizes, dtype=np.int64) - sizes, np.sort(order)
+        ends = [f(ids[first[i] : first[i] + sizes[i]].astype(">i4").tobytes() for i in np.flatnonzero(order == x)) for f, x in ((min, by[0]), (max, by[-1]))]
+        row = [h.tobytes(), n.tobytes(), many.tobytes(), ids.tobytes(), sizes.tobytes(), *ends]
+        return pa.Table.from_arrays([pa.array([t.column("part")[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], [x.split()[0] for x in PARTS.split(", ")])
+
+    with batches_of(words.sparkSession, 100_000):
+        dealt = words.select("hash", "c", "many", "ids").mapInArrow(deal, "part int, data binary")
+        return bucketed(dealt.groupBy("part").applyInArrow(whole, PARTS), "parts", "part"), n_parts
+
+
+def _said(words: DataFrame, many: int, model: Model) -> DataFrame:
+    """(hash, c, many, said) of ``many`` distinct words, what all counts say of their ids."""
+    spark, v = words.sparkSession, len(model.opens)
+    parts, n_parts = _parted(words, many)
+    fields = max(spread(spark), n_parts // 8)
 
     def each(batches):
         for b in batches:
@@ -600,7 +701,29 @@ def _said(words: DataFrame, many: int, model: Model) -> DataFrame:
     def pairs(batches):
         for row in each(batches):
             key, n = _pairs(*_part(row)[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), row["part"]), pa.int32()), pa.array(key), pa.array(n)], ["part", "key", "n"])
+            field = (W.mix(key.astype(np.uint64)) % np.uint64(fields)).astype(np.int32)
+            by = np.argsort(field, kind="stable")
+            key, n, at = key[by], n[by], np.searchsorted(field[by], np.arange(fields + 1))
+            some = np.flatnonzero(np.diff(at))
+            cells = [_tied(_steps(key[s:e]), n[s:e]) for s, e in zip(at[some], at[some + 1])]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), row["part"], np.int32)), pa.array(cells, pa.binary())], ["field", "part", "data"])
+
+    def summed(t: pa.Table) -> pa.Table:
+        # A row for each part, with its pairs' counts over all parts, and one (below 0) for all pairs.
+        got = [_untied(x.as_py(), np.int64, np.int64) for x in t.column("data")]
+        keys = [np.cumsum(x[0]) for x in got]
+        key, to = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(to, np.concatenate([x[1] for x in got]), len(key)).astype(np.int64)
+        cells = [_tied(_steps(k), n[np.searchsorted(key, k)]) for k in keys] + [_tied(_steps(key), n)]
+        return pa.Table.from_arrays([pa.array([*t.column("part").to_pylist(), -1 - t.column("field")[0].as_py()], pa.int32()), pa.array(cells, pa.binary())], ["part", "data"])
+
+    def follows(batches):
+        total = np.zeros(2 * v)
+        for row in each(batches):
+            key, n = _untied(row["data"], np.int64, np.int64)
+            key = np.cumsum(key) >> 32
+            total += np.concatenate([np.bincount(key, n, v), np.bincount(key, n > 0, v)])
+        yield total
 
     def last(batches):
         total = np.zeros(v)
@@ -611,24 +734,23 @@ def _said(words: DataFrame, many: int, model: Model) -> DataFrame:
 
     got = parts.mapInArrow(cut, "c long, x long, n long, kinds long").toArrow() if n_parts > 1 else None
     border = Border(*(got.column(k).to_numpy() for k in ("c", "x", "n", "kinds"))) if got is not None else Border(*(np.zeros(0, np.int64),) * 4)
-    by_part = parts.mapInArrow(pairs, "part int, key long, n long")
-    sums = stored(by_part.groupBy("key").agg(F.sum("n").alias("n")), "pairs")
-    by_id = sums.where("n > 0").groupBy(F.shiftright("key", 32).cast("int").alias("id")).agg(F.sum("n").alias("go"), F.count("*").alias("kinds")).toArrow()
-    go, kinds = np.zeros(v, np.float32), np.zeros(v, np.float32)
-    go[by_id.column("id").to_numpy()], kinds[by_id.column("id").to_numpy()] = by_id.column("go").to_numpy(), by_id.column("kinds").to_numpy()
+    dealt = parts.mapInArrow(pairs, "field int, part int, data binary").groupBy("field").applyInArrow(summed, "part int, data binary")
+    # In buckets as the parts are: both are read as they lie.
+    sums = bucketed(dealt.groupBy("part").agg(F.collect_list("data").alias("met")), "pairs", "part")
+    go, kinds = total_of(sums.where("part < 0").select(F.explode("met").alias("data")), follows, 2 * v).reshape(2, v).astype(np.float32)
     stop = total_of(parts, last, v).astype(np.float32)
     stops, goes = 2 * float(stop.sum(dtype=float)), 2 * float(go.sum(dtype=float))
     model.stops = np.float32((stops + 1) / (stops + goes + 2))
     shared = spark.sparkContext.broadcast((model, border, (go, kinds, stop)))
-    met = by_part.select("part", "key").join(sums, "key").groupBy("part").agg(F.collect_list(F.struct("key", "n")).alias("met"))
 
     def said(batches):
         m, border, by_id = shared.value
         for b in batches:
             for i in range(b.num_rows):
                 h, c, ids, sizes = _part({k: b.column(k)[i].as_py() for k in ("hash", "c", "ids", "sizes")})
-                pair = b.column("met")[i].values
-                key, n = (pair.field(k).to_numpy() for k in ("key", "n")) if pair is not None else (np.zeros(0, np.int64),) * 2
+                chunks = np.frombuffer(b.column("many")[i].as_py(), np.int64)
+                pair = [_untied(x, np.int64, np.int64) for x in b.column("met")[i].as_py() or ()]
+                key, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.cumsum(k) for k, _ in pair], [n for _, n in pair]))
                 own = event(np.zeros(len(key), np.uint64), key >> 32), key & 0xFFFFFFFF, n
                 table = border.put(Table(*_events(c, ids, sizes, (own, border.rows()))))
                 table.by_id = by_id
@@ -642,9 +764,9 @@ def _said(words: DataFrame, many: int, model: Model) -> DataFrame:
                     out["kind"][first + sizes - 1] = np.add.reduceat(kind[:-1], first)
                 cells = _cells(sizes * SAID.itemsize, out)
                 for lo in range(0, len(h), PIECE):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + PIECE]), cells.slice(lo, PIECE)], ["hash", "said"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + PIECE]) for x in (h, c, chunks)] + [cells.slice(lo, PIECE)], ["hash", "c", "many", "said"])
 
-    out = stored(parts.join(met, "part", "left").mapInArrow(said, "hash long, said binary").join(words.select("hash", "c", "many"), "hash"), "said")
+    out = stored(parts.join(sums, "part", "left").mapInArrow(said, "hash long, c long, many long, said binary"), "said")
     gone(parts)
     gone(sums)
     return out
@@ -677,82 +799,95 @@ KNOWN = "array<binary>"
 
 
 def _bound(no: np.ndarray, c: np.ndarray, said: np.ndarray) -> bytes:
-    """Words' numbers in a chunk, their training counts and what counts say of their ids, end to
-    end: compressed, equal bytes of neighbours side by side."""
-    flat = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
-    return zlib.compress(np.int64(len(no)).tobytes() + flat(no) + flat(c) + flat(said), 1)
+    """Words' numbers in a chunk, ascending, their training counts and what counts say of their ids, end to end."""
+    return _tied(_steps(no), c, said)
 
 
 def _unbound(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8)
-    n, at, out = int(raw[:8].view(np.int64)[0]), 8, []
-    for kind, stop in ((np.dtype(np.int32), 8 + 4 * n), (np.dtype(np.int64), 8 + 12 * n), (SAID, len(raw))):
-        out.append(np.ascontiguousarray(raw[at:stop].reshape(kind.itemsize, -1).T).reshape(-1).view(kind))
-        at = stop
-    return tuple(out)
-
-
-def _bundles(batches):
-    """Of rows (chunk, no, c, said), those of each chunk that a task has together."""
-    held: list = []
-
-    def out():
-        chunk, no, c, sizes = (np.concatenate([x[k] for x in held]) for k in range(4))
-        said = np.concatenate([x[4] for x in held]).view(SAID)
-        held.clear()
-        sizes //= SAID.itemsize
-        by = np.argsort(chunk, kind="stable")
-        chunk, no, c, first, sizes = chunk[by], no[by], c[by], (np.cumsum(sizes) - sizes)[by], sizes[by]
-        key, at = np.unique(chunk, return_index=True)
-        at = np.append(at, len(chunk))
-        for lo in range(0, len(key), 64):
-            k = range(lo, min(lo + 64, len(key)))
-            rows = [_bound(no[s:e], c[s:e], said[spans(first[s:e], sizes[s:e])]) for s, e in ((at[i], at[i + 1]) for i in k)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 64]), pa.array(rows, pa.binary())], ["chunk", "data"])
-
-    for b in batches:
-        said, sizes = _bytes_of(b.column("said"))
-        # A copy: what is held would keep the batch's buffers.
-        held.append((*(b.column(k).to_numpy().copy() for k in ("chunk", "no", "c")), sizes, said.copy()))
-        if sum(len(x[0]) for x in held) > 4 * WORDS:
-            yield from out()
-    if held:
-        yield from out()
+    steps, c, said = _untied(data, np.int32, np.int64, SAID)
+    return np.cumsum(steps, dtype=np.int32), c, said
 
 
 def _met(chunks: DataFrame, said: DataFrame, most: int) -> tuple[DataFrame, Hot]:
     """The chunks with what counts say of their words that are not hot, and the hot ones."""
     spark, least, kept = chunks.sparkSession, math.inf, 0
+    words = 0
     for n, k in sorted(((r.many, r.k) for r in said.groupBy(F.least("many", F.lit(1 << 12)).alias("many")).agg(F.count("*").alias("k")).collect()), reverse=True):
-        kept += k
-        if kept > most:
-            break
-        least = n
+        words += k
+        if words <= most:
+            least, kept = n, words
     with batches_of(spark, 100_000):
         hot = Hot((said.where(F.col("many") >= least) if least < math.inf else said.limit(0)).select("hash", "c", "said").toArrow())
     shared = spark.sparkContext.broadcast(hot.hash)
 
-    def rest(batches):
+    parts = max(spread(spark), -(-max(words - kept, 0) // (8 * WORDS)))
+
+    def asks(batches):
         h = Hot.__new__(Hot)
         h.hash = shared.value
         for b in batches:
             for i in range(b.num_rows):
-                own = b.column("hash")[i].values.to_numpy()
-                no = np.flatnonzero(h.at(own.view(np.uint64)) < 0)
-                for lo in range(0, len(no), PIECE):
-                    some = no[lo : lo + PIECE]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b.column("chunk")[i].as_py())), pa.array(some.astype(np.int32)), pa.array(own[some])], ["chunk", "no", "hash"])
+                own = _hashes(b.column("hash")[i].as_py())
+                no = np.flatnonzero(h.at(own) < 0).astype(np.int32)
+                own = own[no]
+                at = _ranges(own, parts)
+                some = np.flatnonzero(np.diff(at))
+                cells = [_tied(_steps(no[s:e]), _steps(own[s:e])) for s, e in zip(at[some], at[some + 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), b.column("chunk")[i].as_py(), np.int64)), pa.array(cells, pa.binary())], ["part", "chunk", "data"])
+
+    def deal(batches):
+        held: list = []
+
+        def out():
+            h, c, sizes = (np.concatenate([x[k] for x in held]) for k in range(3))
+            said = np.concatenate([x[3] for x in held]).view(SAID)
+            held.clear()
+            by = np.argsort(h)
+            h, c, first, sizes = h[by], c[by], (np.cumsum(sizes) - sizes)[by], sizes[by]
+            said, upto = said[spans(first, sizes)], np.append(0, np.cumsum(sizes))
+            at = _ranges(h, parts)
+            some = np.flatnonzero(np.diff(at))
+            cells = [_tied(_steps(h[s:e]), c[s:e], sizes[s:e].astype(np.int32), said[upto[s] : upto[e]]) for s, e in zip(at[some], at[some + 1])]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells, pa.binary())], ["part", "data"])
+
+        for b in batches:
+            said, sizes = _bytes_of(b.column("said"))
+            # A copy: what is held would keep the batch's buffers.
+            held.append((b.column("hash").to_numpy().view(np.uint64).copy(), b.column("c").to_numpy().copy(), sizes // SAID.itemsize, said.copy()))
+            if sum(len(x[0]) for x in held) > 4 * WORDS:
+                yield out()
+        if held:
+            yield out()
+
+    def answer(told: pa.Table, asked: pa.Table) -> pa.Table:
+        got = [_untied(x.as_py(), np.uint64, np.int64, np.int32, SAID) for x in told.column("data")]
+        h = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(x[0], dtype=np.uint64) for x in got)])
+        c, sizes, said = (np.concatenate([np.zeros(0, t), *(x[k] for x in got)]) for k, t in ((1, np.int64), (2, np.int32), (3, SAID)))
+        got.clear()
+        by = np.argsort(h)
+        key, first = h[by], np.cumsum(sizes, dtype=np.int64) - sizes
+        cells = []
+        for x in asked.column("data"):
+            no, own = _untied(x.as_py(), np.int32, np.uint64)
+            own = np.cumsum(own, dtype=np.uint64)
+            at = by[np.minimum(np.searchsorted(key, own), len(by) - 1)] if len(by) else np.zeros(0, np.int64)
+            here = h[at] == own if len(by) else np.zeros(len(own), bool)
+            if not here.all():
+                raise RuntimeError(f"{int((~here).sum())} words of a chunk have no counts")
+            cells.append(_bound(np.cumsum(no, dtype=np.int32), c[at], said[spans(first[at], sizes[at])]))
+        return pa.Table.from_arrays([asked.column("chunk"), pa.array(cells, pa.binary())], ["chunk", "data"])
 
     if least <= 1:
         return chunks.withColumn("known", F.lit(None).cast(KNOWN)), hot
     cold = said.where(F.col("many") < least).select("hash", "c", "said") if least < math.inf else said.select("hash", "c", "said")
-    known = chunks.select("chunk", "hash").mapInArrow(rest, "chunk long, no int, hash long").join(cold, "hash").select("chunk", "no", "c", "said")
+    told = cold.mapInArrow(deal, "part int, data binary")
+    asked = chunks.select("chunk", "hash").mapInArrow(asks, "part int, chunk long, data binary")
     # Chunks are in buckets as these are: the passes that need counts read both as they lie.
     with batches_of(spark, 20_000):
-        known = bucketed(known.mapInArrow(_bundles, "chunk long, data binary").groupBy("chunk").agg(F.collect_list("data").alias("known")), "known", "chunk")
+        known = bucketed(told.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "chunk long, data binary"), "known", "chunk")
     freed(spark)
     gone(said)
-    return chunks.join(known, "chunk", "left"), hot
+    return chunks.join(known.groupBy("chunk").agg(F.collect_list("data").alias("known")), "chunk", "left"), hot
 
 
 def _rows(batches, model: Model, hot: Hot):
@@ -761,7 +896,7 @@ def _rows(batches, model: Model, hot: Hot):
         for i in range(b.num_rows):
             row = {k: b.column(k)[i].as_py() for k in b.schema.names if k not in ("hash", "known")}
             chunk = Chunk(row, model.end)
-            at, size = hot.at(b.column("hash")[i].values.to_numpy().view(np.uint64)), chunk.sizes
+            at, size = hot.at(_hashes(b.column("hash")[i].as_py())), chunk.sizes
             first = np.cumsum(size) - size
             c, said = np.zeros(len(size)), np.zeros(len(chunk.pieces), SAID)
             no = np.flatnonzero(at >= 0)

@@ -287,6 +287,49 @@ def test_lm_chunks_meet_counts_where_they_lie(spark):
     assert got[0].tolist() == [4, 9] and got[1].tolist() == [1, 1 << 40] and got[2].tobytes() == said.tobytes()
 
 
+def test_lm_words_travel_packed(spark, monkeypatch):
+    """Words go between chunks and counts many in a row, and what counts say stays whole where
+    words share more ids than their parts are told apart by."""
+    rng = np.random.default_rng(5)
+    long = ["kalumzerothxiqu" * 4 + "".join(rng.choice(["ka", "lum", "zer"], 3)) for _ in range(300)]
+    made = ["".join(rng.choice(["ka", "lum", "zer", "oth", "xi", "qu"], 5)) for _ in range(2000)] + long
+    rows = [(i, " ".join(rng.choice(made, 200))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    monkeypatch.setattr(lm, "WORDS", 200)
+    chunks, opens = lm._chunked(docs, F.col("doc_id") % 10 == 0, lm.TOKENIZER)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def sent():
+        defaults = [getattr(store, f"stageList$default${k}")() for k in (2, 3, 4, 5)]
+        stages = store.stageList(None, *defaults)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = sent()
+    words = lm.stored(lm._words(chunks), "words")
+    n, h = words.count(), words.agg(F.countDistinct("hash")).first()[0]
+    assert n == h == len({w for _, t in rows for w in t.split()})
+    made_before = sent()
+    assert words.count() == n
+    _, met, hot = lm._learnt(chunks, words, opens, 0, 10)
+    found = sum(len(lm._unbound(x)[0]) for r in met.select("known").collect() for x in r.known)
+    assert found > n
+    # A row is a part's words of some chunks, not a word: the count of distinct hashes above apart.
+    assert made_before - before < 2 * n and sent() - made_before < 3000
+
+
+@pytest.mark.parametrize("words", [200, 40])
+def test_lm_parts_are_cut_where_words_order_says(spark, monkeypatch, words):
+    """Parts are consecutive in their words' ids, also where the first ids are equal."""
+    rng = np.random.default_rng(6)
+    ids = sorted({tuple([7] * int(rng.integers(0, 12)) + rng.integers(0, 3, int(rng.integers(1, 4))).tolist()) for _ in range(600)})
+    rows = [(i * 7919 - 300, 1, 1, bytearray(np.array(x, ">i4").tobytes())) for i, x in enumerate(ids)]
+    monkeypatch.setattr(lm, "WORDS", words)
+    parts, n_parts = lm._parted(spark.createDataFrame(rows, "hash long, c long, many long, ids binary"), len(rows))
+    got = sorted((bytes(r.low), bytes(r.high), len(r.sizes) // 4) for r in parts.collect())
+    assert sum(n for _, _, n in got) == len(rows) and n_parts >= len(got) > 1
+    assert all(a <= b for a, b, _ in got) and all(x[1] < y[0] for x, y in zip(got, got[1:]))
+
+
 def test_attention_learns_from_all_training_ids_and_no_others(spark):
     c = chunk_of([[(i % 40,) for i in range(n)] for n in (1, 700, 32, 33, 5)], 99)
     c.learn = np.array([True, True, False, True, True])
