@@ -39,6 +39,7 @@ not read.
 from __future__ import annotations
 
 import base64
+import bisect
 import math
 from collections.abc import Callable
 from functools import cached_property
@@ -640,14 +641,12 @@ def _order(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _parted(words: DataFrame, many: int) -> tuple[DataFrame, int]:
     """Words in parts (``PARTS``) of consecutive ids, of about ``WORDS`` words, and how many parts
-    there may be. Words of equal first ids are in one part."""
+    there may be."""
     n_parts = max(1, -(-many // WORDS))
     some = words.where(F.pmod(F.xxhash64("hash"), F.lit(max(1, many // (64 * n_parts)))) == 0).select("ids").toArrow() if n_parts > 1 else None
-    cuts = np.zeros(0, "S32")
-    if some is not None and some.num_rows:
-        data, sizes = _bytes_of(some.combine_chunks().column("ids").chunk(0))
-        order = np.sort(_order(data.view(">i4").astype(np.int64), sizes // 4))
-        cuts = order[np.arange(1, n_parts) * len(order) // n_parts]
+    some = sorted(some.column("ids").to_pylist()) if some is not None else []
+    cuts = [some[k * len(some) // n_parts] for k in range(1, n_parts)] if some else []
+    orders = _order(np.frombuffer(b"".join(cuts), ">i4").astype(np.int64), np.array([len(x) // 4 for x in cuts], np.int64))
 
     def deal(batches):
         held: list = []
@@ -655,9 +654,13 @@ def _parted(words: DataFrame, many: int) -> tuple[DataFrame, int]:
         def out():
             h, n, many, sizes, ids = (np.concatenate([x[k] for x in held]) for k in range(5))
             held.clear()
-            part = np.searchsorted(cuts, _order(ids, sizes), "right")
+            order, first = _order(ids, sizes), np.cumsum(sizes, dtype=np.int64) - sizes
+            part = np.searchsorted(orders, order, "right")
+            # Words that begin as a cut does: all their ids are compared.
+            for i in np.flatnonzero(part > np.searchsorted(orders, order, "left")):
+                part[i] = bisect.bisect_right(cuts, ids[first[i] : first[i] + sizes[i]].astype(">i4").tobytes())
             by = np.argsort(part, kind="stable")
-            ids = ids[spans((np.cumsum(sizes, dtype=np.int64) - sizes)[by], sizes[by])]
+            ids = ids[spans(first[by], sizes[by])]
             return _dealt((h[by], n[by], many[by], sizes[by], ids), np.searchsorted(part[by], np.arange(n_parts + 1)))
 
         for b in batches:

@@ -322,12 +322,14 @@ def test_lm_parts_are_cut_where_words_order_says(spark, monkeypatch, words):
     """Parts are consecutive in their words' ids, also where the first ids are equal."""
     rng = np.random.default_rng(6)
     ids = sorted({tuple([7] * int(rng.integers(0, 12)) + rng.integers(0, 3, int(rng.integers(1, 4))).tolist()) for _ in range(600)})
+    ids = sorted({*ids, *(tuple([7] * 12 + rng.integers(0, 9, 4).tolist()) for _ in range(words * 3))})
     rows = [(i * 7919 - 300, 1, 1, bytearray(np.array(x, ">i4").tobytes())) for i, x in enumerate(ids)]
     monkeypatch.setattr(lm, "WORDS", words)
     parts, n_parts = lm._parted(spark.createDataFrame(rows, "hash long, c long, many long, ids binary"), len(rows))
     got = sorted((bytes(r.low), bytes(r.high), len(r.sizes) // 4) for r in parts.collect())
     assert sum(n for _, _, n in got) == len(rows) and n_parts >= len(got) > 1
     assert all(a <= b for a, b, _ in got) and all(x[1] < y[0] for x, y in zip(got, got[1:]))
+    assert max(n for _, _, n in got) < 3 * words
 
 
 def test_attention_learns_from_all_training_ids_and_no_others(spark):
