@@ -184,13 +184,15 @@ def _tables_of(pieces: DataFrame, tables: dict[str, Table]) -> dict[str, DataFra
 def table_rows(pieces: DataFrame, table: Table) -> DataFrame:
     """One table's ``pieces`` as its typed columns; a column that a header leaves out is null."""
     cells = F.split("value", "\t", -1)
+    # A line is split once, and only lines with a backslash have nulls and escapes.
+    copied = F.when(F.contains("value", F.lit("\\")), F.transform(cells, lambda x: unescaped(F.when(x != "\\N", x)))).otherwise(cells)
+    rows = pieces.select("columns", F.when(F.col("kind") == "copy", copied).otherwise(F.col("cells")).alias("cells"))
     columns = []
     for k, c in enumerate(table.columns):
         at = F.when(F.size("columns") == 0, F.lit(k)).otherwise(F.nullif(F.array_position("columns", c.name), F.lit(0)).cast("int") - 1)
-        copied, given = F.get(cells, at), F.get("cells", at)
-        text = F.when(F.col("kind") == "copy", unescaped(F.when(copied != "\\N", copied))).otherwise(given)
+        text = F.get("cells", at)
         columns.append((text if c.spark_type == "string" else text.try_cast(c.spark_type)).alias(c.name))
-    return pieces.select(*columns)
+    return rows.select(*columns)
 
 
 #: What a backslash and a letter stand for in COPY text. Fixed values.
@@ -214,9 +216,10 @@ def unescaped(cell):
 
 
 def write_dump(spark: SparkSession, tables: dict[str, DataFrame], path: str, inserts: frozenset[str] = frozenset()) -> None:
-    """``tables`` (by name, or schema.name) as dump text, files in order: a CREATE TABLE and a COPY
-    block each, or INSERT statements for the names in ``inserts``. Written by ranges, in parallel."""
-    parts = []
+    """``tables`` (by name, or schema.name) as dump text: a CREATE TABLE and a COPY block each, or
+    INSERT statements for the names in ``inserts``. Rows are written as they lie, without a shuffle,
+    to folders of which the names give the order: those of a table, its head, rows and tail."""
+    parts, ends = [], []
     for k, (name, df) in enumerate(tables.items()):
         names = ", ".join(f'"{c}"' for c in df.columns)
         kinds = {"int": "integer", "bigint": "bigint", "smallint": "smallint", "double": "double precision", "float": "real", "boolean": "boolean", "date": "date", "timestamp": "timestamp without time zone", "timestamp_ntz": "timestamp without time zone"}
@@ -227,12 +230,11 @@ def write_dump(spark: SparkSession, tables: dict[str, DataFrame], path: str, ins
         else:
             head, tail = f"{head}\nCOPY {name} ({names}) FROM stdin;", "\\.\n"
             rows = F.array_join(F.array(*(_copied(F.col(f"`{c}`")) for c in df.columns)), "\t")
-        parts.append(df.select(F.lit(k).alias("table"), F.lit(1).alias("phase"), rows.alias("value")))
-        parts.append(spark.createDataFrame([(k, 0, head)] + ([(k, 2, tail)] if tail else []), "table int, phase int, value string"))
-    out = parts[0]
-    for df in parts[1:]:
-        out = out.unionByName(df)
-    out.orderBy("table", "phase", F.xxhash64("value")).select("value").write.text(path)
+        parts.append((f"table={k:05}/phase=1", df.select(rows.alias("value"))))
+        ends += [(f"{k:05}", phase, text) for phase, text in ((0, head), (2, tail)) if text]
+    spark.createDataFrame(ends, "table string, phase int, value string").coalesce(1).write.partitionBy("table", "phase").text(path)
+    for folder, df in parts:
+        df.write.text(f"{path}/{folder}")
 
 
 def _copied(x):

@@ -7,9 +7,10 @@ blocks are dealt into the chunks:
 1. Each chunk says, for each state that it could be entered in, in which it is left (a map of a
    finite-state machine). Runs from different states soon meet and go on as one.
 2. The maps are composed in the order of files and blocks, a few bytes a chunk, which gives each
-   chunk the state it is really entered in.
+   chunk the state it is really entered in; chunks of more than COPY data then give its texts.
 3. With that, chunks are read independently: one scan gives the rows of all tables. What a chunk's
-   end cuts in two is put together by a small aggregate.
+   end cuts in two is put together by a small aggregate. Blocks that hold nothing but lines of one
+   COPY block are rows as they lie, without Python.
 
 States: code, string, string with escapes, quoted name, block comment (nested), dollar quote, COPY
 data; and how the open statement begins. Dollar tags that a chunk does not hold leave it as it is
@@ -25,12 +26,13 @@ from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +43,19 @@ NOTHING, COPY, STDIN, OTHER = "", "copy", "stdin", "other"
 NESTED = 4
 #: Characters of an open statement that go with the state from chunk to chunk.
 HEAD = 1 << 16
-#: Characters of a chunk, after which the next line begins another; lines that are taken from Arrow at once.
-CHUNK, LINES = 1 << 20, 1_000
+#: Characters of a chunk, after which the next line begins another; rows of a batch.
+CHUNK, ROWS = 1 << 20, 10_000
+#: Tasks of a scan, or eight a core, where file blocks are more.
+TASKS = 200
 
 State = tuple[str, str, "str | int"]
 START: State = ("code", NOTHING, "")
 
 #: Alternatives that all begin with a literal, which lets the search skip other characters fast.
 _TOKEN = r"""--[^\n]*|/\*|'|"|\(|\)|;|\$(?<![\w$]\$)(?:[A-Za-z_]\w*)?\$"""
-_IN = {OTHER: re.compile(_TOKEN), STDIN: re.compile(_TOKEN), COPY: re.compile(rf"{_TOKEN}|\bstdin\b", re.I)}
+_CODE = re.compile(_TOKEN)
+#: The word stdin in any case, letters as re.I takes them, beginning with a set that the search skips to.
+_STDIN = re.compile(r"[sS\u017f](?<!\w[sS\u017f])[tT][dD][iI\u0130\u0131][nN]\b")
 _FIRST = re.compile(r"\s*(--[^\n]*|/\*|\\[^\n]*|copy\b|;|\S)", re.I)
 _MARK = re.compile(r"\\\.\r?\n")
 _QUOTED = re.compile(r'[^"]*(?:""[^"]*)*"')
@@ -74,10 +80,10 @@ def events(text: str, state: State, seen: dict | None = None, spans: bool = Fals
             out.append(("data" if end > 0 else "some data", at, end if end > 0 else size))
             at, lex = (end, "code") if end > 0 else (size, lex)
         elif lex == "code":
-            m = (_IN[begun].search if begun else _FIRST.match)(text, at)
+            m = _token(text, at, begun, {} if seen is None else seen)
             if not m:
                 break
-            token, start, at = m[m.lastindex or 0].lower(), m.start(m.lastindex or 0), m.end()
+            token, start, at = m
             since = start
             if token == "/*":
                 lex, extra = "comment", 1
@@ -99,7 +105,7 @@ def events(text: str, state: State, seen: dict | None = None, spans: bool = Fals
             elif token == '"':
                 lex = "name"
             elif token[0] == "$":
-                lex, extra = "dollar", m[0]
+                lex, extra = "dollar", text[start:at]
             else:
                 begun = STDIN
         else:
@@ -126,6 +132,25 @@ def events(text: str, state: State, seen: dict | None = None, spans: bool = Fals
     return out, final
 
 
+def _token(text: str, at: int, begun: str, seen: dict) -> tuple[str, int, int] | None:
+    """What comes next in code (in lower case), where and its end. ``seen`` has what runs of other
+    states found: but for stdin, it is the same in all statements."""
+    if not begun:
+        m = _FIRST.match(text, at)
+        return m and (m[1].lower(), m.start(1), m.end())
+    if (key := ("token", at)) not in seen:
+        m = _CODE.search(text, at)
+        seen[key] = m and (m[0].lower(), m.start(), m.end())
+    found = seen[key]
+    if begun == COPY:
+        if "stdin" not in seen:
+            seen["stdin"] = [m.start() for m in _STDIN.finditer(text)] if not text.isascii() or "stdin" in text.lower() else []
+        k = bisect_left(seen["stdin"], at)
+        if k < len(seen["stdin"]) and (found is None or seen["stdin"][k] < found[1]):
+            return "stdin", seen["stdin"][k], seen["stdin"][k] + 5
+    return found
+
+
 def _data_end(text: str, at: int) -> int:
     """The end of the line that ends the COPY data at ``at``, or -1."""
     for m in _MARK.finditer(text, at):
@@ -152,6 +177,8 @@ def _left(text: str, at: int, lex: str, extra):
             extra, more = extra + 1, text.find("/*", more + 2)
         return (-1, extra) if extra else (at, "")
     if lex in ("escaped", "name"):
+        if text.find("'" if lex == "escaped" else '"', at) < 0:
+            return -1, extra
         m = (_ESCAPED if lex == "escaped" else _QUOTED).match(text, at)
         return (m.end() if m else -1), extra
     mark = "'" if lex == "string" else extra
@@ -256,41 +283,92 @@ def after(e: Entry, chunk: int, prefix: str, known: dict[State, Passage]) -> Ent
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, str]]:
     """(file, start, part, text) of the lines of a task's file blocks, in parts of CHUNK characters,
     or of one line that is longer."""
-    key, part, size, lines = None, 0, 0, []
-    for whole in batches:
-        for at in range(0, whole.num_rows, LINES):
-            b = whole.slice(at, LINES)
-            for file, start, line in zip(*(b.column(c).to_pylist() for c in ("file", "start", "value"))):
-                if key != (file, start) or size >= CHUNK:
-                    if lines:
-                        yield *key, part, "\n".join(lines) + "\n"
-                    part = part + 1 if key == (file, start) else 0
-                    key, size, lines = (file, start), 0, []
-                lines.append(line)
-                size += len(line) + 1
-    if lines:
-        yield *key, part, "\n".join(lines) + "\n"
+    key, part, size, held = None, 0, 0, []
+
+    def text() -> str:
+        values = pa.concat_arrays(held)
+        return pc.binary_join(pa.LargeListArray.from_arrays([0, len(values)], values), "\n")[0].as_py() + "\n"
+
+    for b in batches:
+        for lo, hi in _runs(b):
+            new = b.column("file")[lo].as_py(), b.column("start")[lo].as_py()
+            if key != new:
+                if held:
+                    yield *key, part, text()
+                key, part, size, held = new, 0, 0, []
+            values = b.column("value").slice(lo, hi - lo)
+            ends = np.cumsum(pc.utf8_length(values).to_numpy().astype(np.int64) + 1)
+            at, before = 0, 0
+            while at < len(values):
+                if size >= CHUNK:
+                    yield *key, part, text()
+                    part, size, held = part + 1, 0, []
+                upto = min(int(np.searchsorted(ends, before + CHUNK - size)) + 1, len(values))
+                held.append(values.slice(at, upto - at))
+                size += int(ends[upto - 1]) - before
+                at, before = upto, int(ends[upto - 1])
+    if held:
+        yield *key, part, text()
+
+
+def _runs(b: pa.RecordBatch) -> list[tuple[int, int]]:
+    """From where to where a batch's rows are of one file block."""
+    if not b.num_rows:
+        return []
+    changes = np.zeros(b.num_rows - 1, bool)
+    for c in (b.column("file"), b.column("start")):
+        if not c[0].equals(c[-1]):
+            codes = c.dictionary_encode().indices.to_numpy()
+            changes |= codes[1:] != codes[:-1]
+    cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), b.num_rows]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, where very many small blocks share tasks."""
+    most = max(TASKS, 8 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(most) if df.rdd.getNumPartitions() > most else df
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    """A dump's lines with their file block."""
+    return _few(spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")))
 
 
-def entries(spark: SparkSession, path: str) -> dict[tuple[str, int, int], tuple[int, Entry]]:
-    """What each chunk (file, start, part) is entered with, and its number: the driver composes the maps."""
+def entries(spark: SparkSession, path: str) -> dict[tuple[str, int, int], tuple[int, Entry, bool]]:
+    """Of each chunk (file, start, part): its number, what it is entered with, and whether it is
+    COPY data throughout. The driver composes the maps; chunks that are more than COPY data then say
+    what they do to the state that they are entered in."""
 
     def maps(batches):
         for file, start, part, text in _chunks(batches):
-            seen, same = {}, {}
-            # Most states end alike: what they share is sent once.
-            known = {s: same.setdefault(p, p) for s in entered(text) for p in [passage(text, *events(text, s, seen))]}
-            yield pa.RecordBatch.from_pydict({"file": [file], "start": [start], "part": [part], "map": [pickle.dumps((text[:HEAD], known))]})
-
-    rows = stored(_lines(spark, path).mapInArrow(maps, "file string, start long, part long, map binary"), "maps").orderBy("file", "start", "part")
-    out, e = {}, Entry()
-    for k, r in enumerate(rows.toLocalIterator()):
-        out[r.file, r.start, r.part] = (k, e)
-        e = after(e, k, *pickle.loads(r.map))
+            seen, known = {}, {}
+            for s in entered(text):
+                found, state = events(text, s, seen)
+                known[s] = state, s[0] == "data" and found[0][0] == "some data"
+            yield pa.RecordBatch.from_pydict({"file": [file], "start": [start], "part": [part], "map": [pickle.dumps(known)]})
+
+    text = _lines(spark, path)
+    key, chunks, state = "file string, start long, part long", {}, START
+    for r in sorted(text.mapInArrow(maps, f"{key}, map binary").collect()):
+        now, data = pickle.loads(r.map).get(state, (state, False))
+        chunks[r.file, r.start, r.part] = state, data
+        state = now
+    blocks = sorted({c[:2] for c, (_, data) in chunks.items() if not data})
+    states = spark.sparkContext.broadcast({c: s for c, (s, data) in chunks.items() if not data})
+
+    def passages(batches):
+        for file, start, part, text in _chunks(batches):
+            if (s := states.value.get((file, start, part))) is not None:
+                known = {s: passage(text, *events(text, s))} if s in entered(text) else {}
+                yield pa.RecordBatch.from_pydict({"file": [file], "start": [start], "part": [part], "passage": [pickle.dumps((text[:HEAD] if not known else "", known))]})
+
+    asked = F.broadcast(spark.createDataFrame(blocks, "file string, start long"))
+    rows = _few(stored(text.join(asked, ["file", "start"], "left_semi").mapInArrow(passages, f"{key}, passage binary"), "passages"))
+    told, out, e = rows.orderBy("file", "start", "part").toLocalIterator() if blocks else iter(()), {}, Entry()
+    for k, (chunk, (s, data)) in enumerate(chunks.items()):
+        out[chunk] = (k, e, data)
+        e = after(e, k, "", {s: Passage(s, None, "", False, 0, 0, None)}) if data else after(e, k, *pickle.loads(next(told).passage))
     return out
 
 
@@ -377,32 +455,54 @@ def pieces_of(text: str, chunk: int, e: Entry) -> Iterator[dict]:
         yield row("statement", (path, "", []), start, len(text), since, False)
 
 
-def _rows(text: str, chunk: int, e: Entry) -> Iterator[tuple]:
-    ix = 0
+def _batches(text: str, chunk: int, e: Entry) -> Iterator[pa.RecordBatch]:
+    """What pieces_of a chunk gives, as rows."""
+    ix, rows = 0, []
+
+    def batch(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, _ARROW.types)], schema=_ARROW)
+
     for r in pieces_of(text, chunk, e):
         value = text[r["lo"] : r["hi"]]
         if r["kind"] == "copy":
-            for line in value.replace("\r\n", "\n").split("\n")[:-1]:
-                yield (chunk, ix, "copy", *r["owner"], line, None, None, True)
-                ix += 1
+            lines = value.replace("\r\n", "\n").split("\n")[:-1]
+            for lo in range(0, len(lines), ROWS):
+                some = lines[lo : lo + ROWS]
+                n = len(some)
+                same = [pa.repeat(pa.scalar(x, t), n) for x, t in zip(("copy", *r["owner"]), _ARROW.types[2:6])]
+                yield batch([[chunk] * n, range(ix, ix + n), *same, some, pa.nulls(n, _ARROW.types[7]), pa.nulls(n, pa.int64()), [True] * n])
+                ix += n
             continue
         cells = cells_of(value) if r["kind"] == "tuple" and r["cut"] is None else None
-        yield (chunk, ix, r["kind"], *r["owner"], value, cells, r["cut"], r["over"])
+        rows.append((chunk, ix, r["kind"], *r["owner"], value, cells, r["cut"], r["over"]))
         ix += 1
+        if len(rows) == ROWS:
+            yield batch(list(zip(*rows)))
+            rows = []
+    if rows:
+        yield batch(list(zip(*rows)))
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """(chunk, ix, kind, schema, table, columns, value, cells): the rows of COPY blocks (their
-    line) and of INSERTs (cells), and the other statements, of a dump of any number of tables."""
-    known = spark.sparkContext.broadcast(entries(spark, path))
+    line) and of INSERTs (cells), and the other statements, of a dump of any number of tables.
+    Lines of blocks that are all COPY data are read where they lie; what others give is stored."""
+    chunks, blocks = entries(spark, path), {}
+    for (file, start, _), (k, e, data) in chunks.items():
+        blocks.setdefault((file, start), []).append((k, e, data))
+    plain = {b: x[0] for b, x in blocks.items() if all(data for _, _, data in x)}
+    known = spark.sparkContext.broadcast({c: x[:2] for c, x in chunks.items() if c[:2] not in plain})
 
     def scan(batches):
         for file, start, part, text in _chunks(batches):
-            rows = _rows(text, *known.value[file, start, part])
-            while some := list(islice(rows, 10_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), _ARROW.types)], schema=_ARROW)
-
-    rows = _lines(spark, path).mapInArrow(scan, PIECES)
+            yield from _batches(text, *known.value[file, start, part])
+
+    owners = [(*b, k, *_owner(_COPIED.match(e.head), e.path)) for b, (k, e, _) in plain.items()]
+    data = F.broadcast(spark.createDataFrame(owners, "file string, start long, chunk long, schema string, table string, columns array<string>"))
+    text = _lines(spark, path)
+    line = F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    copied = text.join(data, ["file", "start"]).select("chunk", F.monotonically_increasing_id().alias("ix"), F.lit("copy").alias("kind"), "schema", "table", "columns", line.alias("value"), F.lit(None).cast("array<string>").alias("cells"))
+    rows = _few(stored(text.join(data, ["file", "start"], "left_anti").mapInArrow(scan, PIECES), "pieces"))
     parts = rows.where("cut is not null").groupBy("cut", "kind", "schema", "table", "columns").agg(F.array_sort(F.collect_list(F.struct("chunk", "ix", "value"))).alias("parts"), F.max("over").alias("over")).where("over")
     parts = parts.select(F.col("cut").alias("chunk"), F.lit(1 << 40).alias("ix"), "kind", "schema", "table", "columns", F.array_join(F.col("parts.value"), "").alias("value"))
 
@@ -412,7 +512,7 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.string()))], [*b.schema.names, "cells"])
 
     whole = parts.mapInArrow(parsed, "chunk long, ix long, kind string, schema string, table string, columns array<string>, value string, cells array<string>")
-    return rows.where("cut is null").drop("cut", "over").unionByName(whole)
+    return copied.unionByName(rows.where("cut is null").drop("cut", "over")).unionByName(whole)
 
 
 def rewritten(text: str, state: State, name: Callable[[str], str]) -> str:
@@ -461,7 +561,7 @@ def lines(spark: SparkSession, path: str, name: Callable[[str], str] | None = No
 
     def scan(batches):
         for file, start, part, text in _chunks(batches):
-            chunk, e = known.value[file, start, part]
+            chunk, e, _ = known.value[file, start, part]
             schemas = schemas_of(text, e)
             made = (rewritten(text, e.state, name) if name else text).split("\n")[:-1]
             for lo in range(0, len(made), 10_000):
