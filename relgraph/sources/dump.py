@@ -165,8 +165,8 @@ def insert_rows(spark: SparkSession, path: str, tables: dict[str, Table], pieces
 def loaded(spark: SparkSession, path: str, tables: dict[str, Table], out: str, pieces: DataFrame | None = None) -> dict[str, DataFrame]:
     """All rows of a dump, COPY's and INSERT's, as typed DataFrames, by one scan that writes them
     to ``out`` by schema and table; a table then reads only its own files."""
-    found = (pieces or dump_text.pieces(spark, path)).where("kind <> 'statement'").withColumns({"_schema": F.col("schema"), "_table": F.col("table")})
-    found.write.partitionBy("_schema", "_table").parquet(out)
+    found = (pieces or dump_text.pieces(spark, path)).where("kind <> 'statement'").select("kind", "columns", "value", "cells", F.col("schema").alias("_schema"), F.col("table").alias("_table"))
+    found.write.partitionBy("_schema", "_table").option("compression", "zstd").parquet(out)
     kept = spark.read.schema(found.schema).parquet(out)
     return _tables_of(kept.withColumns({"schema": F.coalesce("_schema", F.lit("")), "table": F.col("_table")}).drop("_schema", "_table"), tables)
 

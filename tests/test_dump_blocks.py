@@ -73,3 +73,13 @@ def test_stdin_in_any_case_and_only_as_a_word():
         for s in D.entered(text):
             assert D.events(text, s, seen) == D.events(text, s)
     assert [D.events(f"COPY {x};\n1\n", D.START)[1][0] for x in ("t FROM STDIN", "stdinx FROM f", "x$stdin FROM f", "t FROM ſtdin", "éstdin")] == ["data", "code", "data", "data", "code"]
+
+
+def test_loaded_writes_what_tables_are_made_of(spark, tmp_path):
+    rows = spark.range(50).select("id", F.concat(F.lit("a\\\n'"), "id").alias("v"))
+    path, out = str(tmp_path / "d"), str(tmp_path / "out")
+    dump.write_dump(spark, {"s.t": rows, "u": rows}, path, frozenset({"u"}))
+    tables = dump.parse_ddl("CREATE TABLE t (id bigint, v text); CREATE TABLE u (id bigint, v text);")
+    got = dump.loaded(spark, path, tables, out)
+    assert sorted(spark.read.parquet(out).columns) == ["_schema", "_table", "cells", "columns", "kind", "value"]
+    assert all(sorted(map(tuple, got[t].collect())) == sorted(map(tuple, rows.collect())) for t in ("t", "u"))
